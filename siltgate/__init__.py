@@ -1,5 +1,9 @@
 """Recipe-driven data-quality ingestion on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from siltgate.engine import Plan, RunResult, Workspace, compile_recipe, load, validate
 from siltgate.errors import Diagnostic, EngineError, ResultCode
 from siltgate.plans.recipe import Recipe, Settings, resolve_settings
@@ -7,6 +11,9 @@ from siltgate.sinks.runlog import find_run, list_runs
 from siltgate.sources.open import open_source
 from siltgate.sources.tables import from_dataframe
 
+# Tasks get this package's few Python functions by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "Diagnostic",
     "EngineError",

@@ -18,6 +18,8 @@ from siltgate.sources.encodings import REPLACEMENT, Encoding, resolve
 from siltgate.sources.position import POSITION, FileOrderNumbering, position_columns
 
 CORRUPT = "__corrupt"
+# A quoted cell; possessive, so that long cells need neither stack nor backtracking.
+QUOTED_CELL = '"[^"]*+(?:""[^"]*+)*+"'
 
 
 def read_delimited(
@@ -87,8 +89,9 @@ def read_delimited(
     malformed = F.col(CORRUPT).isNotNull() & (F.char_length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0)
     too_long = malformed & (record_width(resolved.decode(F.col(CORRUPT)), delimiter) > len(header))
     cells = [F.coalesce(resolved.decode(F.col(name)), F.lit("")).alias(name) for name in names]
+    too_short = malformed & ~too_long
     faults = {"source.read_failed": F.col("__too_long")}
-    checked = [too_long.alias("__too_long")]
+    checked = [too_long.alias("__too_long"), too_short.alias("__too_short")]
     if resolved.checks_bytes:
         suspicious = [F.contains(resolved.decode(F.col(name)), F.lit(REPLACEMENT)) for name in names]
         checked.append(F.coalesce(F.greatest(*suspicious, F.lit(False)), F.lit(False)).alias("__bad_bytes"))
@@ -174,7 +177,7 @@ def needs_record_reader(spark: SparkSession, files: list[str]) -> bool:
 def record_width(record: Column, delimiter: str) -> Column:
     """Number of fields of one raw record; delimiters within quotes do not count."""
     sep = re.escape(delimiter)
-    bare = F.regexp_replace(record, f'(?s)(?<=^|{sep})"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(record, f"(?<=^|{sep}){QUOTED_CELL}", "")
     return F.char_length(bare) - F.char_length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
 
 
@@ -193,6 +196,15 @@ def _decoded(raw: bytes, encoding: Encoding, path: str) -> str:
         raise fail("source.encoding_failed", f"The source cannot be read as {encoding.name}.", path=path) from None
 
 
+def record_faults(source: Source) -> DataFrame:
+    """One row: records, and those with more and with fewer fields than the header."""
+    return source.df.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if("__too_long").alias("too_long"),
+        F.count_if("__too_short").alias("too_short"),
+    )
+
+
 def has_bad_bytes(spark: SparkSession, path: str, encoding_name: str) -> bool:
     """Whether U+FFFD seen in the data stands for bytes the encoding does not have.
 
