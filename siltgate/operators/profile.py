@@ -477,7 +477,7 @@ ENTRY = (
 )
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _safe_name_lists(headers: pd.Series) -> pd.Series:
     return headers.map(lambda header: None if header is None else safe_names(list(header)))
 
