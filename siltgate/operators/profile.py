@@ -6,9 +6,11 @@ fixed number of jobs. Only small facts about files reach the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Container, Mapping
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -40,8 +42,11 @@ SCAN_SUFFIX = r"(?i)\.(csv|xlsx)$"
 
 def discover_files(spark: SparkSession, directory: str, *, recursive: bool = False, own_folder: str | None = None) -> DataFrame:
     """Supported files below a directory: path, size, kind and normalised stem. Reads no content."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory)
-    files = listed.select("path", "length").where(F.col("path").rlike(SCAN_SUFFIX))
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory)
+    # A scan has no rows for empty files, so the paths come from the listing itself.
+    paths = [(re.sub("^file:/+", "file:/", unquote(path)),) for path in scan.inputFiles()]
+    listed = spark.createDataFrame(paths, "path string").where(F.col("path").rlike(SCAN_SUFFIX))
+    files = listed.join(scan.select("path", "length"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     if own_folder:
         files = files.where(~F.contains("path", F.lit(f"/{own_folder.strip('/')}/")))
     name = F.element_at(F.split("path", "/"), -1)
@@ -124,44 +129,41 @@ def detect_delimiters(sampled: DataFrame) -> DataFrame:
     """(path, delimiter, confident) from sampled lines.
 
     Confident: some delimiter occurs equally often, outside quotes, on nearly all lines. Else
-    the delimiter with most occurrences on the first lines, or a comma.
+    the delimiter with most occurrences on the first lines, or a comma. Quoted text is taken
+    out of a file's sample as a whole, because it may hold line breaks.
     """
-    lines = sampled.where(F.trim("line") != "")
-    bare = F.regexp_replace("line", QUOTED_CELL, "")
-    only = Window.partitionBy("path")
-    usable = lines.withColumn("lines", F.count(F.lit(1)).over(only)).where(F.col("whole") | (F.col("lines") == 1))
-    numbered = usable.withColumn("nth", F.row_number().over(only.orderBy("place")))
-    per_delimiter = numbered.select(
-        "path",
-        "nth",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(rank).alias("rank"), _occurrences(bare, d).alias("outside"), _occurrences(F.col("line"), d).alias("all"))
-                    for rank, d in enumerate(DELIMITERS)
-                ]
-            )
-        ),
+    samples = sampled.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "line", "whole"))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda line: line["line"]), "\n")
+    bare = F.split(F.regexp_replace(text, f'{QUOTED_CELL}|"[^"]*+$', ""), "\n")
+    cut = ~F.element_at("lines", -1)["whole"] & (F.size(bare) > 1)
+    usable = F.when(cut, F.slice(bare, F.lit(1), F.size(bare) - 1)).otherwise(bare)
+    filled = lambda lines: F.filter(lines, lambda line: F.trim(line) != "")
+    prepared = samples.select(
+        "path", filled(usable).alias("usable"), F.slice(filled(F.split(text, "\n")), 1, FALLBACK_LINES).alias("early")
     )
-    counted = per_delimiter.groupBy("path", "rank", "outside").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.when(F.col("nth") <= FALLBACK_LINES, F.col("all")).otherwise(0)).alias("early")
+    scored = prepared.select(
+        "path",
+        *[_consistency(F.col("usable"), d).alias(f"share{i}") for i, d in enumerate(DELIMITERS)],
+        *[_occurrences(F.array_join("early", ""), d).alias(f"early{i}") for i, d in enumerate(DELIMITERS)],
     )
-    share = F.max(F.when(F.col("outside") > 0, F.col("lines"))) / F.sum("lines")
-    scored = counted.groupBy("path", "rank").agg(F.coalesce(share, F.lit(0.0)).alias("share"), F.sum("early").alias("early"))
-    best = scored.groupBy("path").agg(
-        F.min(F.when(F.col("share") >= CONSISTENT_SHARE, F.col("rank"))).alias("sure"),
-        F.max(F.struct("early", (-F.col("rank")).alias("r"))).alias("likely"),
+    sure = F.coalesce(*[F.when(F.col(f"share{i}") >= CONSISTENT_SHARE, F.lit(d)) for i, d in enumerate(DELIMITERS)])
+    most = F.greatest(*[F.col(f"early{i}") for i in range(len(DELIMITERS))])
+    likely = F.coalesce(*[F.when((most > 0) & (F.col(f"early{i}") == most), F.lit(d)) for i, d in enumerate(DELIMITERS)])
+    return scored.select(
+        "path", F.coalesce(sure, likely, F.lit(DELIMITERS[0])).alias("delimiter"), sure.isNotNull().alias("confident")
     )
-    fallback = F.when(F.col("likely.early") > 0, -F.col("likely.r")).otherwise(0)
-    names = F.array(*map(F.lit, DELIMITERS))
-    return best.select(
-        "path",
-        F.get(names, F.coalesce("sure", fallback)).alias("delimiter"),
-        F.col("sure").isNotNull().alias("confident"),
+
+
+def _consistency(lines: Column, delimiter: str) -> Column:
+    """The largest share of lines that hold the same positive number of a delimiter."""
+    counts = F.transform(lines, lambda line: _occurrences(line, delimiter))
+    shares = F.transform(
+        F.filter(F.array_distinct(counts), lambda n: n > 0), lambda n: F.size(F.filter(counts, lambda m: m == n)) / F.size(lines)
     )
+    return F.coalesce(F.array_max(shares), F.lit(0.0))
 
 
-def _occurrences(text: Column | str, delimiter: str) -> Column:
+def _occurrences(text: Column, delimiter: str) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit(delimiter), F.lit("")))
 
 
