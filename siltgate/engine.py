@@ -14,10 +14,10 @@ from siltgate.errors import Diagnostic, EngineError, ResultCode, fail
 from siltgate.operators.accounting import count_columns, gate, rows_summary
 from siltgate.operators.checks import accepted_rows, check_rows, shape_diagnostics
 from siltgate.operators.edits import apply_edits
-from siltgate.operators.rejects import reject_rows, write_rejects
+from siltgate.operators.rejects import found_rejects, reject_rows, write_rejects
 from siltgate.operators.tracked import TrackedFrame
 from siltgate.plans.recipe import Recipe, Settings, resolve_settings
-from siltgate.session import require_utc
+from siltgate.session import require_utc, scratch_table
 from siltgate.sinks import runlog
 from siltgate.sinks.tables import StagedReplace, append_rows
 from siltgate.sources.base import Source
@@ -141,12 +141,11 @@ def validate(
 ) -> RunResult:
     """Count accepted and rejected rows, write the reject rows, and judge the run.
 
-    Jobs: one aggregate over the source, and one write of rejects if there are any.
+    The source is scanned once: the rows are counted while the rejects are set aside.
     """
     started = _now()
     plan = compile_recipe(spark, recipe, source=source, defaults=workspace and workspace.defaults, call=call)
-    counts = plan.frame.df.agg(*plan.counters()).first().asDict()
-    return _judged(spark, plan, counts, workspace, "validate", run_id or runlog.new_run_id(started), started)
+    return _counted(spark, plan, workspace, "validate", run_id or runlog.new_run_id(started), started)
 
 
 def load(
@@ -177,8 +176,7 @@ def load(
 
 
 def _append(spark: SparkSession, plan: Plan, workspace: Workspace, run_id: str, started: dt.datetime) -> RunResult:
-    counts = plan.frame.df.agg(*plan.counters()).first().asDict()
-    judged = _judged(spark, plan, counts, workspace, "load", run_id, started)
+    judged = _counted(spark, plan, workspace, "load", run_id, started)
     if judged.result_code != ResultCode.SUCCESS:
         return judged
     counted = plan.counted_by(Observation(), F.count(F.lit(1)).alias("read"))
@@ -197,8 +195,7 @@ def _replace(spark: SparkSession, plan: Plan, workspace: Workspace, run_id: str,
     except EngineError:
         raise
     except PySparkException as error:
-        counts = plan.frame.df.agg(*plan.counters()).first().asDict()
-        judged = _judged(spark, plan, counts, workspace, "load", run_id, started)
+        judged = _counted(spark, plan, workspace, "load", run_id, started)
         return judged if judged.result_code != ResultCode.SUCCESS else _failed(judged, _load_failed(judged, error))
     try:
         judged = _judged(spark, plan, observation.get, workspace, "load", run_id, started)
@@ -244,6 +241,18 @@ def _load_failed(judged: RunResult, error: PySparkException) -> EngineError:
     )
 
 
+def _counted(
+    spark: SparkSession, plan: Plan, workspace: Workspace | None, command: str, run_id: str, started: dt.datetime
+) -> RunResult:
+    """Take the counts in one scan, which also finds the rejects if they are to be written."""
+    if workspace is None or not plan.frame.findings:
+        counts = plan.frame.df.agg(*plan.counters()).first().asDict()
+        return _judged(spark, plan, counts, workspace, command, run_id, started)
+    observation = Observation()
+    found = scratch_table(found_rejects(plan.counted_by(observation).frame), "rejects")
+    return _judged(spark, plan, observation.get, workspace, command, run_id, started, found)
+
+
 def _judged(
     spark: SparkSession,
     plan: Plan,
@@ -252,13 +261,14 @@ def _judged(
     command: str,
     run_id: str,
     started: dt.datetime,
+    found: DataFrame | None = None,
 ) -> RunResult:
     _raise_scan_faults(spark, plan.source, counts)
     blocked = bool(plan.diagnostics)
     rows = rows_summary(counts, has_diagnostics=blocked)
     rejects = None
     if workspace and rows["rejected_edit"] + rows["rejected_validate"]:
-        rejects = write_rejects(plan.frame, f"{workspace.rejects.rstrip('/')}/{run_id}")
+        rejects = write_rejects(plan.frame, f"{workspace.rejects.rstrip('/')}/{run_id}", found)
     return RunResult(
         command=command,
         run_id=run_id,

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, functions as F, types as T
 
 from siltgate.errors import EngineError, fail
-from siltgate.functions.text import EDGE_SPACE_AND_SEPARATORS, float_text
+from siltgate.functions.text import SEPARATORS, float_text, strip_unicode
 from siltgate.plans.types import CAST_FEEDS, SPARK_MAX_PRECISION, DeclaredColumn
 
 # Texts read as true and as false.
@@ -190,7 +190,7 @@ def boolean_value(column: Column, data_type: T.DataType) -> Column:
         return column
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         column = float_text(column)
-    word = F.lower(F.regexp_replace(column.cast("string"), EDGE_SPACE_AND_SEPARATORS, ""))
+    word = F.lower(strip_unicode(column.cast("string"), also=SEPARATORS))
     return F.when(word.isin(*TRUE_TEXTS), True).when(word.isin(*FALSE_TEXTS), False)
 
 

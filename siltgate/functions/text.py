@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-# Unicode White_Space at either end; the second form also takes U+001C-U+001F.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
-EDGE_SPACE_AND_SEPARATORS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters with the Unicode property White_Space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# Control characters that also count as space around a boolean.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
-def strip_unicode(column: Column) -> Column:
+def strip_unicode(column: Column, also: str = "") -> Column:
     """Remove white space of every kind from both ends (SQL ``trim`` only knows U+0020)."""
-    return F.regexp_replace(column, EDGE_SPACE, "")
+    return F.btrim(column, F.lit(WHITE_SPACE + also))
 
 
 def iso_timestamp(column: Column) -> Column:

@@ -398,7 +398,7 @@ def profile_folder(
     """Every supported file and sheet of a folder with its proposed table and columns.
 
     One row per column: (source_path, sheet, status, table, position, source_column, column,
-    type, code). An entry that cannot be profiled is one row with its code; the rest go on.
+    type, code, encoding, delimiter). An entry that cannot be profiled is one row with its code; the rest go on.
     Encodings and structure of all text files come from one pass over them, delimiters from a
     pass over their heads, column lengths from one more pass.
     """
@@ -411,7 +411,7 @@ def profile_folder(
     named = folder_tables(columns.select("source_path", "sheet", "sheets", "sheet_position").distinct())
     return columns.join(named, (columns.source_path == named.path) & columns.sheet.eqNullSafe(named.sheet_name), "left").select(
         "source_path", "sheet", F.when(F.col("code").isNull(), "created").otherwise("failed").alias("status"),
-        "table", "position", "source_column", "column", "type", "code",
+        "table", "position", "source_column", "column", "type", "code", "encoding", "delimiter",
     )
 
 
@@ -427,7 +427,7 @@ def folder_totals(profile: DataFrame) -> DataFrame:
 
 def folder_recipes(profile: DataFrame, defaults: Mapping[str, Any] | None = None) -> list[Recipe]:
     """The proposals as recipes: plan objects, a few kilobytes each."""
-    ok = profile.where(F.col("status") == "created").groupBy("source_path", "sheet", "table").agg(
+    ok = profile.where(F.col("status") == "created").groupBy("source_path", "sheet", "table", "encoding", "delimiter").agg(
         F.array_sort(F.collect_list(F.struct("position", "source_column", "type"))).alias("columns")
     )
     settings = resolve_settings(defaults)
@@ -435,7 +435,8 @@ def folder_recipes(profile: DataFrame, defaults: Mapping[str, Any] | None = None
         Recipe.from_dict(
             recipe_mapping(
                 recipe_name(row.table), row.table, row.source_path,
-                [c.source_column for c in row.columns], [c.type for c in row.columns], settings, sheet=row.sheet,
+                [c.source_column for c in row.columns], [c.type for c in row.columns], settings,
+                sheet=row.sheet, encoding=row.encoding, delimiter=row.delimiter,
             )
         )
         for row in ok.orderBy("source_path", "table").toLocalIterator()
@@ -475,7 +476,7 @@ def _file_stem(path: str) -> str:
 
 ENTRY = (
     "source_path string, sheet string, sheets int, sheet_position int, position int, "
-    "source_column string, `column` string, type string, code string"
+    "source_column string, `column` string, type string, code string, encoding string, delimiter string"
 )
 
 
@@ -490,10 +491,11 @@ def _entries(described: DataFrame) -> DataFrame:
     columns = F.when(
         F.col("code").isNull(), F.arrays_zip(F.col("header").alias("header"), F.col("names").alias("names"), F.col("types").alias("types"))
     )
-    exploded = named.select("source_path", "sheet", "sheets", "sheet_position", "code", F.posexplode_outer(columns))
+    exploded = named.select("source_path", "sheet", "sheets", "sheet_position", "code", "encoding", "delimiter", F.posexplode_outer(columns))
     return exploded.select(
         "source_path", "sheet", "sheets", "sheet_position", (F.col("pos") + 1).alias("position"),
-        F.col("col.header").alias("source_column"), F.col("col.names").alias("column"), F.col("col.types").alias("type"), "code",
+        F.col("col.header").alias("source_column"), F.col("col.names").alias("column"), F.col("col.types").alias("type"),
+        "code", "encoding", "delimiter",
     )
 
 
@@ -558,7 +560,7 @@ def _spanning_entries(spark: SparkSession, path: str, encoding: str, delimiter:
     try:
         source = read_delimited(spark, path, encoding=encoding, delimiter=delimiter, multi_line=True)
     except EngineError as error:
-        failed = (path, None, None, None, None, None, None, None, error.code)
+        failed = (path, None, None, None, None, None, None, None, error.code, encoding, delimiter)
         return spark.createDataFrame([failed], ENTRY)
     names = F.array(*map(F.lit, safe_names(source.columns)))
     originals = F.array(*map(F.lit, source.columns))
@@ -567,6 +569,7 @@ def _spanning_entries(spark: SparkSession, path: str, encoding: str, delimiter:
         F.lit(path).alias("source_path"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("sheets"),
         F.lit(None).cast("int").alias("sheet_position"), "position", F.element_at(originals, F.col("position")).alias("source_column"),
         F.element_at(names, F.col("position")).alias("column"), "type", F.lit(None).cast("string").alias("code"),
+        F.lit(encoding).alias("encoding"), F.lit(delimiter).alias("delimiter"),
     )
 
 
@@ -617,6 +620,7 @@ def described_sheets(sheets: DataFrame, rows: DataFrame) -> DataFrame:
         )
         .select(
             F.col("path").alias("source_path"), "sheet", "sheets", F.col("position").alias("sheet_position"), "code", "header",
+            F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("string").alias("delimiter"),
             F.transform(
                 F.sequence(F.lit(0), F.size("header") - 1),
                 lambda i: F.coalesce(F.element_at("by_place", i), F.lit(f"VARCHAR({VARCHAR_LIMIT})")),

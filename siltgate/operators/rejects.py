@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltgate.functions.text import plain_text
 from siltgate.operators.tracked import ROW_INDEX, Finding, TrackedFrame
+from siltgate.session import scratch_table
 
 # Metadata columns of a reject row, in order.
 METADATA_COLUMNS = ("__stage", ROW_INDEX, "__column", "__check", "__value", "__reason")
@@ -23,86 +24,89 @@ CSV_OUTPUT = {
 }
 
 
-def reject_rows(frame: TrackedFrame, *, with_order: bool = False) -> DataFrame:
-    """Original columns and metadata for each finding of each failing row.
+def found_rejects(frame: TrackedFrame) -> DataFrame:
+    """One row per finding: original slots, position, number of the finding, value; unnumbered.
 
-    The filter comes first, so records are built, exploded and numbered for failing rows only.
+    The filter comes first, so findings are listed for failing rows only. Texts that depend on
+    the finding alone are left out until the rows are shown.
     """
-    original = list(frame.original.items())
-    if not frame.findings:
-        empty = frame.numbering.number(frame.df.where(F.lit(False)))
-        frame_df = empty.withColumn("__r", _record(None, 0, F.lit(None).cast("string")))
-    else:
-        failing = frame.df.where(frame.failed())
-        records = [_when_found(frame, number, finding) for number, finding in enumerate(frame.findings)]
-        frame_df = frame.numbering.number(failing.withColumn("__r", F.explode(F.array_compact(F.array(*records)))))
+    listed = F.array(
+        *[
+            F.when(_found(frame, finding), F.struct(F.lit(number).alias("finding"), _value(frame, finding).alias("value")))
+            for number, finding in enumerate(frame.findings)
+        ]
+    ) if frame.findings else F.array(F.struct(F.lit(0).alias("finding"), F.lit("").alias("value")))
+    found = frame.rows_where(frame.failed()).withColumn("__r", F.explode(listed)).where(F.col("__r").isNotNull())
+    computed = {slot for slot in frame.df.columns if slot.startswith("e") and slot[1:].isdigit()}
+    return found.drop(*computed)
+
+
+def numbered_rejects(frame: TrackedFrame, found: DataFrame, *, with_order: bool = False) -> DataFrame:
+    """Found rejects as they are shown: numbered, original columns as text, then the metadata."""
     columns = [
-        F.coalesce(plain_text(F.col(slot), frame.df.schema[slot].dataType), F.lit("")).alias(name) for name, slot in original
+        F.coalesce(plain_text(F.col(slot), frame.df.schema[slot].dataType), F.lit("")).alias(name)
+        for name, slot in frame.original.items()
     ]
-    out = frame_df.select(
+    finding = F.col("__r.finding")
+    return frame.numbering.number(found).select(
         *columns,
-        F.col("__r.stage").alias("__stage"),
+        _label(frame, finding, "stage").alias("__stage"),
         F.col(ROW_INDEX),
-        F.col("__r.column").alias("__column"),
-        F.col("__r.check").alias("__check"),
+        _label(frame, finding, "column").alias("__column"),
+        _label(frame, finding, "check").alias("__check"),
         F.coalesce(F.col("__r.value"), F.lit("")).alias("__value"),
-        F.col("__r.reason").alias("__reason"),
-        *([F.col("__r.finding").alias(FINDING_ORDER)] if with_order else []),
+        _label(frame, finding, "reason").alias("__reason"),
+        *([finding.alias(FINDING_ORDER)] if with_order else []),
     )
-    return out
 
 
-def ordered_rejects(frame: TrackedFrame) -> DataFrame:
+def reject_rows(frame: TrackedFrame) -> DataFrame:
+    """Original columns and metadata for each finding of each failing row."""
+    return numbered_rejects(frame, found_rejects(frame))
+
+
+def ordered_rejects(frame: TrackedFrame, found: DataFrame | None = None) -> DataFrame:
     """Reject rows sorted by finding, then row number: the order a reject file is read in.
 
     A range sort of the reject rows alone. The key is unique, so no range grows hot.
     """
-    rows = reject_rows(frame, with_order=True)
+    rows = numbered_rejects(frame, found_rejects(frame) if found is None else found, with_order=True)
     return rows.orderBy(FINDING_ORDER, ROW_INDEX).drop(FINDING_ORDER)
 
 
-def write_rejects(frame: TrackedFrame, folder: str) -> str:
-    """Write the reject rows as a folder of CSV files with headers; parts are in row order."""
-    df = ordered_rejects(frame)
-    df.write.mode("errorifexists").options(**CSV_OUTPUT).csv(folder)
+def write_rejects(frame: TrackedFrame, folder: str, found: DataFrame | None = None) -> str:
+    """Write the reject rows as a folder of CSV files with headers; parts are in row order.
+
+    A range sort reads its input twice, so the rejects are found once, into a scratch table.
+    """
+    stored = scratch_table(found_rejects(frame), "rejects") if found is None else found
+    ordered_rejects(frame, stored).write.mode("errorifexists").options(**CSV_OUTPUT).csv(folder)
     return folder
 
 
 def reject_report(frame: TrackedFrame) -> DataFrame:
-    """Findings and rows per stage, column and check, without building any reject row.
+    """Rejects per stage, column and check, counted without building any reject row.
 
-    One aggregate over the frame: the failing checks of a row are exploded as small numbers,
-    combined on the map side, and only then given their names.
+    One aggregate over the frame, whose partial results are one number per finding.
     """
-    numbers = [
-        F.when(finding.failed & ~frame.failed_before(finding), F.lit(number))
-        for number, finding in enumerate(frame.findings)
-    ]
-    if not numbers:
-        numbers = [F.lit(None).cast("int")]
-    found = frame.df.where(frame.failed()).select(F.explode(F.array_compact(F.array(*numbers))).alias("n"))
-    counts = found.groupBy("n").agg(F.count(F.lit(1)).alias("rejects"))
+    counts = frame.df.agg(F.count(F.lit(1)), *[F.count_if(_found(frame, f)).alias(f"n{i}") for i, f in enumerate(frame.findings)])
+    per_finding = F.array(
+        *[
+            F.struct(*[F.lit(getattr(f, part)).alias(f"__{part}") for part in ("stage", "column", "check")], F.col(f"n{i}").alias("rejects"))
+            for i, f in enumerate(frame.findings)
+        ]
+    ) if frame.findings else F.expr("cast(array() as array<struct<__stage:string,__column:string,__check:string,rejects:bigint>>)")
+    found = counts.select(F.inline(per_finding)).where("rejects > 0")
+    return found.groupBy("__stage", "__column", "__check").agg(F.sum("rejects").alias("rejects"))
 
-    def label(attribute: str) -> Column:
-        return F.element_at(F.array(*[F.lit(str(getattr(f, attribute))) for f in frame.findings] or [F.lit("")]), F.col("n") + 1)
 
-    labelled = counts.select(
-        label("stage").alias("__stage"), label("column").alias("__column"), label("check").alias("__check"), "rejects"
-    )
-    return labelled.groupBy("__stage", "__column", "__check").agg(F.sum("rejects").alias("rejects"))
+def _found(frame: TrackedFrame, finding: Finding) -> Column:
+    return finding.failed & ~frame.failed_before(finding)
 
 
-def _when_found(frame: TrackedFrame, number: int, finding: Finding) -> Column:
-    value = plain_text(F.col(finding.slot), frame.df.schema[finding.slot].dataType)
-    return F.when(finding.failed & ~frame.failed_before(finding), _record(finding, number, value))
+def _value(frame: TrackedFrame, finding: Finding) -> Column:
+    return plain_text(F.col(finding.slot), frame.df.schema[finding.slot].dataType)
 
 
-def _record(finding: Finding | None, number: int, value: Column) -> Column:
-    return F.struct(
-        F.lit(number).alias("finding"),
-        F.lit(finding.stage if finding else "").alias("stage"),
-        F.lit(finding.column if finding else "").alias("column"),
-        F.lit(finding.check if finding else "").alias("check"),
-        value.cast("string").alias("value"),
-        F.lit(finding.reason if finding else "").alias("reason"),
-    )
+def _label(frame: TrackedFrame, finding: Column, part: str) -> Column:
+    return F.get(F.array(*[F.lit(getattr(f, part)) for f in frame.findings] or [F.lit("")]), finding)

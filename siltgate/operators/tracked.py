@@ -23,6 +23,7 @@ from siltgate.errors import fail
 
 # Fixed value: the row number column of reject rows; no user column may take its name.
 ROW_INDEX = "__row_index"
+_TICK = "__tick"
 
 
 class RowNumbering(Protocol):
@@ -107,8 +108,19 @@ class TrackedFrame:
         parts = [f.failed for f in self.findings if f.stage == "edit" and f.step < finding.step]
         return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
+    def rows_where(self, condition: Column) -> DataFrame:
+        """Rows that meet a condition over slots, with every slot computed once.
+
+        Catalyst would push the filter below the projections and compute each cast anew in it,
+        once per mention, which multiplies with every further edit. It leaves a filter above a
+        projection that numbers rows.
+        """
+        if not self.findings:
+            return self.df.where(condition)
+        return self.df.withColumn(_TICK, F.monotonically_increasing_id()).where((F.col(_TICK) >= 0) & condition).drop(_TICK)
+
     def live_rows(self, names: list[str] | None = None) -> DataFrame:
         """Rows without findings, under their user names."""
         chosen = self.columns if names is None else names
-        kept = self.df.where(~self.failed()) if self.findings else self.df
+        kept = self.rows_where(~self.failed()) if self.findings else self.df
         return kept.select(*[self.value(name).alias(name) for name in chosen])

@@ -146,7 +146,7 @@ def test_folder_profile_names_every_table(spark, folder):
         ("companies_csv", None), ("companies_xlsx", "Companies"), ("workbook_companies", "Companies"), ("workbook_employees", "Employees"),
     ]
     assert [(c.name, c.type.text) for c in recipes[2].schema] == [("company_id", "VARCHAR(4)"), ("Size", "DOUBLE")]
-    assert recipes[0].source["encoding"] == "utf-8" and recipes[0].source["delimiter"] == ","
+    assert (recipes[0].source["encoding"], recipes[0].source["delimiter"]) == ("utf-8", ",")
     for recipe in recipes:
         assert validate(spark, recipe).result_code == 0
 
