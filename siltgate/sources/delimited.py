@@ -15,9 +15,11 @@ from siltgate.operators.tracked import ColumnNumbering, ROW_INDEX
 from siltgate.session import pin_file_splits
 from siltgate.sources.base import Source, slots
 from siltgate.sources.encodings import REPLACEMENT, Encoding, resolve
-from siltgate.sources.position import POSITION, FileOrderNumbering, position_columns
+from siltgate.sources.position import POSITION, SEQ, START, FileOrderNumbering, position_columns
+from siltgate.sources.records import quote_count, spanning_records
 
 CORRUPT = "__corrupt"
+BAD_BYTES = "__bad"
 # A quoted cell; possessive, so that long cells need neither stack nor backtracking.
 QUOTED_CELL = '"[^"]*+(?:""[^"]*+)*+"'
 
@@ -58,51 +60,41 @@ def read_delimited(
                 raise fail("source.read_failed", "Files of one source must share one header.", path=file, header=header)
     if multi_line is None:
         multi_line = not resolved.by_line or needs_record_reader(spark, files)
-    # With one plain header per file, Spark itself compares each file's header with the names.
-    compare_headers = (
-        plain_header and len(files) > 1 and not resolved.mapped_from and len({name.lower() for name in header}) == len(header)
-    )
-
-    def scan(*, prune: bool) -> DataFrame:
-        columns = [*(header if compare_headers else slots(len(header))), *([] if prune else [CORRUPT])]
-        reader = spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in columns])).options(
-            sep=delimiter,
-            encoding=resolved.charset,
-            quote='"',
-            escape='"',
-            header=plain_header,
-            enforceSchema=not compare_headers,
-            multiLine=multi_line,
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord=CORRUPT,
-            columnPruning=prune,
-            maxColumns=max(20480, len(columns) + 1),
-        )
-        df = reader.csv(files)
-        named = [F.col(_quoted(name)).alias(slot) for name, slot in zip(columns, [*slots(len(header)), CORRUPT])]
-        return df.select(*named, *position_columns())
-
     names = slots(len(header))
-    rows = scan(prune=False)
-    numbering = FileOrderNumbering(scan(prune=True).select(*POSITION), 0 if plain_header else skipped)
+    by_records = multi_line and resolved.by_line
+    options = {
+        "sep": delimiter,
+        "quote": '"',
+        "escape": '"',
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "multiLine": multi_line,
+        "maxColumns": max(20480, len(header) + 2),
+    }
+    if by_records:
+        rows, numbering = _record_rows(spark, files, resolved, header, skipped, options)
+    else:
+        rows, numbering = _line_rows(spark, files, resolved, header, skipped, plain_header, options)
     # Spark refuses a query on the corrupt record alone, so the test also reads a first cell.
     malformed = F.col(CORRUPT).isNotNull() & (F.char_length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0)
     too_long = malformed & (record_width(resolved.decode(F.col(CORRUPT)), delimiter) > len(header))
-    cells = [F.coalesce(resolved.decode(F.col(name)), F.lit("")).alias(name) for name in names]
     too_short = malformed & ~too_long
+    cells = [F.coalesce(resolved.decode(F.col(name)), F.lit("")).alias(name) for name in names]
     faults = {"source.read_failed": F.col("__too_long")}
     checked = [too_long.alias("__too_long"), too_short.alias("__too_short")]
     if resolved.checks_bytes:
         suspicious = [F.contains(resolved.decode(F.col(name)), F.lit(REPLACEMENT)) for name in names]
-        checked.append(F.coalesce(F.greatest(*suspicious, F.lit(False)), F.lit(False)).alias("__bad_bytes"))
+        bad = F.col(BAD_BYTES) if by_records else F.lit(False)
+        checked.append(F.coalesce(F.greatest(bad, *suspicious, F.lit(False)), F.lit(False)).alias("__bad_bytes"))
         faults["source.bad_bytes"] = F.col("__bad_bytes")
     frame = rows.select(*cells, *POSITION, *checked)
-    if not plain_header:
+    above_is_header = skipped == 1 and (by_records or plain_header)
+    if not above_is_header:
         frame = numbering.number(frame).where(F.col(ROW_INDEX).isNotNull()).withColumnRenamed(ROW_INDEX, "__n")
     return Source(
         df=frame,
         columns=header,
-        numbering=numbering if plain_header else ColumnNumbering("__n"),
+        numbering=numbering if above_is_header else ColumnNumbering("__n"),
         file_type="csv",
         path=path,
         encoding=encoding,
@@ -111,6 +103,59 @@ def read_delimited(
     )
 
 
+def _line_rows(
+    spark: SparkSession,
+    files: list[str],
+    encoding: Encoding,
+    header: list[str],
+    skipped: int,
+    plain_header: bool,
+    options: dict,
+) -> tuple[DataFrame, FileOrderNumbering]:
+    """Rows of Spark's own reader, in splits when every record is a line."""
+    # With one plain header per file, Spark itself compares each file's header with the names.
+    compare_headers = (
+        plain_header and len(files) > 1 and not encoding.mapped_from and len({name.lower() for name in header}) == len(header)
+    )
+
+    def scan(*, prune: bool) -> DataFrame:
+        columns = [*(header if compare_headers else slots(len(header))), *([] if prune else [CORRUPT])]
+        reader = spark.read.schema(_text_schema(columns)).options(
+            **options, encoding=encoding.charset, header=plain_header, enforceSchema=not compare_headers, columnPruning=prune
+        )
+        df = reader.csv(files)
+        named = [F.col(_quoted(name)).alias(slot) for name, slot in zip(columns, [*slots(len(header)), CORRUPT])]
+        return df.select(*named, *position_columns())
+
+    return scan(prune=False), FileOrderNumbering(scan(prune=True).select(*POSITION), 0 if plain_header else skipped)
+
+
+def _record_rows(
+    spark: SparkSession, files: list[str], encoding: Encoding, header: list[str], skipped: int, options: dict
+) -> tuple[DataFrame, FileOrderNumbering]:
+    """Rows of records that may span lines, assembled in parallel, then split by Spark."""
+    records = spanning_records(spark, files)
+    raw = F.col("record")
+    text = F.decode(raw, encoding.charset) if encoding.charset == "ISO-8859-1" else raw.cast("string")
+    bad = ~F.is_valid_utf8(raw.cast("string")) if encoding.charset == "UTF-8" else F.lit(False)
+    if encoding.charset == "US-ASCII":
+        bad = raw.cast("string").rlike(r"[^\x00-\x7f]")
+    names = [*slots(len(header)), CORRUPT]
+    cells = F.from_csv(F.regexp_replace(text, "\r$", ""), ", ".join(f"{name} string" for name in names), options)
+    rows = records.select(*POSITION, bad.alias(BAD_BYTES), cells.alias("cells")).select(*POSITION, BAD_BYTES, "cells.*")
+    numbering = FileOrderNumbering(records.select(*POSITION), skipped)
+    if skipped == 1:
+        same = F.array(*[encoding.decode(F.col(slot)) for slot in names[:-1]]) == F.array(*map(F.lit, header))
+        differs = F.raise_error(F.lit("Files of one source must share one header.")).cast("boolean")
+        is_header = (F.col(START) == 0) & (F.col(SEQ) == 0)
+        rows = rows.where(F.when(is_header, F.when(F.coalesce(same, F.lit(False)), False).otherwise(differs)).otherwise(True))
+    return rows, numbering
+
+
+def _text_schema(columns: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in columns])
+
+
 def check_row_options(header_row: int, skip_rows: int) -> None:
     if header_row < 1:
         raise fail("source.invalid_header_row", "header_row starts at 1.", header_row=header_row)
@@ -169,9 +214,8 @@ def needs_record_reader(spark: SparkSession, files: list[str]) -> bool:
     the first such line.
     """
     value = F.col("value")
-    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     only_space = (value != "") & value.rlike(r"^[\x00-\x20]+$")
-    return not spark.read.text(files).where((quotes % 2 == 1) | only_space).isEmpty()
+    return not spark.read.text(files).where((quote_count(value) % 2 == 1) | only_space).isEmpty()
 
 
 def record_width(record: Column, delimiter: str) -> Column:
