@@ -15,16 +15,17 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from siltgate.errors import EngineError, ResultCode, fail
+from siltgate.errors import ResultCode, fail
 from siltgate.functions.text import iso_timestamp
 from siltgate.functions.naming import NamePool, recipe_name, safe_name, safe_names
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.plans.recipe import Recipe, resolve_settings
 from siltgate.session import pin_file_splits, scratch_table
 from siltgate.sources.base import Source
-from siltgate.sources.delimited import QUOTED_CELL, read_delimited
+from siltgate.sources.delimited import QUOTED_CELL
 from siltgate.sources.open import open_source, source_format
 from siltgate.sources.position import FILE, SEQ, START, position_columns
+from siltgate.sources.records import quote_count, spanning_records
 from siltgate.sources.workbook import column_type, sheet_extents, workbook_files, workbook_rows, workbook_sheets
 
 # Delimiters looked for, in order of preference, and how much text is looked at.
@@ -76,11 +77,10 @@ def file_facts(lines: DataFrame) -> DataFrame:
     The reader drops a byte order mark, so it shows as bytes that no line accounts for.
     """
     value = F.col("value")
-    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
     facts = lines.groupBy(F.col(FILE).alias("path")).agg(
         (F.first("size") - F.sum(F.octet_length(value)) - F.count(F.lit(1)) >= 2).alias("marked"),
         F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
-        F.bool_or(quotes % 2 == 1).alias("spans_lines"),
+        F.bool_or(quote_count(value) % 2 == 1).alias("spans_lines"),
         F.min(F.when(F.col(START) == 0, F.col(SEQ))).alias("first"),
     )
     # The three encodings told apart.
@@ -513,10 +513,12 @@ def text_entries(spark: SparkSession, files: DataFrame, encoding: str | None, de
         found = found.withColumn("delimiter", F.lit(delimiter)).withColumn("confident", F.lit(True))
     formats = scratch_table(facts.join(found, "path", "left"), "formats")
 
-    read = lines.join(formats.withColumnRenamed("path", FILE), FILE).where(F.col("confident") & ~F.col("spans_lines"))
-    line = decoded(F.col("value"), F.col("encoding"))
-    is_header = (F.col(START) == 0) & (F.col(SEQ) == F.col("first"))
-    cells = read.select(FILE, is_header.alias("is_header"), split_record(line, F.col("delimiter")).alias("cells"), (line == "").alias("blank"))
+    wanted = formats.where("confident").withColumnRenamed("path", FILE)
+    cells = _split_cells(lines.select(FILE, START, SEQ, "value").join(wanted.where("not spans_lines"), FILE), F.col("first"))
+    spanning = [row[0] for row in wanted.where("spans_lines").select(FILE).orderBy(FILE).toLocalIterator()]
+    if spanning:
+        records = spanning_records(spark, spanning).withColumn("value", F.col("record").cast("string")).drop("record")
+        cells = cells.union(_split_cells(records.join(wanted, FILE), F.lit(0)))
     headers = cells.where("is_header").select(F.col(FILE).alias("path"), F.col("cells").alias("header"))
     lengths = (
         cells.where("not is_header and not blank")
@@ -538,7 +540,6 @@ def text_entries(spark: SparkSession, files: DataFrame, encoding: str | None, de
             "code",
             F.when(F.col("encoding").isNull(), "source.empty")
             .when(~F.coalesce("confident", F.lit(False)), "source.csv_detection_failed")
-            .when(F.col("spans_lines"), "spans_lines")
             .when(header_code(F.col("header")).isNotNull(), header_code(F.col("header")))
             .when(F.col("last") >= F.size("header"), "source.read_failed"),
         )
@@ -548,28 +549,15 @@ def text_entries(spark: SparkSession, files: DataFrame, encoding: str | None, de
             F.transform(places, lambda i: text_type(length_at(i))).alias("types"),
         )
     )
-    described = scratch_table(described, "described")
-    simple = _entries(described.where(~F.col("code").eqNullSafe("spans_lines")))
-    # Files whose records span lines need a whole-record reader each.
-    for row in described.where(F.col("code") == "spans_lines").orderBy("source_path").toLocalIterator():
-        simple = simple.unionByName(_spanning_entries(spark, row.source_path, row.encoding, row.delimiter))
-    return simple
-
-
-def _spanning_entries(spark: SparkSession, path: str, encoding: str, delimiter: str) -> DataFrame:
-    try:
-        source = read_delimited(spark, path, encoding=encoding, delimiter=delimiter, multi_line=True)
-    except EngineError as error:
-        failed = (path, None, None, None, None, None, None, None, error.code, encoding, delimiter)
-        return spark.createDataFrame([failed], ENTRY)
-    names = F.array(*map(F.lit, safe_names(source.columns)))
-    originals = F.array(*map(F.lit, source.columns))
-    proposed = infer_schema(source.df.select(*[f"c{i}" for i in range(len(source.columns))]))
-    return proposed.select(
-        F.lit(path).alias("source_path"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("sheets"),
-        F.lit(None).cast("int").alias("sheet_position"), "position", F.element_at(originals, F.col("position")).alias("source_column"),
-        F.element_at(names, F.col("position")).alias("column"), "type", F.lit(None).cast("string").alias("code"),
-        F.lit(encoding).alias("encoding"), F.lit(delimiter).alias("delimiter"),
+    return _entries(described)
+
+
+def _split_cells(read: DataFrame, first: Column) -> DataFrame:
+    """(file, is_header, cells, blank) of raw records with their file's format beside them."""
+    line = decoded(F.col("value"), F.col("encoding"))
+    is_header = (F.col(START) == 0) & (F.col(SEQ) == first)
+    return read.select(
+        FILE, is_header.alias("is_header"), split_record(line, F.col("delimiter")).alias("cells"), (line == "").alias("blank")
     )
 
 

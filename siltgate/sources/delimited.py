@@ -35,7 +35,10 @@ def read_delimited(
     multi_line: bool | None = None,
     files: list[str] | None = None,
 ) -> Source:
-    """A file, or a folder of files that share one header."""
+    """A file, or a folder of files that share one header.
+
+    Only the first file's head is read beforehand; the scan itself checks the other headers.
+    """
     missing = [key for key, value in (("encoding", encoding), ("delimiter", delimiter)) if not value]
     if missing:
         raise fail("source.csv_settings_required", "A CSV source needs an encoding and a delimiter.", path=path, missing=missing)
@@ -52,12 +55,6 @@ def read_delimited(
     # Spark never counts empty lines as records.
     skipped = sum(1 for record in head if _counts(record))
     plain_header = above == 1 and skipped == 1
-    if not plain_header:
-        # Lines above the data are counted per file, so each file's head is read.
-        for file in files[1:]:
-            other = read_head(spark, file, resolved, delimiter, above)
-            if check_header(other, above, file) != header or sum(1 for record in other if _counts(record)) != skipped:
-                raise fail("source.read_failed", "Files of one source must share one header.", path=file, header=header)
     if multi_line is None:
         multi_line = not resolved.by_line or needs_record_reader(spark, files)
     names = slots(len(header))
@@ -77,20 +74,23 @@ def read_delimited(
         rows, numbering = _line_rows(spark, files, resolved, header, skipped, plain_header, options)
     # Spark refuses a query on the corrupt record alone, so the test also reads a first cell.
     malformed = F.col(CORRUPT).isNotNull() & (F.char_length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0)
-    too_long = malformed & (record_width(resolved.decode(F.col(CORRUPT)), delimiter) > len(header))
+    decode = (lambda column: column) if by_records else resolved.decode
+    too_long = malformed & (record_width(decode(F.col(CORRUPT)), delimiter) > len(header))
     too_short = malformed & ~too_long
-    cells = [F.coalesce(resolved.decode(F.col(name)), F.lit("")).alias(name) for name in names]
+    cells = [F.coalesce(decode(F.col(name)), F.lit("")).alias(name) for name in names]
     faults = {"source.read_failed": F.col("__too_long")}
     checked = [too_long.alias("__too_long"), too_short.alias("__too_short")]
     if resolved.checks_bytes:
-        suspicious = [F.contains(resolved.decode(F.col(name)), F.lit(REPLACEMENT)) for name in names]
+        suspicious = [F.contains(decode(F.col(name)), F.lit(REPLACEMENT)) for name in names]
         bad = F.col(BAD_BYTES) if by_records else F.lit(False)
         checked.append(F.coalesce(F.greatest(bad, *suspicious, F.lit(False)), F.lit(False)).alias("__bad_bytes"))
         faults["source.bad_bytes"] = F.col("__bad_bytes")
     frame = rows.select(*cells, *POSITION, *checked)
     above_is_header = skipped == 1 and (by_records or plain_header)
     if not above_is_header:
-        frame = numbering.number(frame).where(F.col(ROW_INDEX).isNotNull()).withColumnRenamed(ROW_INDEX, "__n")
+        numbered = numbering.number(frame, "__place")
+        kept = _without_header(F.col("__place") == skipped - 1, names, header).otherwise(F.col(ROW_INDEX).isNotNull())
+        frame = numbered.where(kept).drop("__place").withColumnRenamed(ROW_INDEX, "__n")
     return Source(
         df=frame,
         columns=header,
@@ -141,17 +141,22 @@ def _record_rows(
     if encoding.charset == "US-ASCII":
         bad = raw.cast("string").rlike(r"[^\x00-\x7f]")
     names = [*slots(len(header)), CORRUPT]
-    cells = F.from_csv(F.regexp_replace(text, "\r$", ""), ", ".join(f"{name} string" for name in names), options)
+    cells = F.from_csv(F.regexp_replace(encoding.decode(text), "\r$", ""), ", ".join(f"{name} string" for name in names), options)
     rows = records.select(*POSITION, bad.alias(BAD_BYTES), cells.alias("cells")).select(*POSITION, BAD_BYTES, "cells.*")
     numbering = FileOrderNumbering(records.select(*POSITION), skipped)
     if skipped == 1:
-        same = F.array(*[encoding.decode(F.col(slot)) for slot in names[:-1]]) == F.array(*map(F.lit, header))
-        differs = F.raise_error(F.lit("Files of one source must share one header.")).cast("boolean")
         is_header = (F.col(START) == 0) & (F.col(SEQ) == 0)
-        rows = rows.where(F.when(is_header, F.when(F.coalesce(same, F.lit(False)), False).otherwise(differs)).otherwise(True))
+        rows = rows.where(_without_header(is_header, names[:-1], header).otherwise(True))
     return rows, numbering
 
 
+def _without_header(is_header: Column, names: list[str], header: list[str]) -> Column:
+    """False for a file's header record; the job fails where it is not the expected header."""
+    same = F.array(*map(F.col, names)) == F.array(*map(F.lit, header))
+    differs = F.raise_error(F.lit("Files of one source must share one header.")).cast("boolean")
+    return F.when(is_header, F.when(F.coalesce(same, F.lit(False)), False).otherwise(differs))
+
+
 def _text_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
 

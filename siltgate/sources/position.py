@@ -76,14 +76,20 @@ class FileOrderNumbering:
             self._offsets = split_offsets(splits, self.skip, self.broadcast_splits)
         return self._offsets
 
-    def number(self, df: DataFrame) -> DataFrame:
-        """Add the row number; rows among the skipped ones get none (null)."""
+    def number(self, df: DataFrame, place_in_file: str | None = None) -> DataFrame:
+        """Add the row number; rows among the skipped ones get none (null).
+
+        ``place_in_file`` names a column for the place in the file, counted from 0 with the
+        skipped rows.
+        """
         place = F.col(SEQ) - F.col("first")
         known = F.coalesce((place >= 0) & (place < F.col("n")), F.lit(False))
         in_file = F.col("in_file") + place
         number = F.col("before") + in_file - F.greatest(F.col("in_file"), F.lit(self.skip)) + 1
         moved = F.raise_error(F.lit("File splits changed between jobs; keep spark.sql.files settings fixed."))
-        joined = df.join(self.offsets(), [FILE, START], "left")
-        return joined.withColumn(
+        joined = df.join(self.offsets(), [FILE, START], "left").withColumn(
             ROW_INDEX, F.when(known, F.when(in_file >= self.skip, number)).otherwise(moved.cast("bigint"))
-        ).drop("n", "first", "in_file", "before")
+        )
+        if place_in_file:
+            joined = joined.withColumn(place_in_file, in_file)
+        return joined.drop("n", "first", "in_file", "before")
