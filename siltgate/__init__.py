@@ -6,6 +6,7 @@ from pyspark import cloudpickle
 
 from siltgate.engine import Plan, RunResult, Workspace, compile_recipe, load, validate
 from siltgate.errors import Diagnostic, EngineError, ResultCode
+from siltgate.operators.profile import inspect_source, profile_folder, starter_recipe
 from siltgate.plans.recipe import Recipe, Settings, resolve_settings
 from siltgate.sinks.runlog import find_run, list_runs
 from siltgate.sources.open import open_source
@@ -26,9 +27,12 @@ __all__ = [
     "compile_recipe",
     "find_run",
     "from_dataframe",
+    "inspect_source",
     "list_runs",
     "load",
     "open_source",
+    "profile_folder",
     "resolve_settings",
+    "starter_recipe",
     "validate",
 ]

@@ -188,7 +188,7 @@ def profiled(spark, sf_dir):
 
 @query(
     "profile_totals",
-    f"SELECT count(DISTINCT o_orderkey // {FILE_ROWS}) AS files_found, count(DISTINCT o_orderkey // {FILE_ROWS}) AS created, 0 AS failed FROM orders",
+    f"SELECT count(DISTINCT o_orderkey // {FILE_ROWS}) AS files_found, count(DISTINCT o_orderkey // {FILE_ROWS}) AS created, 0 AS failed, 0 AS exit_code FROM orders",
 )
 def totals(spark, sf_dir):
     return folder_totals(profile_folder(spark, order_files(spark, sf_dir), recursive=True))

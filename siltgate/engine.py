@@ -54,13 +54,17 @@ class Plan:
         faults = [F.count_if(broken).alias(code) for code, broken in self.source.faults.items()]
         return [*count_columns(self.frame), *faults]
 
-    def counted_by(self, observation: Observation, *counters: Column) -> "Plan":
+    def counts(self) -> dict[str, int]:
+        """The counts alone, from one aggregate over the source."""
+        return self.frame.unlocated().df.agg(*self.counters()).first().asDict()
+
+    def counted_by(self, observation: Observation, *counters: Column, located: bool = False) -> "Plan":
         """The same plan, whose counts are taken while an output is written.
 
-        The filter for accepted rows stays above the counting, so each cast runs once a row.
+        The filter of the output stays above the counting, so each cast runs once a row.
         """
-        observed = self.frame.df.observe(observation, *(counters or self.counters()))
-        return replace(self, frame=replace(self.frame, df=observed))
+        frame = self.frame if located else self.frame.unlocated()
+        return replace(self, frame=frame.over(frame.df.observe(observation, *(counters or self.counters()))))
 
 
 @dataclass(frozen=True)
@@ -246,10 +250,9 @@ def _counted(
 ) -> RunResult:
     """Take the counts in one scan, which also finds the rejects if they are to be written."""
     if workspace is None or not plan.frame.findings:
-        counts = plan.frame.df.agg(*plan.counters()).first().asDict()
-        return _judged(spark, plan, counts, workspace, command, run_id, started)
+        return _judged(spark, plan, plan.counts(), workspace, command, run_id, started)
     observation = Observation()
-    found = scratch_table(found_rejects(plan.counted_by(observation).frame), "rejects")
+    found = scratch_table(found_rejects(plan.counted_by(observation, located=True).frame), "rejects")
     return _judged(spark, plan, observation.get, workspace, command, run_id, started, found)
 
 

@@ -26,7 +26,7 @@ def count_columns(frame: TrackedFrame) -> list[Column]:
 
 def row_accounting(frame: TrackedFrame, threshold: float, *, has_diagnostics: bool = False) -> DataFrame:
     """One row: the counts, the reject ratio and the result code they lead to."""
-    counts = frame.df.agg(*count_columns(frame))
+    counts = frame.unlocated().df.agg(*count_columns(frame))
     rejected = F.col("rejected_edit") + F.col("rejected_validate")
     ratio = F.coalesce(F.try_divide(rejected.cast("double"), F.col("read").cast("double")), F.lit(0.0))
     validated = F.lit(None).cast("bigint") if has_diagnostics else F.col("read") - rejected

@@ -7,7 +7,7 @@ fixed number of jobs. Only small facts about files reach the driver.
 from __future__ import annotations
 
 import re
-from collections.abc import Container, Mapping
+from collections.abc import Container, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
 from urllib.parse import unquote
@@ -22,7 +22,7 @@ from siltgate.operators.tracked import ROW_INDEX
 from siltgate.plans.recipe import Recipe, resolve_settings
 from siltgate.session import pin_file_splits, scratch_table
 from siltgate.sources.base import Source
-from siltgate.sources.delimited import QUOTED_CELL
+from siltgate.sources.delimited import QUOTED_CELL, require_path
 from siltgate.sources.open import open_source, source_format
 from siltgate.sources.position import FILE, SEQ, START, position_columns
 from siltgate.sources.records import quote_count, spanning_records
@@ -280,7 +280,7 @@ def inspect_source(
         sheets=list(source.sheets),
         selected_sheet=source.sheet,
         columns=source.columns,
-        row_count=source.df.count(),
+        row_count=source.rows().count(),
         dtypes=types,
         preview=[dict(zip(source.columns, row[1:])) for row in preview],
     )
@@ -394,34 +394,46 @@ def profile_folder(
     encoding: str | None = None,
     delimiter: str | None = None,
     own_folder: str | None = None,
+    existing: Iterable[str] = (),
 ) -> DataFrame:
     """Every supported file and sheet of a folder with its proposed table and columns.
 
-    One row per column: (source_path, sheet, status, table, position, source_column, column,
-    type, code, encoding, delimiter). An entry that cannot be profiled is one row with its code; the rest go on.
+    One row per column: (source_path, sheet, sheet_position, status, table, position,
+    source_column, column, type, code, encoding, delimiter). An entry that cannot be profiled is one row with its code; the rest go on.
     Encodings and structure of all text files come from one pass over them, delimiters from a
     pass over their heads, column lengths from one more pass.
     """
     if project is not None:
         check_scope(directory, project)
+    require_path(spark, directory, "scan.directory_not_found")
     files = discover_files(spark, directory, recursive=recursive, own_folder=own_folder)
     texts = text_entries(spark, files, encoding, delimiter)
     books = workbook_entries(spark, files)
     columns = scratch_table(texts.unionByName(books), "profile")
     named = folder_tables(columns.select("source_path", "sheet", "sheets", "sheet_position").distinct())
-    return columns.join(named, (columns.source_path == named.path) & columns.sheet.eqNullSafe(named.sheet_name), "left").select(
-        "source_path", "sheet", F.when(F.col("code").isNull(), "created").otherwise("failed").alias("status"),
-        "table", "position", "source_column", "column", "type", "code", "encoding", "delimiter",
+    placed = columns.join(named, (columns.source_path == named.path) & columns.sheet.eqNullSafe(named.sheet_name), "left")
+    taken = F.col("code").isNull() & F.col("table").isin(*existing)
+    code = F.when(taken, "recipe.exists").otherwise(F.col("code"))
+    return placed.where(~taken | (F.col("position") == 1)).select(
+        "source_path", "sheet", "sheet_position", F.when(code.isNull(), "created").otherwise("failed").alias("status"), "table",
+        *[F.when(~taken, F.col(name)).alias(name) for name in ("position", "source_column", "column", "type")],
+        code.alias("code"), "encoding", "delimiter",
     )
 
 
 def folder_totals(profile: DataFrame) -> DataFrame:
-    """One row: files found, tables proposed, entries failed."""
-    entries = profile.select("source_path", "sheet", "status").distinct()
+    """One row: files found, tables proposed, entries failed, and the first failure's result code."""
+    entries = profile.select("source_path", "sheet", "sheet_position", "status", "code").distinct()
+    failed = F.col("status") == "failed"
+    first = F.min_by("code", F.when(failed, F.struct("source_path", "sheet_position")))
+    exit_code = F.when(first == "recipe.exists", int(ResultCode.USAGE_OR_DRIFT)).when(
+        first.isNotNull(), int(ResultCode.VALIDATION_ERROR)
+    )
     return entries.agg(
         F.count_distinct("source_path").alias("files_found"),
-        F.count_if(F.col("status") == "created").alias("created"),
-        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(~failed).alias("created"),
+        F.count_if(failed).alias("failed"),
+        exit_code.otherwise(int(ResultCode.SUCCESS)).alias("exit_code"),
     )
 
 

@@ -89,7 +89,7 @@ def reject_report(frame: TrackedFrame) -> DataFrame:
 
     One aggregate over the frame, whose partial results are one number per finding.
     """
-    counts = frame.df.agg(F.count(F.lit(1)), *[F.count_if(_found(frame, f)).alias(f"n{i}") for i, f in enumerate(frame.findings)])
+    counts = frame.unlocated().df.agg(F.count(F.lit(1)), *[F.count_if(_found(frame, f)).alias(f"n{i}") for i, f in enumerate(frame.findings)])
     per_finding = F.array(
         *[
             F.struct(*[F.lit(getattr(f, part)).alias(f"__{part}") for part in ("stage", "column", "check")], F.col(f"n{i}").alias("rejects"))

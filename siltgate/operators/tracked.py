@@ -63,12 +63,29 @@ class TrackedFrame:
     numbering: RowNumbering
     findings: tuple[Finding, ...] = ()
     next_slot: int = 0
+    # The source without row positions, and the projections to repeat over it. A scan that is
+    # asked for positions builds them for every row, used or not.
+    bare: DataFrame | None = None
+    steps: tuple[Mapping[str, Column], ...] = ()
 
     @classmethod
-    def start(cls, df: DataFrame, names: Mapping[str, str], numbering: RowNumbering) -> "TrackedFrame":
+    def start(
+        cls, df: DataFrame, names: Mapping[str, str], numbering: RowNumbering, bare: DataFrame | None = None
+    ) -> "TrackedFrame":
         if ROW_INDEX in names:
             raise fail("edit.reserved_column", f"`{ROW_INDEX}` is a reserved column name.", column=ROW_INDEX)
-        return cls(df, dict(names), dict(names), numbering)
+        return cls(df, dict(names), dict(names), numbering, bare=bare)
+
+    def unlocated(self) -> "TrackedFrame":
+        """The same frame over the source without row positions, for outputs that need none."""
+        if self.bare is None:
+            return self
+        df = reduce(lambda done, step: done.withColumns(step), self.steps, self.bare)
+        return replace(self, df=df, bare=None)
+
+    def over(self, df: DataFrame) -> "TrackedFrame":
+        """The same frame over its own rows after they passed through something else."""
+        return replace(self, df=df, bare=None)
 
     @property
     def columns(self) -> list[str]:
@@ -89,8 +106,14 @@ class TrackedFrame:
         if not values:
             return self
         slots = {name: f"e{self.next_slot + i}" for i, name in enumerate(values)}
-        df = self.df.withColumns({slots[name]: value for name, value in values.items()})
-        return replace(self, df=df, names={**self.names, **slots}, next_slot=self.next_slot + len(slots))
+        step = {slots[name]: value for name, value in values.items()}
+        return replace(
+            self,
+            df=self.df.withColumns(step),
+            names={**self.names, **slots},
+            next_slot=self.next_slot + len(slots),
+            steps=(*self.steps, step),
+        )
 
     def with_names(self, names: Mapping[str, str]) -> "TrackedFrame":
         return replace(self, names=dict(names))
@@ -122,5 +145,6 @@ class TrackedFrame:
     def live_rows(self, names: list[str] | None = None) -> DataFrame:
         """Rows without findings, under their user names."""
         chosen = self.columns if names is None else names
-        kept = self.rows_where(~self.failed()) if self.findings else self.df
-        return kept.select(*[self.value(name).alias(name) for name in chosen])
+        frame = self.unlocated()
+        kept = frame.rows_where(~frame.failed()) if frame.findings else frame.df
+        return kept.select(*[frame.value(name).alias(name) for name in chosen])

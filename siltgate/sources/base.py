@@ -22,15 +22,18 @@ class Source:
     delimiter: str | None = None
     sheet: str | None = None
     sheets: list[str] = field(default_factory=list)
+    # The same scan without row positions.
+    bare: DataFrame | None = None
     # Scan faults: code of the error a run raises when any row matches the expression.
     faults: dict[str, Column] = field(default_factory=dict)
 
     def tracked(self) -> TrackedFrame:
-        return TrackedFrame.start(self.df, dict(zip(self.columns, slots(len(self.columns)))), self.numbering)
+        return TrackedFrame.start(self.df, dict(zip(self.columns, slots(len(self.columns)))), self.numbering, self.bare)
 
     def rows(self) -> DataFrame:
         """The source as a plain DataFrame under its own column names."""
-        return self.df.select(*[self.df[slot].alias(name) for slot, name in zip(slots(len(self.columns)), self.columns)])
+        df = self.df if self.bare is None else self.bare
+        return df.select(*[df[slot].alias(name) for slot, name in zip(slots(len(self.columns)), self.columns)])
 
 
 def slots(count: int) -> list[str]:

@@ -70,8 +70,9 @@ def read_delimited(
     }
     if by_records:
         rows, numbering = _record_rows(spark, files, resolved, header, skipped, options)
+        bare = None
     else:
-        rows, numbering = _line_rows(spark, files, resolved, header, skipped, plain_header, options)
+        rows, bare, numbering = _line_rows(spark, files, resolved, header, skipped, plain_header, options)
     # Spark refuses a query on the corrupt record alone, so the test also reads a first cell.
     malformed = F.col(CORRUPT).isNotNull() & (F.char_length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0)
     decode = (lambda column: column) if by_records else resolved.decode
@@ -93,6 +94,7 @@ def read_delimited(
         frame = numbered.where(kept).drop("__place").withColumnRenamed(ROW_INDEX, "__n")
     return Source(
         df=frame,
+        bare=bare.select(*cells, *checked) if bare is not None and above_is_header else None,
         columns=header,
         numbering=numbering if above_is_header else ColumnNumbering("__n"),
         file_type="csv",
@@ -111,23 +113,25 @@ def _line_rows(
     skipped: int,
     plain_header: bool,
     options: dict,
-) -> tuple[DataFrame, FileOrderNumbering]:
-    """Rows of Spark's own reader, in splits when every record is a line."""
+) -> tuple[DataFrame, DataFrame, FileOrderNumbering]:
+    """Rows of Spark's own reader, with and without positions; in splits."""
     # With one plain header per file, Spark itself compares each file's header with the names.
     compare_headers = (
         plain_header and len(files) > 1 and not encoding.mapped_from and len({name.lower() for name in header}) == len(header)
     )
 
-    def scan(*, prune: bool) -> DataFrame:
+    def scan(*, prune: bool, locate: bool) -> DataFrame:
         columns = [*(header if compare_headers else slots(len(header))), *([] if prune else [CORRUPT])]
         reader = spark.read.schema(_text_schema(columns)).options(
             **options, encoding=encoding.charset, header=plain_header, enforceSchema=not compare_headers, columnPruning=prune
         )
         df = reader.csv(files)
         named = [F.col(_quoted(name)).alias(slot) for name, slot in zip(columns, [*slots(len(header)), CORRUPT])]
-        return df.select(*named, *position_columns())
+        return df.select(*named, *(position_columns() if locate else []))
 
-    return scan(prune=False), FileOrderNumbering(scan(prune=True).select(*POSITION), 0 if plain_header else skipped)
+    counted = scan(prune=True, locate=True).select(*POSITION)
+    numbering = FileOrderNumbering(counted, 0 if plain_header else skipped)
+    return scan(prune=False, locate=True), scan(prune=False, locate=False), numbering
 
 
 def _record_rows(
@@ -168,15 +172,19 @@ def check_row_options(header_row: int, skip_rows: int) -> None:
         raise fail("source.invalid_skip_rows", "skip_rows cannot be negative.", skip_rows=skip_rows)
 
 
+def require_path(spark: SparkSession, path: str, code: str = "source.not_found") -> None:
+    """The path, or a match of its pattern, exists."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    if not found:
+        raise fail(code, "The path does not exist.", path=path)
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """The data files below a path, in path order, or an error if there is none."""
-    try:
-        listed = spark.read.format("binaryFile").load(path).select("path")
-        files = sorted(unquote(file) for file in listed.inputFiles())
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error):
-            raise fail("source.not_found", "The source path does not exist.", path=path) from None
-        raise
+    require_path(spark, path)
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    files = sorted(unquote(file) for file in listed.inputFiles())
     if not files:
         raise fail("source.empty", "The source has no files.", path=path)
     return files

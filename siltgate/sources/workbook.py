@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siltgate.errors import fail
 from siltgate.session import scratch_table
 from siltgate.sources.base import Source, slots
-from siltgate.sources.delimited import check_header, check_row_options
+from siltgate.sources.delimited import check_header, check_row_options, require_path
 from siltgate.sources.position import FILE, SEQ, START, FileOrderNumbering
 from siltgate.sources.xlsx_cells import Workbook
 
@@ -25,6 +25,23 @@ def workbook_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def list_sheets(spark: SparkSession, path: str) -> list[str]:
+    """Sheet names of one workbook, in order."""
+    if not path.lower().endswith(".xlsx"):
+        raise fail("source.unsupported_type", "Only workbooks have sheets.", path=path)
+    require_path(spark, path)
+    listed = workbook_sheets(workbook_files(spark, path)).orderBy("position").collect()
+    _raise_fault(listed[0].fault if listed else "source.empty", path)
+    return [row.sheet for row in listed]
+
+
+def _raise_fault(fault: str | None, path: str) -> None:
+    if fault == "source.empty":
+        raise fail("source.empty", "The workbook has no sheets.", path=path)
+    if fault:
+        raise fail("source.read_failed", "The workbook cannot be read.", path=path, reason=fault)
+
+
 def workbook_rows(files: DataFrame, sheet: str | None = None) -> DataFrame:
     """Every row of every sheet, or of the named sheets, of (path, content) workbooks."""
 
@@ -140,7 +157,9 @@ def read_workbook(
     types and values then come from that table.
     """
     check_row_options(header_row, skip_rows)
-    files = workbook_files(spark, path) if files is None else files
+    if files is None:
+        require_path(spark, path)
+        files = workbook_files(spark, path)
     names = _check_sheets(files, sheet, path)
     chosen = sheet or names[0]
 
@@ -189,10 +208,7 @@ def _check_sheets(files: DataFrame, sheet: str | None, path: str) -> list[str]:
     if worst is None:
         raise fail("source.not_found", "The source path has no workbook.", path=path)
     names = [s["sheet"] for s in worst.sheets]
-    if worst.fault == "source.empty":
-        raise fail("source.empty", "The workbook has no sheets.", path=worst.path)
-    if worst.fault:
-        raise fail("source.read_failed", "The workbook cannot be read.", path=worst.path, reason=worst.fault)
+    _raise_fault(worst.fault, worst.path)
     if sheet is None and len(names) > 1:
         raise fail("source.sheet_required", "The workbook has several sheets; name one.", path=worst.path, sheets=names)
     if sheet is not None and sheet not in names:

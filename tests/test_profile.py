@@ -140,13 +140,16 @@ def folder(tmp_path):
 
 def test_folder_profile_names_every_table(spark, folder):
     profile = profile_folder(spark, str(folder)).cache()
-    assert folder_totals(profile).first().asDict() == {"files_found": 3, "created": 4, "failed": 0}
+    assert folder_totals(profile).first().asDict() == {"files_found": 3, "created": 4, "failed": 0, "exit_code": 0}
     recipes = folder_recipes(profile)
     assert [(r.name, r.source.get("sheet")) for r in recipes] == [
         ("companies_csv", None), ("companies_xlsx", "Companies"), ("workbook_companies", "Companies"), ("workbook_employees", "Employees"),
     ]
     assert [(c.name, c.type.text) for c in recipes[2].schema] == [("company_id", "VARCHAR(4)"), ("Size", "DOUBLE")]
     assert (recipes[0].source["encoding"], recipes[0].source["delimiter"]) == ("utf-8", ",")
+    again = profile_folder(spark, str(folder), existing=["companies_csv"])
+    assert [r.code for r in again.where("status = 'failed'").collect()] == ["recipe.exists"]
+    assert folder_totals(again).first().asDict() == {"files_found": 3, "created": 3, "failed": 1, "exit_code": 2}
     for recipe in recipes:
         assert validate(spark, recipe).result_code == 0
 
@@ -166,7 +169,7 @@ def test_folder_profile_goes_on_past_failures(spark, folder):
         "blank.csv": "source.empty_header", "twice.csv": "source.duplicate_header", "one.csv": "source.csv_detection_failed",
         "wide.csv": "source.read_failed", "empty.csv": "source.empty", "broken.xlsx": "source.read_failed",
     }
-    assert folder_totals(profile).first().asDict() == {"files_found": 11, "created": 6, "failed": 6}
+    assert folder_totals(profile).first().asDict() == {"files_found": 11, "created": 6, "failed": 6, "exit_code": 10}
     types = {(r.table, r.column): r.type for r in profile.where("status = 'created'").collect()}
     assert types[("multi", "text")] == "VARCHAR(9)" and types[("head", "x")] == "VARCHAR(255)"
     assert not any("own" in r.source_path for r in profile.collect())
@@ -179,7 +182,8 @@ def test_listing_reads_no_content(spark, folder):
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
-def test_scans_stay_in_the_project(code):
+def test_scans_stay_in_the_project(spark, tmp_path, code):
+    assert code(profile_folder, spark, str(tmp_path / "none")) == "scan.directory_not_found"
     check_scope("/p/data", "/p")
     assert code(check_scope, "/q", "/p") == "scan.directory_out_of_scope"
     assert code(check_scope, "/p/../q", "/p") == "scan.directory_out_of_scope"

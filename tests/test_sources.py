@@ -13,7 +13,7 @@ from siltgate.operators.tracked import ROW_INDEX
 from siltgate.sources import delimited
 from siltgate.sources.delimited import list_files, read_delimited, record_faults
 from siltgate.sources.position import FileOrderNumbering
-from siltgate.sources.workbook import read_workbook, workbook_files, workbook_sheets
+from siltgate.sources.workbook import list_sheets, read_workbook, workbook_files, workbook_sheets
 
 
 def write(path, content):
@@ -62,6 +62,9 @@ def test_source_settings_are_required(spark, tmp_path, code):
     assert code(csv, spark, path, encoding="utf-9") == "source.encoding_failed"
     assert code(csv, spark, str(tmp_path / "none.csv")) == "source.not_found"
     assert code(open_source, spark, {"path": "a.txt"}) == "source.unsupported_type"
+    assert code(open_source, spark, {"path": str(tmp_path / "none.xlsx")}) == "source.not_found"
+    assert code(open_source, spark, {"path": str(tmp_path / "none.parquet")}) == "source.not_found"
+    assert code(list_sheets, spark, path) == "source.unsupported_type"
 
 
 @pytest.mark.parametrize(
@@ -189,6 +192,7 @@ def test_workbook_sheet_choice(spark, tmp_path, code):
     source = read_workbook(spark, path, sheet="Orders")
     assert source.sheets == ["Sellers", "Orders"]
     assert source.rows().first().asDict() == {"OrderID": "A1", "Amount": 12.5}
+    assert list_sheets(spark, path) == source.sheets
     listed = workbook_sheets(workbook_files(spark, path)).orderBy("position").collect()
     assert [(r.position, r.sheet) for r in listed] == [(1, "Sellers"), (2, "Orders")]
 
