@@ -42,7 +42,7 @@ def encoded_documents(spark: SparkSession, sf_dir: str) -> str:
         file.alias("f"), F.col("doc_id").alias("p"), F.when(style == 2, latin).otherwise(line).alias("l"), style.alias("s")
     )
     marks = rows.groupBy("f", "s").agg(F.lit(-1).cast("bigint").alias("p")).select(
-        "f", "p", F.when(F.col("s") == 0, "﻿header").otherwise("header").alias("l")
+        "f", "p", F.when(F.col("s") == 0, "\ufeffheader").otherwise("header").alias("l")
     )
     return written_lines(rows.select("f", "p", "l").union(marks), F.col("f"), F.col("p"), F.col("l"))
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -24,6 +25,9 @@ from siltgate.sources.base import Source
 from siltgate.sources.delimited import has_bad_bytes
 from siltgate.sources.open import open_source
 
+# What a failing Spark job raises; some causes reach Python unconverted.
+JOB_ERRORS = (PySparkException, Py4JJavaError)
+
 
 @dataclass(frozen=True)
 class Workspace:
@@ -198,7 +202,7 @@ def _replace(spark: SparkSession, plan: Plan, workspace: Workspace, run_id: str,
         loaded = staged.stage(plan.counted_by(observation).accepted())
     except EngineError:
         raise
-    except PySparkException as error:
+    except JOB_ERRORS as error:
         judged = _counted(spark, plan, workspace, "load", run_id, started)
         return judged if judged.result_code != ResultCode.SUCCESS else _failed(judged, _load_failed(judged, error))
     try:
@@ -223,7 +227,7 @@ def _sunk(judged: RunResult, sink) -> RunResult:
         rows = {**judged.rows, "loaded": sink()}
     except EngineError as error:
         return _failed(judged, error)
-    except PySparkException as error:
+    except JOB_ERRORS as error:
         return _failed(judged, _load_failed(judged, error))
     return replace(judged, rows=rows, finished=_now())
 
@@ -232,7 +236,7 @@ def _failed(judged: RunResult, error: EngineError) -> RunResult:
     return replace(judged, diagnostics=(error.diagnostic,), result_code=error.result_code, finished=_now())
 
 
-def _load_failed(judged: RunResult, error: PySparkException) -> EngineError:
+def _load_failed(judged: RunResult, error: Exception) -> EngineError:
     return fail(
         "mysql.load_failed",
         f"Loading table `{judged.table}` failed.",
@@ -241,19 +245,30 @@ def _load_failed(judged: RunResult, error: PySparkException) -> EngineError:
         table=judged.table,
         mode=judged.mode,
         error=type(error).__name__,
-        reason=runlog.mask_secrets(str(error).splitlines()[0] if str(error) else ""),
+        reason=_reason(error),
     )
 
 
+def _reason(error: Exception) -> str:
+    text = str(getattr(error, "java_exception", error))
+    return runlog.mask_secrets((text.splitlines() or [""])[0])
+
+
 def _counted(
     spark: SparkSession, plan: Plan, workspace: Workspace | None, command: str, run_id: str, started: dt.datetime
 ) -> RunResult:
     """Take the counts in one scan, which also finds the rejects if they are to be written."""
-    if workspace is None or not plan.frame.findings:
-        return _judged(spark, plan, plan.counts(), workspace, command, run_id, started)
-    observation = Observation()
-    found = scratch_table(found_rejects(plan.counted_by(observation, located=True).frame), "rejects")
-    return _judged(spark, plan, observation.get, workspace, command, run_id, started, found)
+    found = None
+    try:
+        if workspace is None or not plan.frame.findings:
+            counts = plan.counts()
+        else:
+            observation = Observation()
+            found = scratch_table(found_rejects(plan.counted_by(observation, located=True).frame), "rejects")
+            counts = observation.get
+    except JOB_ERRORS as error:
+        raise fail("source.read_failed", "The source cannot be read.", path=plan.source.path, reason=_reason(error)) from error
+    return _judged(spark, plan, counts, workspace, command, run_id, started, found)
 
 
 def _judged(

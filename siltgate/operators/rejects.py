@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltgate.functions.text import plain_text
 from siltgate.operators.tracked import ROW_INDEX, Finding, TrackedFrame
@@ -80,10 +83,23 @@ def write_rejects(frame: TrackedFrame, folder: str, found: DataFrame | None = No
     A range sort reads its input twice, so the rejects are found once, into a scratch table.
     """
     stored = scratch_table(found_rejects(frame), "rejects") if found is None else found
-    ordered_rejects(frame, stored).write.mode("errorifexists").options(**CSV_OUTPUT).csv(folder)
+    with _names_by_case(stored.sparkSession, frame):
+        ordered_rejects(frame, stored).write.mode("errorifexists").options(**CSV_OUTPUT).csv(folder)
     return folder
 
 
+@contextmanager
+def _names_by_case(spark: SparkSession, frame: TrackedFrame) -> Iterator[None]:
+    """Let an output have columns whose names differ by case alone, where it has such."""
+    before = spark.conf.get("spark.sql.caseSensitive")
+    if len({name.lower() for name in frame.original}) < len(frame.original):
+        spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", before)
+
+
 def reject_report(frame: TrackedFrame) -> DataFrame:
     """Rejects per stage, column and check, counted without building any reject row.
 

@@ -58,14 +58,17 @@ def read_delimited(
     if multi_line is None:
         multi_line = not resolved.by_line or needs_record_reader(spark, files)
     names = slots(len(header))
-    by_records = multi_line and resolved.by_line
+    # With one plain header per file, Spark itself can compare each file's header with the
+    # names; where it cannot, the record reader does.
+    comparable = not resolved.mapped_from and len({name.lower() for name in header}) == len(header)
+    by_records = resolved.by_line and (multi_line or (plain_header and len(files) > 1 and not comparable))
     options = {
         "sep": delimiter,
         "quote": '"',
         "escape": '"',
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
-        "multiLine": multi_line,
+        "multiLine": multi_line or by_records,
         "maxColumns": max(20480, len(header) + 2),
     }
     if by_records:
@@ -115,10 +118,7 @@ def _line_rows(
     options: dict,
 ) -> tuple[DataFrame, DataFrame, FileOrderNumbering]:
     """Rows of Spark's own reader, with and without positions; in splits."""
-    # With one plain header per file, Spark itself compares each file's header with the names.
-    compare_headers = (
-        plain_header and len(files) > 1 and not encoding.mapped_from and len({name.lower() for name in header}) == len(header)
-    )
+    compare_headers = plain_header and len(files) > 1
 
     def scan(*, prune: bool, locate: bool) -> DataFrame:
         columns = [*(header if compare_headers else slots(len(header))), *([] if prune else [CORRUPT])]

@@ -20,7 +20,7 @@ SPARK_CHARSETS = {
     "utf-16-be": "UTF-16BE",
     "utf-32": "UTF-32",
 }
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
 
 
 @dataclass(frozen=True)

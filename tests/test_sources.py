@@ -149,6 +149,16 @@ def test_files_of_one_source_share_a_header(spark, tmp_path):
         csv(spark, str(tmp_path / "d")).rows().collect()
 
 
+@pytest.mark.parametrize("encoding, first, second", [("utf-8", "id,ID\n1,2\n", "ID,id\n3,4\n"), ("cp1252", "a,b\n1,2\n", "b,a\n3,4\n")])
+def test_headers_spark_cannot_compare(spark, tmp_path, encoding, first, second):
+    write(tmp_path / "d" / "a.csv", first)
+    write(tmp_path / "d" / "b.csv", first)
+    assert csv(spark, str(tmp_path / "d"), encoding=encoding).rows().count() == 2
+    write(tmp_path / "d" / "b.csv", second)
+    with pytest.raises(Exception, match="share one header"):
+        csv(spark, str(tmp_path / "d"), encoding=encoding).rows().collect()
+
+
 def test_long_and_short_records(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'a,b\n1,2\n3\n4,5,6\n"7,7","8"\n9,"x,y",z\n')
     source = csv(spark, path)
