@@ -9,8 +9,8 @@ intersecting the full shingle sets.
 Documents with equal sets are one class from the start, so copies never meet in a bucket. In
 each bucket a few representatives (the same ones in every bucket, by a hash of the id) are
 compared with all members; that is exhaustive for small buckets. In larger ones only members
-still in different components are compared afterwards, which leaves little of a dense group
-and loses no link. Sets are fetched for documents in candidate pairs only.
+still in different components are compared afterwards, in pairs of blocks that report a
+spanning forest of their links, so no pair of a bucket is left out or listed. Sets are fetched for documents in candidate pairs only.
 
 Defined cases: a null, empty or blank text has no shingles and links with nothing; a text with
 fewer words than the shingle is one shingle. Rows that share an id count as one document of the
@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siltgate.llm.components import components
-from siltgate.llm.text import BLANKS, LOWER, Hasher, column, mix, runs, sequence_hashes, text_slices
+from siltgate.llm.text import BLANKS, LOWER, Hasher, column, forest, group_bounds, mix, runs, sequence_hashes, text_slices, whole_groups
 from siltgate.session import scratch_table
 
 _SEED = 20240229
@@ -43,6 +44,7 @@ class Settings:
     rows: int = 6
     miss: float = 1e-6
     representatives: int = 8
+    block: int = 256
 
     @property
     def bands(self) -> int:
@@ -145,6 +147,70 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     return scratch_table(both.select("a", "b"), "minmax-links")
 
 
+def _compare(settings: Settings):
+    """Links of rows sorted by group, block i against block j: a forest, with exact intersections."""
+
+    def group(ids, comps, blocks, i, j, sizes, flat):
+        left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+        if not len(left) or not len(right):
+            return []
+        row = np.repeat(np.arange(len(ids)), sizes)
+        values, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[place] > 1  # a shingle of one row is in no intersection
+        renumbered = np.cumsum(times > 1) - 1
+        row, place = row[shared], renumbered[place[shared]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+            cut = slice(*np.searchsorted(place, [low, low + 4096]))
+            holds = np.zeros((len(ids), 4096), dtype=np.float32)
+            holds[row[cut], place[cut] - low] = 1
+            common += holds[left] @ holds[right].T
+        linked = 100 * common >= settings.percent * (sizes[left][:, None] + sizes[right] - common)
+        linked &= comps[left][:, None] != comps[right]
+        a, b = np.nonzero(linked)
+        return forest(ids[left[a]], ids[right[b]])
+
+    def run(batches):
+        names = ("key", "i", "j")
+        for table in whole_groups(batches, names):
+            own = {name: table[name].to_numpy() for name in ("node", "group", "block", "i", "j")}
+            sizes = pc.list_value_length(table["shingles"]).to_numpy().astype(np.int64)
+            flat = pc.list_flatten(table["shingles"]).to_numpy()
+            begin = np.append(0, np.cumsum(sizes))
+            edges = []
+            for a, b in group_bounds(table, names):
+                edges += group(own["node"][a:b], own["group"][a:b], own["block"][a:b], own["i"][a], own["j"][a], sizes[a:b], flat[begin[a] : begin[b]])
+            edges = np.array(edges, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _left_over(crowded: DataFrame, groups: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links between members of large buckets that are still in different components.
+
+    The largest component of a bucket is not compared with itself. Both it and the rest are cut
+    into blocks, each pair of blocks is one group, and pairs are judged where they meet.
+    """
+    spread = crowded.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+    tally = spread.groupBy("key", "group").agg(F.count("*").alias("n"))
+    tally = tally.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("of_main"), F.sum("n").alias("of_all"), F.count("*").alias("groups"))
+    tally = tally.where("groups > 1").select("key", "main", F.ceil(F.col("of_main") / settings.block).cast("int").alias("p"), F.ceil((F.col("of_all") - F.col("of_main")) / settings.block).cast("int").alias("q"))
+    opened = spread.join(tally, "key")
+    is_main, mark = F.col("group") == F.col("main"), F.xxhash64("node")
+    block = F.when(is_main, F.pmod(mark, "p")).otherwise(F.col("p") + F.pmod(mark, "q")).cast("int")
+    others = F.sequence(F.when(is_main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    placed = opened.withColumn("block", block).withColumn("pair", F.explode(pairs)).select("key", "node", "group", "block", "pair.i", "pair.j")
+    placed = scratch_table(placed, "minmax-open")
+    wanted = placed.select(F.col("node").alias("doc_id")).distinct()
+    sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi"), settings.words).withColumnRenamed("doc_id", "node")
+    grouped = placed.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return scratch_table(grouped.mapInArrow(_compare(settings), "a long, b long").distinct(), "minmax-links")
+
+
 def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each input row."""
     texts = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id IS NOT NULL")
@@ -171,14 +237,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     links = links.union(same_id)
     groups = scratch_table(components(links, "minmax-stars"), "minmax-groups")
 
-    group = F.coalesce("component", "node")
-    spread = crowded.where(f"many > {few + 1}").join(groups, "node", "left").select("key", "node", "size", group.alias("group"))
-    mixed = spread.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    open_ = scratch_table(spread.join(mixed, "key"), "minmax-open")
-    other = open_.select("key", F.col("node").alias("head"), F.col("size").alias("head_size"), F.col("group").alias("head_group"))
-    rest = open_.join(other, "key").where("node < head AND group <> head_group").where(near).select(*pair).distinct()
-    rest = scratch_table(rest.join(pairs, ["a", "b"], "left_anti"), "minmax-pairs")
-    more = _confirmed(rest, texts, settings)
+    more = _left_over(crowded.where(f"many > {few + 1}"), groups, texts, settings)
     if not more.isEmpty():
         groups = components(links.union(more), "minmax-stars")
 

@@ -118,3 +118,52 @@ def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that come sorted by ``names``, in tables that hold whole groups of equal names."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        last = np.ones(len(table), dtype=bool)
+        for name in names:
+            value = table[name].to_numpy()
+            last &= value == value[-1]
+        cut = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield rest.combine_chunks()
+
+
+def group_bounds(table: pa.Table, names: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Where each group of a table from ``whole_groups`` begins and ends."""
+    fresh = np.ones(len(table), dtype=bool)
+    fresh[1:] = False
+    for name in names:
+        value = table[name].to_numpy()
+        fresh[1:] |= value[1:] != value[:-1]
+    starts = np.flatnonzero(fresh).tolist()
+    return zip(starts, [*starts[1:], len(table)])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the given edges connect, without circles."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        u, v = root(x), root(y)
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((x, y))
+    return out

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from siltgate.llm.components import components
-from siltgate.llm.text import column, mix
+from siltgate.llm.text import column, forest, group_bounds, mix, whole_groups
 from siltgate.session import scratch_table
 
 
@@ -92,24 +92,6 @@ def _hashed(reps: DataFrame, settings: Settings) -> DataFrame:
     return reps.select("node", "v").mapInArrow(run, "node long, keys array<long>")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what the given edges connect."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        u, v = root(x), root(y)
-        if u != v:
-            parent[max(u, v)] = min(u, v)
-            out.append((x, y))
-    return out
-
-
 def _links(x, y, rows, others, same: bool, settings: Settings) -> tuple[np.ndarray, np.ndarray, list]:
     """Links per row of either block, and forest edges; rows and others are dicts of columns."""
     counts, other_counts = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
@@ -128,7 +110,7 @@ def _links(x, y, rows, others, same: bool, settings: Settings) -> tuple[np.ndarr
                 u, v = u[fresh], v[fresh]
             counts += np.bincount(u, others["weight"][v], len(x)).astype(np.int64)
             other_counts += np.bincount(v, rows["weight"][u], len(y)).astype(np.int64)
-            edges += _forest(rows["node"][u], others["node"][v])
+            edges += forest(rows["node"][u], others["node"][v])
     return counts, other_counts, edges
 
 
@@ -137,17 +119,13 @@ def _compare(settings: Settings):
     names = ["node", "block", "i", "j", "table", "weight", "ball"]
 
     def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
         columns = {name: table[name].to_numpy() for name in names}
         columns["marks"] = pc.list_flatten(table["marks"]).to_numpy().reshape(len(table), -1)
         flat, sizes = pc.list_flatten(table["v"]).to_numpy(), pc.list_value_length(table["v"]).to_numpy()
-        ends = np.cumsum(sizes)
-        key = table["key"].to_numpy()
-        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (columns["i"][1:] != columns["i"][:-1]) | (columns["j"][1:] != columns["j"][:-1])))
         unit = {int(d): unit_vectors(flat[np.repeat(sizes == d, sizes)].reshape(-1, d)) for d in np.unique(sizes)}
         place = {d: np.cumsum(sizes == d) - 1 for d in unit}
         out = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(table)]):
+        for a, b in group_bounds(table, ("key", "i", "j")):
             dim = int(sizes[a])
             x = unit[dim][place[dim][a] : place[dim][a] + b - a]
             own = {name: value[a:b] for name, value in columns.items()}
@@ -163,7 +141,7 @@ def _compare(settings: Settings):
                 counts = np.zeros(b - a, dtype=np.int64)
                 counts[left], counts[right], edges = _links(x[left], x[right], {k: v[left] for k, v in own.items()}, {k: v[right] for k, v in own.items()}, False, settings)
             found = np.flatnonzero(counts)
-            edges = np.array(_forest(*np.array(edges, dtype=np.int64).reshape(-1, 2).T), dtype=np.int64).reshape(-1, 2)
+            edges = np.array(forest(*np.array(edges, dtype=np.int64).reshape(-1, 2).T), dtype=np.int64).reshape(-1, 2)
             none = np.full(len(found), -1)
             fill = np.zeros(len(edges), dtype=np.int64)
             out.append((np.concatenate([own["node"][found], fill - 1]), np.concatenate([counts[found], fill]), np.concatenate([none, edges[:, 0]]), np.concatenate([none, edges[:, 1]])))
@@ -171,22 +149,8 @@ def _compare(settings: Settings):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["node", "links", "a", "b"])
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            whole = np.ones(len(table), dtype=bool)
-            for name in ("key", "i", "j"):
-                value = table[name].to_numpy()
-                whole &= value == value[-1]
-            cut = int(np.flatnonzero(~whole)[-1]) + 1 if not whole.all() else 0
-            if cut:
-                yield from groups(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and len(rest):
-            yield from groups(rest)
+        for table in whole_groups(batches, ("key", "i", "j")):
+            yield from groups(table)
 
     return run
 
