@@ -135,12 +135,10 @@ def shingle_sets(df: DataFrame, words: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch_table(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), settings.words), "minmax-sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
     sizes = F.size("x") + F.size("y")
     both = pairs.join(left, "a").join(right, "b").where(100 * common >= settings.percent * (sizes - common))
@@ -188,7 +186,7 @@ def _compare(settings: Settings):
     return run
 
 
-def _left_over(crowded: DataFrame, groups: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+def _left_over(crowded: DataFrame, groups: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links between members of large buckets that are still in different components.
 
     The largest component of a bucket is not compared with itself. Both it and the rest are cut
@@ -204,9 +202,6 @@ def _left_over(crowded: DataFrame, groups: DataFrame, texts: DataFrame, settings
     others = F.sequence(F.when(is_main, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)
     pairs = F.transform(others, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
     placed = opened.withColumn("block", block).withColumn("pair", F.explode(pairs)).select("key", "node", "group", "block", "pair.i", "pair.j")
-    placed = scratch_table(placed, "minmax-open")
-    wanted = placed.select(F.col("node").alias("doc_id")).distinct()
-    sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi"), settings.words).withColumnRenamed("doc_id", "node")
     grouped = placed.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return scratch_table(grouped.mapInArrow(_compare(settings), "a long, b long").distinct(), "minmax-links")
 
@@ -221,6 +216,11 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     shared = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     crowded = scratch_table(members.join(shared, "key"), "minmax-buckets")
 
+    # the one pass that reads texts again; merged at every size, so that cost stays in proportion
+    wanted = crowded.select(F.col("node").alias("doc_id")).distinct().hint("merge")
+    sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi"), settings.words).withColumnRenamed("doc_id", "node")
+    sets = scratch_table(sets, "minmax-sets")
+
     few = settings.representatives
     ranked = crowded.selectExpr("*", "row_number() OVER (PARTITION BY key ORDER BY xxhash64(node), node) AS place")
     heads = ranked.where(f"place <= {few}").select("key", F.col("node").alias("head"), F.col("size").alias("head_size"))
@@ -228,7 +228,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     pair = (F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
     pairs = crowded.join(heads, "key").where("node <> head").where(near).select(*pair).distinct()
     pairs = scratch_table(pairs, "minmax-pairs")
-    links = _confirmed(pairs, texts, settings)
+    links = _confirmed(pairs, sets, settings)
 
     # ids on rows of different sets join those sets' classes
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.select("s1", "s2", "node"), ["s1", "s2"])
@@ -237,7 +237,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     links = links.union(same_id)
     groups = scratch_table(components(links, "minmax-stars"), "minmax-groups")
 
-    more = _left_over(crowded.where(f"many > {few + 1}"), groups, texts, settings)
+    more = _left_over(crowded.where(f"many > {few + 1}"), groups, sets, settings)
     if not more.isEmpty():
         groups = components(links.union(more), "minmax-stars")
 
