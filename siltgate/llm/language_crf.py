@@ -40,7 +40,7 @@ _KINDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC6A4A
 class Settings:
     """``sample_rows`` bounds the documents per language, ``languages`` the languages, that are learned from."""
 
-    sample_rows: int = 600
+    sample_rows: int = 200
     languages: int = 200
     buckets_log2: int = 16
     affixes: tuple[int, ...] = (2, 4)
@@ -71,9 +71,9 @@ def _bucket(hashes: np.ndarray, kind: int, settings: Settings) -> np.ndarray:
     return ((hashes * _KINDS[kind]) >> np.uint64(64 - settings.buckets_log2)).astype(np.int64)
 
 
-def _features(data, starts, ends, lexicon: np.ndarray, settings: Settings, hasher: Hasher):
+def _features(prefix, starts, ends, lexicon: np.ndarray, settings: Settings, hasher: Hasher):
     """(buckets, word) for each kind of feature; words ascend within a kind."""
-    prefix, every = hasher.prefix(data), np.arange(len(starts))
+    every = np.arange(len(starts))
     own = hasher.between(prefix, starts, ends)
     if len(lexicon):
         known = lexicon[np.minimum(np.searchsorted(lexicon, own), len(lexicon) - 1)] == own
@@ -92,7 +92,7 @@ def _features(data, starts, ends, lexicon: np.ndarray, settings: Settings, hashe
 
 def _emissions(data, starts, ends, model: Model, hasher: Hasher) -> np.ndarray:
     scores = np.zeros((len(starts), len(model.languages)), dtype=np.float32)
-    for buckets, word in _features(data, starts, ends, model.lexicon, model.settings, hasher):
+    for buckets, word in _features(hasher.prefix(data), starts, ends, model.lexicon, model.settings, hasher):
         if len(word):
             at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             scores[word[at]] += np.add.reduceat(model.weights[buckets], at, axis=0)
@@ -193,16 +193,11 @@ def train(texts: list[str], langs: list[str], settings: Settings) -> Model:
     starts, ends, first = _words(joined, offsets)
     if len(languages) < 2 or len(starts) < settings.sequence:
         return model
-    own, times = np.unique(hasher.between(hasher.prefix(joined), starts, ends), return_counts=True)
+    prefix = hasher.prefix(joined)
+    own, times = np.unique(hasher.between(prefix, starts, ends), return_counts=True)
     lexicon = own[times >= settings.lexicon]
     model = Model(settings, languages, weights, transitions, lexicon)
 
-    # features of all words, grouped by word
-    parts = list(_features(joined, starts, ends, lexicon, settings, hasher))
-    word, bucket = np.concatenate([w for _, w in parts]), np.concatenate([b for b, _ in parts])
-    order = np.argsort(word, kind="stable")
-    bucket, at = bucket[order].astype(np.int32), np.searchsorted(word[order], np.arange(len(starts) + 1))
-
     label = np.repeat([languages.index(x) for x in langs], np.diff(first))
     by_label = [np.flatnonzero(label == k) for k in range(len(languages))]
     by_label = [x for x in by_label if len(x)]
@@ -215,9 +210,8 @@ def train(texts: list[str], langs: list[str], settings: Settings) -> Model:
             start = random.integers(max(1, len(own) - segment))
             chosen.append(np.resize(own[start : start + segment], segment))
         chosen = np.concatenate(chosen)
-        counts = at[chosen + 1] - at[chosen]
-        place = np.repeat(np.arange(len(chosen)), counts)
-        ids = bucket[np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(at[chosen], counts)]
+        parts = list(_features(prefix, starts[chosen], ends[chosen], lexicon, settings, hasher))
+        ids, place = np.concatenate([b for b, _ in parts]), np.concatenate([w for _, w in parts])
         scores = np.stack([np.bincount(place, weights[ids, k], len(chosen)) for k in range(len(languages))], axis=1)
         d_scores, d_transitions = _gradient(scores, transitions, label[chosen], settings.batch, 3 * segment)
         for k in range(len(languages)):

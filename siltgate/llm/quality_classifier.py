@@ -32,11 +32,11 @@ _ORDER = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     """``sample_rows`` bounds the labelled rows that are fetched and learned from."""
 
-    sample_rows: int = 6000
+    sample_rows: int = 3000
     buckets_log2: int = 17
     dimensions: int = 8
     ngrams: tuple[int, ...] = (2, 4)
-    epochs: int = 6
+    epochs: int = 8
     rate: float = 4.0
     seed: int = 7
 
@@ -87,7 +87,7 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
         rate = (y.sum() + 1) / (len(y) + 2)
         return Model(settings, np.zeros(size, dtype=np.float32), float(np.log(rate / (1 - rate))))
     random, hasher, bags = np.random.default_rng(settings.seed), Hasher(), []
-    for _, count, data, offsets in text_slices(pa.array(texts, pa.large_string())):
+    for _, count, data, offsets in text_slices(pa.array(texts, pa.large_string()), 1 << 17):
         parts = list(features(data, offsets, settings, hasher))
         for k in range(count):
             ids, times = np.unique(np.concatenate([b[f[k] : f[k + 1]] for b, f in parts]), return_counts=True)
