@@ -5,14 +5,16 @@ Spark reaches, so lost executors leave neither torn nor doubled frames:
 
     length   8 bytes, little-endian: bytes of the payload
     check    4 bytes: masked crc32 of the length bytes
-    payload  doc_id (8 bytes, signed; the least value stands for null), then the ids, 4 bytes each
+    payload  doc_id (8 bytes, signed; the least value stands for null), bytes per id (1 byte: 2 or
+             4, for vocabularies of up to 65536 ids and larger ones), then the ids, unsigned
     check    4 bytes: masked crc32 of the payload
     end      1 byte, 0x0A
 
 A crc is masked by rotating it right by 15 bits and adding 0xA282EAD8 modulo 2**32, so that
 records that hold records keep safe checks. Files follow each other by name, and documents by
-ascending id within and across files. The index is a Parquet table of (file, doc_id, offset,
-length) made from the committed files; ``read_by_index`` fetches any rows of it in any order.
+ascending id within and across files. The index is a Parquet table with a row per record (where
+it lies, its ids before it in the file, its count and checksum), made by reading the committed
+files back; ``read_by_index`` fetches any of its records in any order.
 
 Defined cases: a null text counts as empty; every document has its end id, so no record is
 empty. Null ids come first, equal ids side by side in order of their texts. An empty table gives
@@ -69,14 +71,19 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
         at = end + TAIL
 
 
+def packing(tokenizer: Tokenizer) -> str:
+    return "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class _Pieces(dict):
-    """The ids of each piece, as little-endian 32-bit integers."""
+    """The ids of each piece, packed."""
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.tokenize = tokenizer.model.tokenize
         self.letters = byte_letters()
-        self.of_id = [struct.pack("<I", i) for i in range(tokenizer.get_vocab_size() + 1)]
+        kind = packing(tokenizer)
+        self.of_id = [np.array(i, dtype=kind).tobytes() for i in range(tokenizer.get_vocab_size())]
 
     def __missing__(self, piece: str) -> bytes:
         letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
@@ -104,8 +111,9 @@ class WordwiseTokenizer:
         if (split["type"], split["behavior"], split["invert"], letters["type"]) != ("Split", "Removed", True, "ByteLevel"):
             raise ValueError(f"{path} does not split texts into words without white space")
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x00-\x08\x0e-\x1f]", *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = re.compile("[\x00-\x08\x0e-\x1f]")
+        self.kind = packing(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
@@ -113,42 +121,60 @@ class WordwiseTokenizer:
         self.pieces = _Pieces(self.tokenizer)
 
     def _learn(self, words: list[str]) -> None:
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ") if words else []
-        if len(normal) != len(words):
-            normal = [self.tokenizer.normalizer.normalize_str(word) for word in words]
-        pieces = self.pieces
-        for word, text in zip(words, normal):
-            self.known[word] = pieces[text] if text.isalpha() else b"".join([pieces[x] for x in self.pattern.findall(text)])
+        plain = [word for word in words if word.isascii()]
+        other = [word for word in words if not word.isascii()]
+        # NFC and lower case do nothing else to ASCII words
+        normal = [word.lower() for word in plain]
+        if other:
+            found = self.tokenizer.normalizer.normalize_str(" ".join(other)).split(" ")
+            normal += found if len(found) == len(other) else map(self.tokenizer.normalizer.normalize_str, other)
+        pieces, known, findall = self.pieces, self.known, self.pattern.findall
+        for word, text in zip(plain + other, normal):
+            known[word] = pieces[text] if text.isalpha() else b"".join([pieces[x] for x in findall(text)])
+
+    def _whole(self, text: str) -> bool:
+        return any(token in text for token in self.added) or self.control.search(text) is not None
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
         if len(self.known) + len(self.pieces) > CACHE_WORDS:
             self._forget()
-        split = [None if self.whole.search(text) else text.split() for text in texts]
-        self._learn(list({word for words in split if words for word in words}.difference(self.known)))
+        split = [None if self._whole(text) else text.split() for text in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(words or ())
+        self._learn(list(new.difference(self.known)))
         return [
-            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(self.known.__getitem__, words))
+            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes() if words is None else b"".join(map(self.known.__getitem__, words))
             for text, words in zip(texts, split)
         ]
 
 
+def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
+    """The document's id, and its ids as unsigned 32-bit integers."""
+    key, width = struct.unpack_from("<qB", payload)
+    return None if key == NO_ID else key, np.frombuffer(payload, dtype=f"<u{width}", offset=9).astype("<u4")
+
+
 def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write ``folder``/records and ``folder``/index; ``tokenizer`` must be readable on the executors."""
 
     def run(batches):
-        encoder, end = WordwiseTokenizer(tokenizer), struct.pack("<I", end_id)
+        encoder = WordwiseTokenizer(tokenizer)
+        end, width = np.array([end_id], dtype=encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         for batch in batches:
             ids, texts = column(batch, "doc_id"), column(batch, "text")
             for start in range(0, batch.num_rows, ROWS):
                 keys = [NO_ID if x is None else x for x in ids.slice(start, ROWS).to_pylist()]
                 found = encoder.encode_many([x or "" for x in texts.slice(start, ROWS).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<q", k) + x + end) for k, x in zip(keys, found)], pa.binary())], ["frame"])
+                yield pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<qB", k, width) + x + end) for k, x in zip(keys, found)], pa.binary())], ["frame"])
 
     narrow = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
     records = ordered.mapInArrow(run, "frame binary")
     # the text writer puts out each row's bytes as they are, and then its line end: the end byte
     records.select(F.col("frame").cast("string").alias("value")).write.text(f"{folder}/records", lineSep="\n")
-    scan_records(df.sparkSession, folder).select("file", "doc_id", "offset", "length").write.parquet(f"{folder}/index")
+    scan_records(df.sparkSession, folder).write.parquet(f"{folder}/index")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,9 +193,9 @@ def scan_records(spark: SparkSession, folder: str) -> DataFrame:
             for file, content in zip(column(batch, "file").to_pylist(), column(batch, "content")):
                 rows, before = [], 0
                 for at, payload in frames(content.as_buffer().to_pybytes()):
-                    key, n = struct.unpack_from("<q", payload)[0], (len(payload) - 8) // 4
-                    rows.append((file, None if key == NO_ID else key, at, len(payload) + HEAD + TAIL, before, n, zlib.crc32(memoryview(payload)[8:])))
-                    before += n
+                    key, ids = unpacked(payload)
+                    rows.append((file, key, at, len(payload) + HEAD + TAIL, before, len(ids), zlib.crc32(ids)))
+                    before += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [pa.string()] + [pa.int64()] * 6)], ["file", "doc_id", "offset", "length", "before", "n_tokens", "ids_crc32"])
 
     return _files(spark, folder).mapInArrow(run, "file string, doc_id long, offset long, length long, before long, n_tokens long, ids_crc32 long")
@@ -180,21 +206,20 @@ def read_by_index(spark: SparkSession, folder: str, index: DataFrame) -> DataFra
 
     def run(batches):
         for batch in batches:
-            found = [next(frames(x.as_py()))[1] for x in column(batch, "frame")]
-            ids = [np.frombuffer(x, dtype="<u4", offset=8).astype(np.int32) for x in found]
-            keys = [struct.unpack_from("<q", x)[0] for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array([None if k == NO_ID else k for k in keys], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            found = [unpacked(next(frames(x.as_py()))[1]) for x in column(batch, "frame")]
+            ids = pa.array([x.astype(np.int32) for _, x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), ids], ["doc_id", "ids"])
 
     cut = F.substring("content", (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
-    return index.join(_files(spark, folder), "file").select(cut.alias("frame")).mapInArrow(run, "doc_id long, ids array<int>")
+    return index.select("file", "offset", "length").join(_files(spark, folder), "file").select(cut.alias("frame")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def sequence_starts(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files: ``start`` counts all ids before a record.
+    """(doc_id, start, n_tokens, ids_crc32), as read back from the files: ``start`` counts all ids before a record.
 
-    Offsets within a file come with the scan; only one total per file is summed up in order.
+    Places within a file come with the scan; only one total per file is summed up in order.
     """
-    records = scan_records(spark, folder)
+    records = spark.read.parquet(f"{folder}/index")
     totals = records.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     starts = totals.selectExpr("file", "sum(total) OVER (ORDER BY file) - total AS file_start")
     return records.join(starts, "file").select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
