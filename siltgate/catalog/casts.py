@@ -27,9 +27,15 @@ def variants(key: str, *forms: Column) -> Column:
     return chosen
 
 
-INT_FORMS = """CASE o_orderkey % 6 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN '00' || CAST(o_custkey AS VARCHAR)
+def line_ended(text: Column) -> tuple[Column, Column]:
+    """The text with a line end after it, which no grammar takes."""
+    return F.concat(text, F.lit("\n")), F.concat(text, F.lit("\r\n"))
+
+
+INT_FORMS = """CASE o_orderkey % 8 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN '00' || CAST(o_custkey AS VARCHAR)
  WHEN 2 THEN '-' || CAST(o_custkey AS VARCHAR) WHEN 3 THEN CAST(o_custkey AS VARCHAR) || '.5'
- WHEN 4 THEN ' ' || CAST(o_custkey AS VARCHAR) ELSE '9999999999999999' || CAST(o_custkey AS VARCHAR) END"""
+ WHEN 4 THEN ' ' || CAST(o_custkey AS VARCHAR) WHEN 5 THEN '9999999999999999' || CAST(o_custkey AS VARCHAR)
+ WHEN 6 THEN CAST(o_custkey AS VARCHAR) || chr(10) ELSE CAST(o_custkey AS VARCHAR) || chr(13) || chr(10) END"""
 
 
 @query(
@@ -41,13 +47,13 @@ def cast_int(spark, sf_dir):
     cust = F.col("o_custkey").cast("string")
     raw = variants(
         "o_orderkey", cust, F.concat(F.lit("00"), cust), F.concat(F.lit("-"), cust), F.concat(cust, F.lit(".5")),
-        F.concat(F.lit(" "), cust), F.concat(F.lit("9999999999999999"), cust),
+        F.concat(F.lit(" "), cust), F.concat(F.lit("9999999999999999"), cust), *line_ended(cust),
     )
     return cast_values(table(spark, sf_dir, "orders"), "o_orderkey", raw, {"type": "int"})
 
 
-FLOAT_FORMS = """CASE o_orderkey % 6 WHEN 0 THEN p WHEN 1 THEN p || 'e2' WHEN 2 THEN '.' || CAST(o_custkey AS VARCHAR)
- WHEN 3 THEN p || 'd' WHEN 4 THEN p || ' ' ELSE '-' || p END"""
+FLOAT_FORMS = """CASE o_orderkey % 8 WHEN 0 THEN p WHEN 1 THEN p || 'e2' WHEN 2 THEN '.' || CAST(o_custkey AS VARCHAR)
+ WHEN 3 THEN p || 'd' WHEN 4 THEN p || ' ' WHEN 5 THEN '-' || p WHEN 6 THEN p || chr(10) ELSE p || chr(13) || chr(10) END"""
 
 
 @query(
@@ -61,22 +67,30 @@ def cast_float(spark, sf_dir):
     price, cust = F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.col("o_custkey").cast("string")
     raw = variants(
         "o_orderkey", price, F.concat(price, F.lit("e2")), F.concat(F.lit("."), cust), F.concat(price, F.lit("d")),
-        F.concat(price, F.lit(" ")), F.concat(F.lit("-"), price),
+        F.concat(price, F.lit(" ")), F.concat(F.lit("-"), price), *line_ended(price),
     )
     return cast_values(table(spark, sf_dir, "orders"), "o_orderkey", raw, {"type": "float"})
 
 
+DECIMAL_FORMS = """CASE l_orderkey % 7 WHEN 0 THEN p WHEN 1 THEN p || 'e1' WHEN 2 THEN '+' || p WHEN 3 THEN replace(p, '.', ',')
+ WHEN 4 THEN ' ' || p WHEN 5 THEN p || chr(10) ELSE p || chr(13) || chr(10) END"""
+
+
 @query(
     "cast_decimal",
-    """SELECT l_orderkey, l_linenumber, raw, TRY_CAST(raw AS DECIMAL(7,1)) AS value
-       FROM (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice * 20 AS DECIMAL(14,2)) AS VARCHAR) AS raw FROM lineitem)""",
+    f"""SELECT l_orderkey, l_linenumber, raw,
+               CASE WHEN regexp_full_match(raw, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN TRY_CAST(raw AS DECIMAL(7,1)) END AS value
+        FROM (SELECT l_orderkey, l_linenumber, {DECIMAL_FORMS} AS raw
+              FROM (SELECT *, CAST(CAST(l_extendedprice * 20 AS DECIMAL(14,2)) AS VARCHAR) AS p FROM lineitem))""",
 )
 def cast_decimal(spark, sf_dir):
-    """Digits beyond the scale round half up; values beyond the precision fail."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 20).cast("decimal(14,2)").cast("string").alias("raw"),
-        (F.col("l_orderkey") + 1).alias("i"),
+    """Digits beyond the scale round half up; values beyond the precision and malformed text fail."""
+    price = (F.col("l_extendedprice") * 20).cast("decimal(14,2)").cast("string")
+    raw = variants(
+        "l_orderkey", price, F.concat(price, F.lit("e1")), F.concat(F.lit("+"), price), F.replace(price, F.lit("."), F.lit(",")),
+        F.concat(F.lit(" "), price), *line_ended(price),
     )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), (F.col("l_orderkey") + 1).alias("i"))
     frame = from_dataframe(lines, row_index="i").tracked()
     after = apply_edits(frame, [{"cast": {"raw": {"type": "decimal", "precision": 7, "scale": 1}}}])
     return after.df.select(
@@ -112,8 +126,9 @@ def cast_string(spark, sf_dir):
     return apply_edits(from_dataframe(part, row_index="i").tracked(), [{"cast": casts}]).live_rows()
 
 
-DATE_FORMS = """CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d')
- WHEN 2 THEN strftime(o_orderdate, '%Y') || '-02-30' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' ' END"""
+DATE_FORMS = """CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d')
+ WHEN 2 THEN strftime(o_orderdate, '%Y') || '-02-30' WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || ' '
+ WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d') || chr(10) ELSE strftime(o_orderdate, '%Y-%m-%d') || chr(13) || chr(10) END"""
 
 
 @query(
@@ -126,7 +141,7 @@ def cast_date_iso(spark, sf_dir):
     iso = F.date_format(day, "yyyy-MM-dd")
     raw = variants(
         "o_orderkey", iso, F.date_format(day, "yyyy/MM/dd"), F.concat(F.date_format(day, "yyyy"), F.lit("-02-30")),
-        F.concat(iso, F.lit(" ")),
+        F.concat(iso, F.lit(" ")), *line_ended(iso),
     )
     return cast_values(table(spark, sf_dir, "orders"), "o_orderkey", raw, {"type": "date"})
 
@@ -171,14 +186,16 @@ def cast_datetime_format(spark, sf_dir):
     "cast_datetime_iso",
     """SELECT event_id, raw, CASE WHEN regexp_full_match(raw,
          '[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\\.[0-9]{1,9})?)?)?') THEN TRY_CAST(raw AS TIMESTAMP) END AS value
-       FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f')
+       FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f')
                WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d')
-               ELSE strftime(ts, '%Y%m%d') END AS raw FROM events)""",
+               WHEN 3 THEN strftime(ts, '%Y%m%d') WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || chr(10)
+               ELSE strftime(ts, '%Y-%m-%d') || chr(13) || chr(10) END AS raw FROM events)""",
 )
 def cast_datetime_iso(spark, sf_dir):
+    seconds, day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd")
     raw = variants(
-        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
-        F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyyMMdd"),
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), seconds, day, F.date_format("ts", "yyyyMMdd"),
+        line_ended(seconds)[0], line_ended(day)[1],
     )
     return cast_values(table(spark, sf_dir, "events"), "event_id", raw, {"type": "datetime"})
 

@@ -19,12 +19,13 @@ from siltgate.plans.types import CAST_FEEDS, SPARK_MAX_PRECISION, DeclaredColumn
 TRUE_TEXTS = ("true", "1", "yes", "y")
 FALSE_TEXTS = ("false", "0", "no", "n")
 
-# Text grammars (Java regular expressions); anything else is a cast failure.
-INT_TEXT = r"^[+-]?[0-9]+$"
-FLOAT_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
-DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
-DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-DATETIME_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?$"
+# Text grammars (Java regular expressions); anything else is a cast failure. They end in \\z,
+# because $ would also match before a final line end.
+INT_TEXT = r"\A[+-]?[0-9]+\z"
+FLOAT_TEXT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z|\A[+-]?(?i:inf|infinity|nan)\z"
+DECIMAL_TEXT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\z"
+DATE_TEXT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+DATETIME_TEXT = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?)?\z"
 
 # Strptime directives and the Spark letters for them, as (next to another
 # number, standing alone). A lone letter takes one or more digits, a repeated one a fixed width.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from siltgate.errors import ResultCode, fail
 from siltgate.functions.text import iso_timestamp
-from siltgate.functions.naming import NamePool, recipe_name, safe_name, safe_names
+from siltgate.functions.naming import distinct_names, recipe_name, safe_name, safe_names
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.plans.recipe import Recipe, resolve_settings
 from siltgate.session import pin_file_splits, scratch_table
@@ -177,9 +177,13 @@ def split_record(line: Column, delimiter: Column) -> Column:
     return F.transform(cells, lambda cell: F.when(quoted(cell), inner(cell)).otherwise(cell))
 
 
+def is_blank(name: Column) -> Column:
+    return F.regexp_replace(name, r"(?U)\s+", "") == ""
+
+
 def header_code(header: Column) -> Column:
     """The finding about a header, if any: an empty name comes before a repeated one."""
-    blank = F.exists(header, lambda name: F.regexp_replace(name, r"(?U)\s+", "") == "")
+    blank = F.exists(header, is_blank)
     repeated = F.size(F.array_distinct(header)) < F.size(header)
     return F.when(blank, "source.empty_header").when(repeated, "source.duplicate_header")
 
@@ -191,7 +195,7 @@ def header_findings(spark: SparkSession, path: str, *, delimiter: str, encoding:
     line = decoded(F.col("value"), F.lit("latin-1" if encoding == "latin-1" else "utf-8"))
     split = firsts.select(F.col(FILE).alias("path"), split_record(line, F.lit(delimiter)).alias("header"))
     coded = split.withColumn("code", header_code(F.col("header")))
-    places = F.transform(F.sequence(F.lit(1), F.size("header")), lambda i: F.when(F.trim(F.element_at("header", i)) == "", i.cast("string")))
+    places = F.transform(F.sequence(F.lit(1), F.size("header")), lambda i: F.when(is_blank(F.element_at("header", i)), i.cast("string")))
     repeats = F.array_distinct(
         F.filter("header", lambda name: F.size(F.filter("header", lambda other: other == name)) > 1)
     )
@@ -464,7 +468,7 @@ def folder_tables(entries: DataFrame) -> DataFrame:
     listed = entries.orderBy("source_path", "sheet_position").collect()
     stem_of = {row.source_path: recipe_name(_file_stem(row.source_path)) for row in listed}
     twice = _repeated(list(stem_of.values()))
-    pool, named = NamePool(), []
+    bases = []
     for row in listed:
         stem = stem_of[row.source_path]
         if row.sheets is not None and row.sheets > 1:
@@ -473,7 +477,8 @@ def folder_tables(entries: DataFrame) -> DataFrame:
             base = f"{stem}_{'csv' if row.sheets is None else 'xlsx'}"
         else:
             base = stem
-        named.append((row.source_path, row.sheet, pool.claim(safe_name(base))))
+        bases.append(safe_name(base))
+    named = [(row.source_path, row.sheet, name) for row, name in zip(listed, distinct_names(bases))]
     return entries.sparkSession.createDataFrame(named, "path string, sheet_name string, `table` string")
 
 

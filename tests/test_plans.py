@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 
 from siltgate import Recipe, resolve_settings
-from siltgate.functions.naming import NamePool, companion_name, quoted, recipe_name, safe_names, split_identifier
+from pyspark.sql import functions as F
+
+from siltgate.functions.naming import companion_name, distinct_names, quoted, recipe_name, safe_name, safe_name_column, safe_names, split_identifier
 from siltgate.plans.types import normal_type, parse_schema, parse_type
 from siltgate.sinks.runlog import mask_secrets
 
@@ -109,11 +111,17 @@ def test_safe_names_keep_usable_ones_and_part_the_rest():
     long = safe_names(["x" * 80, "x" * 90])
     assert long == ["x" * 64, "x" * 62 + "_2"]
     assert safe_names(["Émile"]) == ["mile"]
+    assert safe_names(["___", "id\n"]) == ["column", "id"]
+
+
+def test_native_names_are_those_of_the_list_form(spark):
+    names = ["Company ID", "1st", "___", "id\n", "_x_", "", "Émile", "a" * 70, "a" * 63 + "_b", "x y\r\n", "A_b"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(safe_name_column(F.col("n"))).collect()
+    assert [r[0] for r in rows] == [safe_name(n) for n in names]
 
 
 def test_table_names_differ_from_each_other():
-    pool = NamePool()
-    assert [pool.claim(n) for n in ("a", "a", "a_2", "A")] == ["a", "a_2", "a_2_2", "A_3"]
+    assert distinct_names(["a", "a", "a_2", "A"]) == ["a", "a_2", "a_2_2", "A_3"]
     assert recipe_name(" Sales 2024 (final) ") == "sales_2024_final"
     assert recipe_name("***") == "recipe"
 
@@ -146,3 +154,5 @@ def test_type_spellings_are_normalised(text, normal):
 def test_passwords_are_masked():
     text = mask_secrets("jdbc://bob:pw1@host/db Password = hunter2;")
     assert "pw1" not in text and "hunter2" not in text and "bob" in text
+    shown = mask_secrets('{"api_key": "k1", "table": "t", "db_pwd": "k2", "at": "s3a://u:k3@h/p?token=k4&n=1"}')
+    assert not any(key in shown for key in ("k1", "k2", "k3", "k4")) and '"t"' in shown and "n=1" in shown

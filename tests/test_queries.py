@@ -6,6 +6,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from siltgate import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", catalog.queries())
 def test_query_agrees_with_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     assert differences(df, duck, entry.oracle_sql()[name]) == []

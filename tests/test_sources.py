@@ -268,3 +268,11 @@ def test_record_width_of_long_cells(spark):
     text = '"' + 'a""b,' * 20000 + '",x,y'
     df = spark.createDataFrame([(text,)], "r string")
     assert df.select(delimited.record_width(F.col("r"), ",")).first()[0] == 3
+
+
+def test_a_header_of_white_space_is_blank_at_its_place(spark, tmp_path):
+    from siltgate.operators.profile import header_findings
+
+    (tmp_path / "h.csv").write_text("a,\t,b\n1,2,3\n")
+    found = header_findings(spark, str(tmp_path / "h.csv"), delimiter=",").first()
+    assert (found["code"], found["columns"]) == ("source.empty_header", ["2"])
