@@ -35,7 +35,7 @@ from siltgate.session import scratch_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 _P = 2147483647
-_CELL = 4096  # slots that one row of the deck stands for until it is expanded
+_CELL = 1024  # slots that one row of the deck stands for until it is expanded
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,10 @@ def slots(sources: DataFrame, settings: Settings) -> DataFrame:
     passes = passes.withColumn("amount", amount).where("amount > 0").withColumn("n", F.ceil(F.col("amount") / block))
     before = Window.orderBy("rank", "pass")
     passes = passes.withColumn("first", F.sum("n").over(before) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    cells = passes.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CELL)))).repartition("rank", "pass", "cell")
+    cells = passes.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CELL))))
+    # a fixed number of partitions, because a cell is a small row with much work behind it
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(parts, "rank", "pass", "cell")
     end = F.least(F.col("n"), (F.col("cell") + 1) * _CELL) - 1
     each = cells.withColumn("k", F.explode(F.sequence(F.col("cell") * _CELL, end)))
     full = F.floor(F.col("source_size") / block)
@@ -139,7 +142,8 @@ def mix(df: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id",
     block = settings.block
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    joined = pieces.join(slots(sources, settings), ["rank", "block"], "left")
+    # Spark takes the slots for as small as the cells they come from, and must not broadcast them
+    joined = pieces.join(slots(sources, settings).hint("merge"), ["rank", "block"], "left")
     low = F.greatest("start", F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
     span = F.struct("shard", "slot", "pass", (low - F.col("start")).alias("from_word"), (high - F.col("start")).alias("to_word"))
