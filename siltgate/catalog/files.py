@@ -11,7 +11,7 @@ from siltgate.operators.rejects import CSV_OUTPUT
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.session import scratch_path
 from siltgate.sources.base import Source
-from siltgate.sources.delimited import list_files, read_delimited, record_faults
+from siltgate.sources.delimited import faulty_files, list_files, read_delimited, record_faults
 from siltgate.sources.tables import read_parquet
 
 # Rows per written file: small enough for several files in a test, and bounded at any scale.
@@ -134,17 +134,28 @@ def csv_record_width(spark, sf_dir):
 @query(
     "csv_short_records",
     """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus,
-         CASE WHEN o_orderkey % 43 = 0 AND o_orderkey % 41 <> 0 THEN '' ELSE o_orderpriority END AS o_orderpriority FROM orders""",
+         CASE WHEN o_orderkey % 43 = 0 THEN '' ELSE o_orderpriority END AS o_orderpriority FROM orders""",
 )
 def csv_short_records(spark, sf_dir):
     """Missing trailing fields read as empty text."""
-    return read_delimited(spark, _uneven_records(spark, sf_dir), encoding="utf-8", delimiter=",").rows()
+    return read_delimited(spark, _uneven_records(spark, sf_dir, over_long=False), encoding="utf-8", delimiter=",").rows()
 
 
-def _uneven_records(spark: SparkSession, sf_dir: str) -> str:
+@query(
+    "csv_read_faults",
+    f"""SELECT lpad(CAST(o_orderkey // {FILE_ROWS} AS VARCHAR), 12, '0') AS file, 'source.read_failed' AS code, count(*) AS records
+        FROM orders WHERE o_orderkey % 41 = 0 GROUP BY ALL""",
+)
+def csv_read_faults(spark, sf_dir):
+    """Files that no run may read, because records have more fields than the header."""
+    found = faulty_files(read_delimited(spark, _uneven_records(spark, sf_dir), encoding="utf-8", delimiter=","))
+    return found.select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "code", "records")
+
+
+def _uneven_records(spark: SparkSession, sf_dir: str, *, over_long: bool = True) -> str:
     key, fields = F.col("o_orderkey"), [F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"]
     line = (
-        F.when(key % 41 == 0, F.concat_ws(",", *fields, F.lit('"one, more"')))
+        F.when(F.lit(over_long) & (key % 41 == 0), F.concat_ws(",", *fields, F.lit('"one, more"')))
         .when(key % 43 == 0, F.concat_ws(",", *fields[:2]))
         .otherwise(F.concat_ws(",", *fields))
     )

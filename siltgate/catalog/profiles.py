@@ -9,6 +9,7 @@ from siltgate.catalog.raw import ORDERS_RAW_SQL, orders_raw
 from siltgate.catalog.registry import query, table
 from siltgate.functions.naming import safe_name_column
 from siltgate.operators.profile import (
+    delimiter_histogram,
     detect_delimiters,
     detect_encodings,
     discover_files,
@@ -16,8 +17,8 @@ from siltgate.operators.profile import (
     folder_tables,
     folder_totals,
     infer_schema,
+    line_histogram,
     profile_folder,
-    sample_lines,
     source_summary,
     text_lines,
 )
@@ -73,7 +74,10 @@ def detect_encoding(spark, sf_dir):
         FROM orders GROUP BY ALL""",
 )
 def detect_delimiter(spark, sf_dir):
-    """Four delimiters, with others inside quotes, and files of one column, which have none."""
+    """Four delimiters, with others inside quotes, and files of one column, which have none.
+
+    Every file starts with a long line of notes whose commas must not decide.
+    """
     group = F.substring("o_orderpriority", 1, 1)
     delimiter = F.element_at(F.array(*map(F.lit, (",", "\t", ";", "|"))), group.cast("int"))
     cells = [F.col("o_orderkey").cast("string"), F.lit('"a,b;c|d"'), F.col("o_orderstatus")]
@@ -81,9 +85,11 @@ def detect_delimiter(spark, sf_dir):
         F.concat(cells[0], delimiter_of(group, delimiter), cells[1], delimiter_of(group, delimiter), cells[2])
     )
     file = F.concat(F.lit("p"), group, F.lit("_"), F.lpad(F.floor(F.col("o_orderkey") / FILE_ROWS).cast("string"), 12, "0"))
-    folder = written_lines(table(spark, sf_dir, "orders"), file, F.col("o_orderkey"), line)
-    lines = text_lines(spark, folder + "/*")
-    found = detect_delimiters(sample_lines(lines, scratch_table(file_facts(lines), "facts")))
+    rows = table(spark, sf_dir, "orders").select(file.alias("f"), F.col("o_orderkey").alias("p"), line.alias("l"))
+    notes = rows.select("f").distinct().select("f", F.lit(-1).cast("bigint").alias("p"), F.repeat(F.lit("note, "), 2_000).alias("l"))
+    folder = written_lines(rows.union(notes), F.col("f"), F.col("p"), F.col("l"))
+    histogram = scratch_table(line_histogram(text_lines(spark, folder + "/*")), "histogram")
+    found = detect_delimiters(delimiter_histogram(histogram, file_facts(histogram), None))
     return found.select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "delimiter", "confident")
 
 
@@ -192,3 +198,32 @@ def profiled(spark, sf_dir):
 )
 def totals(spark, sf_dir):
     return folder_totals(profile_folder(spark, order_files(spark, sf_dir), recursive=True))
+
+
+def faulty_files(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files of orders by priority: sound, over-long, with an open quote, with bad headers."""
+    heads = F.array(*map(F.lit, ("id,status", "id,status", "id,status", "id,id", "id, ")))
+    group = F.substring("o_orderpriority", 1, 1).cast("int")
+    status = F.when((group == 2) & (F.col("o_orderkey") % 23 == 0), F.concat("o_orderstatus", F.lit(",more"))).otherwise(F.col("o_orderstatus"))
+    file = F.concat_ws("_", F.lit("p"), group.cast("string"), F.floor(F.col("o_orderkey") / FILE_ROWS).cast("string"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), status)
+    rows = table(spark, sf_dir, "orders").select(file.alias("f"), F.col("o_orderkey").cast("bigint").alias("p"), line.alias("l"), group.alias("g"))
+    files = rows.groupBy("f", "g").agg(F.max("p").alias("last"))
+    titles = files.select("f", F.lit(-1).cast("bigint").alias("p"), F.element_at(heads, F.col("g")).alias("l"))
+    strays = files.where("g = 3").select("f", (F.col("last") + 1).alias("p"), F.lit('0,"open').alias("l"))
+    return written_lines(rows.drop("g").union(titles).union(strays), F.col("f"), F.col("p"), F.col("l"), as_csv=True)
+
+
+@query(
+    "profile_failures",
+    f"""SELECT 'p_' || g || '_' || chunk AS file, CASE WHEN g = '1' OR (g = '2' AND NOT long_ones) THEN 'created' ELSE 'failed' END AS status,
+          CASE WHEN g = '2' AND long_ones THEN 'source.read_failed' WHEN g = '3' THEN 'source.read_failed'
+            WHEN g = '4' THEN 'source.duplicate_header' WHEN g = '5' THEN 'source.empty_header' END AS code
+        FROM (SELECT substring(o_orderpriority, 1, 1) AS g, o_orderkey // {FILE_ROWS} AS chunk, bool_or(o_orderkey % 23 = 0) AS long_ones
+              FROM orders GROUP BY ALL)""",
+)
+def profile_failures(spark, sf_dir):
+    """Files that cannot be profiled are entries with their code; the others go on."""
+    profile = profile_folder(spark, faulty_files(spark, sf_dir), recursive=True)
+    file = F.regexp_extract("source_path", "file=([^/]+)/", 1).alias("file")
+    return profile.select(file, "status", "code").distinct()

@@ -22,7 +22,7 @@ from siltgate.session import require_utc, scratch_table
 from siltgate.sinks import runlog
 from siltgate.sinks.tables import StagedReplace, append_rows
 from siltgate.sources.base import Source
-from siltgate.sources.delimited import has_bad_bytes
+from siltgate.sources.delimited import fault_counts, refuse_faults
 from siltgate.sources.open import open_source
 
 # What a failing Spark job raises; some causes reach Python unconverted.
@@ -55,8 +55,7 @@ class Plan:
         return reject_rows(self.frame)
 
     def counters(self) -> list[Column]:
-        faults = [F.count_if(broken).alias(code) for code, broken in self.source.faults.items()]
-        return [*count_columns(self.frame), *faults]
+        return [*count_columns(self.frame), *fault_counts(self.source)]
 
     def counts(self) -> dict[str, int]:
         """The counts alone, from one aggregate over the source."""
@@ -281,7 +280,7 @@ def _judged(
     started: dt.datetime,
     found: DataFrame | None = None,
 ) -> RunResult:
-    _raise_scan_faults(spark, plan.source, counts)
+    refuse_faults(spark, plan.source, counts)
     blocked = bool(plan.diagnostics)
     rows = rows_summary(counts, has_diagnostics=blocked)
     rejects = None
@@ -304,13 +303,6 @@ def _judged(
     )
 
 
-def _raise_scan_faults(spark: SparkSession, source: Source, counts: Mapping[str, int]) -> None:
-    if counts.get("source.read_failed"):
-        raise fail("source.read_failed", "Records have more fields than the header.", path=source.path, records=counts["source.read_failed"])
-    if counts.get("source.bad_bytes") and has_bad_bytes(spark, source.path, source.encoding):
-        raise fail("source.read_failed", f"The source has bytes that {source.encoding} does not know.", path=source.path, records=counts["source.bad_bytes"])
-
-
 def _now() -> dt.datetime:
     return dt.datetime.now(dt.UTC)
 

@@ -13,7 +13,7 @@ from typing import Any
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from siltgate.errors import ResultCode, fail
 from siltgate.functions.text import iso_timestamp
@@ -21,19 +21,18 @@ from siltgate.functions.naming import distinct_names, recipe_name, safe_name, sa
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.plans.recipe import Recipe, resolve_settings
 from siltgate.session import pin_file_splits, scratch_table
-from siltgate.sources.base import Source
-from siltgate.sources.delimited import QUOTED_CELL, require_path
+from siltgate.sources.base import Source, slots
+from siltgate.sources.delimited import fault_counts, refuse_faults, require_path
 from siltgate.sources.open import open_source, source_format
 from siltgate.sources.position import FILE, SEQ, START, position_columns
-from siltgate.sources.records import quote_count, spanning_records
+from siltgate.sources.records import QUOTED_CELL, literal_quote, quote_count, spanning_records
 from siltgate.sources.workbook import column_type, sheet_extents, workbook_files, workbook_rows, workbook_sheets
 
-# Delimiters looked for, in order of preference, and how much text is looked at.
+# Delimiters looked for, in order of preference, and rows of a preview.
 DELIMITERS = (",", "\t", ";", "|")
-SAMPLE_CHARACTERS = 8192
-FALLBACK_LINES = 5
+ANY_DELIMITER = r"[,\t;|]"
 PREVIEW_ROWS = 5
-# Share of sampled lines that must hold equally many delimiters.
+# Share of lines that must hold equally many delimiters.
 CONSISTENT_SHARE = 0.9
 # The longest text proposed as VARCHAR, and the length proposed without data.
 VARCHAR_LIMIT = 255
@@ -71,26 +70,60 @@ def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_size").alias("size"), *position_columns())
 
 
-def file_facts(lines: DataFrame) -> DataFrame:
-    """Per file: encoding, and whether some record spans lines. One pass, combined map-side.
+def line_histogram(lines: DataFrame) -> DataFrame:
+    """Everything later steps ask of raw lines, from one pass, combined map-side.
 
-    The reader drops a byte order mark, so it shows as bytes that no line accounts for.
+    One row per file, split and numbers of delimiters outside quotes, with the lines of this
+    kind, the bytes they take and what was seen in them. Delimiters and quotes are ASCII, so
+    they are counted before the encoding is known. Blank lines count as no lines.
     """
     value = F.col("value")
-    facts = lines.groupBy(F.col(FILE).alias("path")).agg(
-        (F.first("size") - F.sum(F.octet_length(value)) - F.count(F.lit(1)) >= 2).alias("marked"),
+    kinds = lines.groupBy(F.col(FILE).alias("path"), START, *_delimiter_counts(value), _filled(value).alias("filled"))
+    return kinds.agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.first("size").alias("size"),
+        F.sum(F.octet_length(value)).alias("octets"),
         F.bool_and(F.is_valid_utf8(value)).alias("utf8"),
-        F.bool_or(quote_count(value) % 2 == 1).alias("spans_lines"),
-        F.min(F.when(F.col(START) == 0, F.col(SEQ))).alias("first"),
+        F.bool_or(quote_count(value) % 2 == 1).alias("odd_line"),
+        F.sum(quote_count(value)).alias("quotes"),
+        F.min(SEQ).alias("first"),
+        F.max(F.struct(F.col(SEQ), literal_quote(value, ANY_DELIMITER).alias("literal"))).alias("last"),
+    )
+
+
+def _delimiter_counts(value: Column) -> list[Column]:
+    """Occurrences of every delimiter outside quotes; an open quote reaches to the end."""
+    bare = F.when(F.contains(value, F.lit('"')), F.regexp_replace(value, f'{QUOTED_CELL}|"[^"]*+$', "")).otherwise(value)
+    lengths = [F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(d), F.lit(""))) for d in DELIMITERS]
+    return [length.alias(f"n{i}") for i, length in enumerate(lengths)]
+
+
+def _filled(value: Column) -> Column:
+    return F.trim(F.regexp_replace(value, "\r$", "")) != ""
+
+
+def file_facts(histogram: DataFrame) -> DataFrame:
+    """Per file: encoding, whether some record spans lines, and whether the file ends in quotes.
+
+    The reader drops a byte order mark, so it shows as bytes that no line accounts for.
+    """
+    # The last filled line of a file; see ends_in_quotes, which does the same by split.
+    at_end = F.max(F.when(F.col("filled"), F.struct(F.col(START), "last")))["last"]["literal"]
+    facts = histogram.groupBy("path").agg(
+        (F.first("size") - F.sum("octets") - F.sum("lines") >= 2).alias("marked"),
+        F.bool_and("utf8").alias("utf8"),
+        F.bool_or("odd_line").alias("spans_lines"),
+        ((F.sum("quotes") % 2 == 1) & ~F.coalesce(at_end, F.lit(False))).alias("open_quote"),
+        F.min(F.when(F.col(START) == 0, F.col("first"))).alias("first"),
     )
     # The three encodings told apart.
     encoding = F.when(F.col("marked"), "utf-8-sig").when(F.col("utf8"), "utf-8").otherwise("latin-1")
-    return facts.select("path", encoding.alias("encoding"), "spans_lines", "first")
+    return facts.select("path", encoding.alias("encoding"), "spans_lines", "open_quote", "first")
 
 
 def detect_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, encoding) of every text file, from all of its bytes."""
-    return file_facts(text_lines(spark, path)).select("path", "encoding")
+    return file_facts(line_histogram(text_lines(spark, path))).select("path", "encoding")
 
 
 def decoded(value: Column, encoding: Column) -> Column:
@@ -99,74 +132,52 @@ def decoded(value: Column, encoding: Column) -> Column:
     return F.regexp_replace(F.when(encoding == "latin-1", latin).otherwise(value), "\r$", "")
 
 
-def sample_lines(lines: DataFrame, facts: DataFrame) -> DataFrame:
-    """(path, place, line, whole) of the lines that begin in a file's first characters.
+def spanning_values(spark: SparkSession, facts: DataFrame) -> DataFrame | None:
+    """Records (file, start, seq, value) of the files whose records span lines; None without any."""
+    paths = [row[0] for row in facts.where("spans_lines AND NOT open_quote").select("path").orderBy("path").toLocalIterator()]
+    if not paths:
+        return None
+    return spanning_records(spark, paths).withColumn("value", F.col("record").cast("string")).drop("record")
+
+
+def delimiter_histogram(histogram: DataFrame, facts: DataFrame, records: DataFrame | None) -> DataFrame:
+    """(path, n0.., lines): records by their numbers of delimiters.
 
-    A line takes at least one character, so only that many lines, each cut to that length,
-    go to a file's group.
+    A line is a record, except in files whose records span lines: those count by record.
     """
-    firsts = facts.select(F.col("path").alias(FILE), "first", "encoding")
-    heads = (
-        lines.where(F.col(START) == 0)
-        .join(firsts, FILE)
-        .withColumn("place", F.col(SEQ) - F.col("first"))
-        .where(F.col("place") < SAMPLE_CHARACTERS)
-        .withColumn("line", decoded(F.col("value"), F.col("encoding")))
-        .select(FILE, "place", F.substring("line", 1, SAMPLE_CHARACTERS).alias("line"))
-    )
-    earlier = Window.partitionBy(FILE).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("line") + 1).over(earlier), F.lit(0))
-    room = SAMPLE_CHARACTERS - F.col("start")
-    return heads.withColumn("start", start).where(room > 0).select(
-        F.col(FILE).alias("path"),
-        "place",
-        F.substring(F.col("line"), F.lit(1), room).alias("line"),
-        (F.char_length("line") <= room).alias("whole"),
-    )
+    counts = [f"n{i}" for i in range(len(DELIMITERS))]
+    lines = F.when(F.col("filled"), F.col("lines")).otherwise(0).alias("lines")
+    by_line = histogram.join(facts.where("NOT spans_lines OR open_quote"), "path", "left_semi").select("path", *counts, lines)
+    if records is None:
+        return by_line
+    kinds = records.groupBy(F.col(FILE).alias("path"), *_delimiter_counts(F.col("value")), _filled(F.col("value")).alias("filled"))
+    return by_line.union(kinds.agg(F.count(F.lit(1)).alias("lines")).select("path", *counts, lines))
 
 
-def detect_delimiters(sampled: DataFrame) -> DataFrame:
-    """(path, delimiter, confident) from sampled lines.
+def detect_delimiters(histogram: DataFrame) -> DataFrame:
+    """(path, delimiter, confident) from a :func:`delimiter_histogram` of whole files.
 
     Confident: some delimiter occurs equally often, outside quotes, on nearly all lines. Else
-    the delimiter with most occurrences on the first lines, or a comma. Quoted text is taken
-    out of a file's sample as a whole, because it may hold line breaks.
+    the delimiter with most occurrences, or a comma.
     """
-    samples = sampled.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "line", "whole"))).alias("lines"))
-    text = F.array_join(F.transform("lines", lambda line: line["line"]), "\n")
-    bare = F.split(F.regexp_replace(text, f'{QUOTED_CELL}|"[^"]*+$', ""), "\n")
-    cut = ~F.element_at("lines", -1)["whole"] & (F.size(bare) > 1)
-    usable = F.when(cut, F.slice(bare, F.lit(1), F.size(bare) - 1)).otherwise(bare)
-    filled = lambda lines: F.filter(lines, lambda line: F.trim(line) != "")
-    prepared = samples.select(
-        "path", filled(usable).alias("usable"), F.slice(filled(F.split(text, "\n")), 1, FALLBACK_LINES).alias("early")
+    kinds = F.array(*[F.struct(F.lit(i).alias("d"), F.col(f"n{i}").alias("n")) for i in range(len(DELIMITERS))])
+    counted = histogram.select("path", "lines", F.inline(kinds)).groupBy("path", "d", "n").agg(F.sum("lines").alias("lines"))
+    seen = counted.groupBy("path", "d").agg(
+        F.max(F.when(F.col("n") > 0, F.col("lines"))).alias("most"),
+        F.sum("lines").alias("total"),
+        F.sum(F.col("n") * F.col("lines")).alias("seen"),
     )
-    scored = prepared.select(
-        "path",
-        *[_consistency(F.col("usable"), d).alias(f"share{i}") for i, d in enumerate(DELIMITERS)],
-        *[_occurrences(F.array_join("early", ""), d).alias(f"early{i}") for i, d in enumerate(DELIMITERS)],
+    consistent = F.col("most") / F.greatest("total", F.lit(1)) >= CONSISTENT_SHARE
+    chosen = seen.groupBy("path").agg(
+        F.min(F.when(consistent, F.col("d"))).alias("sure"),
+        F.min(F.when(F.col("seen") > 0, F.struct((-F.col("seen")).alias("rank"), "d")))["d"].alias("likely"),
     )
-    sure = F.coalesce(*[F.when(F.col(f"share{i}") >= CONSISTENT_SHARE, F.lit(d)) for i, d in enumerate(DELIMITERS)])
-    most = F.greatest(*[F.col(f"early{i}") for i in range(len(DELIMITERS))])
-    likely = F.coalesce(*[F.when((most > 0) & (F.col(f"early{i}") == most), F.lit(d)) for i, d in enumerate(DELIMITERS)])
-    return scored.select(
-        "path", F.coalesce(sure, likely, F.lit(DELIMITERS[0])).alias("delimiter"), sure.isNotNull().alias("confident")
+    place = F.coalesce("sure", "likely", F.lit(0))
+    return chosen.select(
+        "path", F.element_at(F.array(*map(F.lit, DELIMITERS)), place + 1).alias("delimiter"), F.col("sure").isNotNull().alias("confident")
     )
 
 
-def _consistency(lines: Column, delimiter: str) -> Column:
-    """The largest share of lines that hold the same positive number of a delimiter."""
-    counts = F.transform(lines, lambda line: _occurrences(line, delimiter))
-    shares = F.transform(
-        F.filter(F.array_distinct(counts), lambda n: n > 0), lambda n: F.size(F.filter(counts, lambda m: m == n)) / F.size(lines)
-    )
-    return F.coalesce(F.array_max(shares), F.lit(0.0))
-
-
-def _occurrences(text: Column, delimiter: str) -> Column:
-    return F.char_length(text) - F.char_length(F.replace(text, F.lit(delimiter), F.lit("")))
-
-
 def split_record(line: Column, delimiter: Column) -> Column:
     """The fields of a one-line record: quotes removed, doubled quotes single."""
     sep = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
@@ -274,6 +285,8 @@ def inspect_source(
     spark: SparkSession, path: str, *, sheet: str | None = None, encoding: str | None = None, delimiter: str | None = None
 ) -> Inspection:
     source = _opened(spark, path, sheet, encoding, delimiter, sure=False)
+    counts = source.df.agg(F.count(F.lit(1)).alias("records"), *fault_counts(source)).first().asDict()
+    refuse_faults(spark, source, counts)
     types = {name: field.dataType.simpleString() for name, field in zip(source.columns, source.rows().schema)}
     preview = preview_rows(source).collect()
     return Inspection(
@@ -284,7 +297,7 @@ def inspect_source(
         sheets=list(source.sheets),
         selected_sheet=source.sheet,
         columns=source.columns,
-        row_count=source.rows().count(),
+        row_count=counts["records"],
         dtypes=types,
         preview=[dict(zip(source.columns, row[1:])) for row in preview],
     )
@@ -318,15 +331,16 @@ def source_summary(source: Source) -> DataFrame:
 
 def sniffed(spark: SparkSession, path: str, encoding: str | None) -> tuple[str, str, bool]:
     """(encoding, delimiter, confident) of one text source."""
-    lines = text_lines(spark, path)
-    facts = scratch_table(file_facts(lines), "facts")
+    histogram = scratch_table(line_histogram(text_lines(spark, path)), "histogram")
+    facts = scratch_table(file_facts(histogram), "facts")
     row = facts.orderBy("path").first()
     if row is None:
         raise fail("source.empty", "The source file is empty.", path=path)
-    encoding = encoding or row.encoding
-    chosen = facts.withColumn("encoding", F.lit("latin-1" if encoding == "latin-1" else "utf-8"))
-    found = detect_delimiters(sample_lines(lines, chosen)).orderBy("path").first()
-    return encoding, (found.delimiter if found else DELIMITERS[0]), bool(found and found.confident)
+    if row.open_quote:
+        raise fail("source.read_failed", "A file ends within a quoted cell.", path=path, file=row.path)
+    counts = delimiter_histogram(histogram, facts, spanning_values(spark, facts))
+    found = detect_delimiters(counts).orderBy("path").first()
+    return encoding or row.encoding, found.delimiter, found.confident
 
 
 def _opened(spark, path: str, sheet: str | None, encoding: str | None, delimiter: str | None, *, sure: bool) -> Source:
@@ -355,7 +369,10 @@ def starter_recipe(
 ) -> Recipe:
     """A recipe proposed for one source; its column names and types come from the data."""
     source = _opened(spark, path, sheet, encoding, delimiter, sure=True)
-    types = [row.type for row in infer_schema(source.df.select(*[source.df[f"c{i}"] for i in range(len(source.columns))])).orderBy("position").collect()]
+    observed = Observation()
+    counted = source.df.observe(observed, F.count(F.lit(1)).alias("records"), *fault_counts(source))
+    types = [row.type for row in infer_schema(counted.select(*slots(len(source.columns)))).orderBy("position").collect()]
+    refuse_faults(spark, source, observed.get)
     stem = path.rstrip("/").rpartition("/")[2].rpartition(".")[0]
     name = recipe_name(table or stem)
     if name in existing:
@@ -404,8 +421,8 @@ def profile_folder(
 
     One row per column: (source_path, sheet, sheet_position, status, table, position,
     source_column, column, type, code, encoding, delimiter). An entry that cannot be profiled is one row with its code; the rest go on.
-    Encodings and structure of all text files come from one pass over them, delimiters from a
-    pass over their heads, column lengths from one more pass.
+    Encodings, structure and delimiters of all text files come from one pass over them, headers
+    and column lengths from a second one.
     """
     if project is not None:
         check_scope(directory, project)
@@ -522,20 +539,23 @@ def text_entries(spark: SparkSession, files: DataFrame, encoding: str | None, de
     if not paths:
         return spark.createDataFrame([], ENTRY)
     lines = text_lines(spark, paths)
-    facts = scratch_table(file_facts(lines), "facts")
+    histogram = scratch_table(line_histogram(lines), "histogram")
+    facts = scratch_table(file_facts(histogram), "facts")
+    records = spanning_values(spark, facts)
+    found = detect_delimiters(delimiter_histogram(histogram, facts, records))
     if encoding:
         facts = facts.withColumn("encoding", F.lit("latin-1" if encoding == "latin-1" else "utf-8"))
-    found = detect_delimiters(sample_lines(lines, facts))
     if delimiter:
         found = found.withColumn("delimiter", F.lit(delimiter)).withColumn("confident", F.lit(True))
     formats = scratch_table(facts.join(found, "path", "left"), "formats")
 
-    wanted = formats.where("confident").withColumnRenamed("path", FILE)
-    cells = _split_cells(lines.select(FILE, START, SEQ, "value").join(wanted.where("not spans_lines"), FILE), F.col("first"))
-    spanning = [row[0] for row in wanted.where("spans_lines").select(FILE).orderBy(FILE).toLocalIterator()]
-    if spanning:
-        records = spanning_records(spark, spanning).withColumn("value", F.col("record").cast("string")).drop("record")
-        cells = cells.union(_split_cells(records.join(wanted, FILE), F.lit(0)))
+    # Formats by split, so that a large file's text is no single key where this join shuffles.
+    wanted = formats.where("confident AND NOT open_quote").join(histogram.select("path", START).distinct(), "path")
+    wanted = scratch_table(wanted.withColumnRenamed("path", FILE), "split_formats")
+    by_line = lines.select(FILE, START, SEQ, "value").join(wanted.where("NOT spans_lines"), [FILE, START])
+    cells = _split_cells(by_line, F.col("first"))
+    if records is not None:
+        cells = cells.union(_split_cells(records.join(wanted, [FILE, START]), F.lit(0)))
     headers = cells.where("is_header").select(F.col(FILE).alias("path"), F.col("cells").alias("header"))
     lengths = (
         cells.where("not is_header and not blank")
@@ -556,6 +576,7 @@ def text_entries(spark: SparkSession, files: DataFrame, encoding: str | None, de
         .withColumn(
             "code",
             F.when(F.col("encoding").isNull(), "source.empty")
+            .when(F.col("open_quote"), "source.read_failed")
             .when(~F.coalesce("confident", F.lit(False)), "source.csv_detection_failed")
             .when(header_code(F.col("header")).isNotNull(), header_code(F.col("header")))
             .when(F.col("last") >= F.size("header"), "source.read_failed"),

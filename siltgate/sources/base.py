@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltgate.operators.tracked import RowNumbering, TrackedFrame
 
@@ -31,8 +31,14 @@ class Source:
         return TrackedFrame.start(self.df, dict(zip(self.columns, slots(len(self.columns)))), self.numbering, self.bare)
 
     def rows(self) -> DataFrame:
-        """The source as a plain DataFrame under its own column names."""
+        """The source as a plain DataFrame under its own column names.
+
+        A record with more fields than there are columns fails the job that meets it.
+        """
         df = self.df if self.bare is None else self.bare
+        if "source.read_failed" in self.faults:
+            refused = F.raise_error(F.lit(f"source.read_failed: a record of {self.path} has more fields than the header."))
+            df = df.where(F.when(self.faults["source.read_failed"], refused.cast("boolean")).otherwise(True))
         return df.select(*[df[slot].alias(name) for slot, name in zip(slots(len(self.columns)), self.columns)])
 
 

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import itertools
 import re
+from collections.abc import Mapping
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from pyspark.errors import PySparkException
+
 from siltgate.errors import fail
 from siltgate.operators.tracked import ColumnNumbering, ROW_INDEX
 from siltgate.session import pin_file_splits
 from siltgate.sources.base import Source, slots
 from siltgate.sources.encodings import REPLACEMENT, Encoding, resolve
-from siltgate.sources.position import POSITION, SEQ, START, FileOrderNumbering, position_columns
-from siltgate.sources.records import quote_count, spanning_records
+from siltgate.sources.position import FILE, POSITION, SEQ, START, FileOrderNumbering, position_columns
+from siltgate.sources.records import QUOTED_CELL, literal_quote, quote_count, records_span_lines, spanning_records, split_quotes
 
 CORRUPT = "__corrupt"
 BAD_BYTES = "__bad"
-# A quoted cell; possessive, so that long cells need neither stack nor backtracking.
-QUOTED_CELL = '"[^"]*+(?:""[^"]*+)*+"'
 
 
 def read_delimited(
@@ -49,14 +51,21 @@ def read_delimited(
     files = files or list_files(spark, path)
     resolved = resolve(encoding, path)
 
+    quotes = None
+    if not resolved.by_line:
+        require_closed_quotes(spark, files, resolved, delimiter, path)
+    elif multi_line is not False:
+        quotes = split_quotes(spark, files, delimiter)
+    spans_lines = not resolved.by_line if quotes is None else records_span_lines(quotes, path)
+
     above = skip_rows + header_row
-    head = read_head(spark, files[0], resolved, delimiter, above)
+    head = read_head(spark, files[0], resolved, delimiter, above, one_line=multi_line is False)
     header = check_header(head, above, path)
     # Spark never counts empty lines as records.
     skipped = sum(1 for record in head if _counts(record))
     plain_header = above == 1 and skipped == 1
     if multi_line is None:
-        multi_line = not resolved.by_line or needs_record_reader(spark, files)
+        multi_line = spans_lines
     names = slots(len(header))
     # With one plain header per file, Spark itself can compare each file's header with the
     # names; where it cannot, the record reader does.
@@ -72,7 +81,10 @@ def read_delimited(
         "maxColumns": max(20480, len(header) + 2),
     }
     if by_records:
-        rows, numbering = _record_rows(spark, files, resolved, header, skipped, options)
+        if quotes is None:
+            quotes = split_quotes(spark, files, delimiter)
+            records_span_lines(quotes, path)
+        rows, numbering = _record_rows(spark, files, quotes, resolved, header, skipped, options)
         bare = None
     else:
         rows, bare, numbering = _line_rows(spark, files, resolved, header, skipped, plain_header, options)
@@ -135,10 +147,16 @@ def _line_rows(
 
 
 def _record_rows(
-    spark: SparkSession, files: list[str], encoding: Encoding, header: list[str], skipped: int, options: dict
+    spark: SparkSession,
+    files: list[str],
+    quotes: DataFrame,
+    encoding: Encoding,
+    header: list[str],
+    skipped: int,
+    options: dict,
 ) -> tuple[DataFrame, FileOrderNumbering]:
     """Rows of records that may span lines, assembled in parallel, then split by Spark."""
-    records = spanning_records(spark, files)
+    records = spanning_records(spark, files, quotes)
     raw = F.col("record")
     text = F.decode(raw, encoding.charset) if encoding.charset == "ISO-8859-1" else raw.cast("string")
     bad = ~F.is_valid_utf8(raw.cast("string")) if encoding.charset == "UTF-8" else F.lit(False)
@@ -190,22 +208,57 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return files
 
 
-def read_head(spark: SparkSession, file: str, encoding: Encoding, delimiter: str, records: int) -> list[list[str]]:
-    """The first records of one file. Reads as many lines as these records span, no more."""
+def read_head(
+    spark: SparkSession, file: str, encoding: Encoding, delimiter: str, records: int, *, one_line: bool = False
+) -> list[list[str]]:
+    """The first records of one file. Reads as much text as these records span, no more."""
     if not encoding.by_line:
-        raw = spark.read.format("binaryFile").load(file).select("content").first()[0]
-        return list(itertools.islice(csv.reader(io.StringIO(_decoded(bytes(raw), encoding, file)), delimiter=delimiter), records))
+        return _wide_head(spark, file, encoding, delimiter, records)
     wanted = records
     while True:
         lines = spark.read.text(file).select(F.col("value").cast("binary")).limit(wanted).collect()
         text = _decoded(b"\n".join(bytes(line[0]) for line in lines), encoding, file)
         head = list(itertools.islice(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), records))
         # An odd number of quotes means the last record goes on in further lines.
-        if len(lines) < wanted or (len(head) >= records and text.count('"') % 2 == 0):
+        if one_line or len(lines) < wanted or (len(head) >= records and text.count('"') % 2 == 0):
             return head
         wanted *= 2
 
 
+def _wide_head(spark: SparkSession, file: str, encoding: Encoding, delimiter: str, records: int) -> list[list[str]]:
+    """The first records of a file of 2- or 4-byte characters, from its first bytes."""
+    content = spark.read.format("binaryFile").load(file).select("content")
+    wanted = 1 << 16
+    while True:
+        row = content.select(F.substring("content", 1, wanted), F.octet_length("content") <= wanted).first()
+        if row is None:
+            return []
+        raw, whole = bytes(row[0]), row[1]
+        try:
+            text = codecs.getincrementaldecoder(encoding.codec)().decode(raw, whole)
+        except UnicodeError:
+            raise _undecodable(encoding, file) from None
+        head = list(itertools.islice(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), records + 1))
+        # A record is known to be whole once another one follows it.
+        if whole or len(head) > records:
+            return head[:records]
+        wanted *= 2
+
+
+def require_closed_quotes(spark: SparkSession, files: list[str], encoding: Encoding, delimiter: str, path: str) -> None:
+    """Refuse files of 2- or 4-byte characters that end within a quoted cell."""
+    text = F.decode("content", encoding.charset)
+    last = F.substring_index(F.regexp_replace(text, r"[\r\n]+\z", ""), "\n", -1)
+    left_open = (quote_count(text) % 2 == 1) & ~literal_quote(last, re.escape(delimiter))
+    scan = spark.read.format("binaryFile").load(files).where(left_open).select("path")
+    try:
+        found = scan.first()
+    except PySparkException:
+        raise _undecodable(encoding, path) from None
+    if found is not None:
+        raise fail("source.read_failed", "A file ends within a quoted cell.", path=path, file=found.path)
+
+
 def check_header(head: list[list[str]], position: int, path: str) -> list[str]:
     """The header record, refused when it is absent, blank somewhere or repeats a name."""
     if len(head) < position:
@@ -220,17 +273,6 @@ def check_header(head: list[list[str]], position: int, path: str) -> list[str]:
     return header
 
 
-def needs_record_reader(spark: SparkSession, files: list[str]) -> bool:
-    """True when lines are not records: a quoted line break, or a line of white space only.
-
-    A record that spans lines starts with a line holding an odd number of quotes. Stops at
-    the first such line.
-    """
-    value = F.col("value")
-    only_space = (value != "") & value.rlike(r"^[\x00-\x20]+$")
-    return not spark.read.text(files).where((quote_count(value) % 2 == 1) | only_space).isEmpty()
-
-
 def record_width(record: Column, delimiter: str) -> Column:
     """Number of fields of one raw record; delimiters within quotes do not count."""
     sep = re.escape(delimiter)
@@ -250,7 +292,11 @@ def _decoded(raw: bytes, encoding: Encoding, path: str) -> str:
     try:
         return raw.decode(encoding.codec)
     except UnicodeError:
-        raise fail("source.encoding_failed", f"The source cannot be read as {encoding.name}.", path=path) from None
+        raise _undecodable(encoding, path) from None
+
+
+def _undecodable(encoding: Encoding, path: str) -> Exception:
+    return fail("source.encoding_failed", f"The source cannot be read as {encoding.name}.", path=path)
 
 
 def record_faults(source: Source) -> DataFrame:
@@ -271,3 +317,22 @@ def has_bad_bytes(spark: SparkSession, path: str, encoding_name: str) -> bool:
     if encoding.charset != "UTF-8":
         return True
     return not spark.read.text(list_files(spark, path)).where(~F.is_valid_utf8("value")).isEmpty()
+
+
+def fault_counts(source: Source) -> list[Column]:
+    """Records with each fault of the scan, as aggregates under the fault's code."""
+    return [F.count_if(broken).alias(code) for code, broken in source.faults.items()]
+
+
+def refuse_faults(spark: SparkSession, source: Source, counts: Mapping[str, int]) -> None:
+    """Fail when the counted faults make the source unreadable."""
+    if counts.get("source.read_failed"):
+        raise fail("source.read_failed", "Records have more fields than the header.", path=source.path, records=counts["source.read_failed"])
+    if counts.get("source.bad_bytes") and has_bad_bytes(spark, source.path, source.encoding):
+        raise fail("source.read_failed", f"The source has bytes that {source.encoding} does not know.", path=source.path, records=counts["source.bad_bytes"])
+
+
+def faulty_files(source: Source) -> DataFrame:
+    """(path, code, records) of files that hold records with more fields than the header."""
+    broken = source.df.where(source.faults["source.read_failed"]).groupBy(F.col(FILE).alias("path"))
+    return broken.agg(F.count(F.lit(1)).alias("records")).select("path", F.lit("source.read_failed").alias("code"), "records")

@@ -8,6 +8,7 @@ are joined in a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from siltgate.errors import fail
 from siltgate.session import pin_file_splits, scratch_table
 from siltgate.sources.position import FILE, SEQ, START, position_columns
 
 # Splits whose parities go into one broadcast; more files are read in several groups.
 PARITY_SPLITS = 200_000
 
+# A quoted cell; possessive, so that long cells need neither stack nor backtracking.
+QUOTED_CELL = '"[^"]*+(?:""[^"]*+)*+"'
+
 RECORDS = f"{FILE} string, {START} bigint, {SEQ} bigint, record binary, piece string"
 _SCHEMA = pa.schema(
     [(FILE, pa.string()), (START, pa.int64()), (SEQ, pa.int64()), ("record", pa.binary()), ("piece", pa.string())]
@@ -37,9 +42,62 @@ def quote_count(value: Column) -> Column:
     return F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
 
 
-def spanning_records(spark: SparkSession, files: list[str], parity_splits: int = PARITY_SPLITS) -> DataFrame:
-    """(file, start, seq, record): raw records; seq counts the records that start in a split."""
-    quotes = raw_lines(spark, files).groupBy(FILE, START).agg((F.sum(quote_count(F.col("value"))) % 2).alias("odd"))
+def literal_quote(line: Column, separators: str) -> Column:
+    """Whether a line has an odd number of quotes, and none that opens a cell without closing it."""
+    bare = F.regexp_replace(line, f"(?<=^|{separators}){QUOTED_CELL}", "")
+    return (quote_count(line) % 2 == 1) & ~bare.rlike(f'(?:^|{separators})"')
+
+
+def last_literal(value: Column, separators: str) -> Column:
+    """Aggregate: whether a split's last filled line ends outside quotes although their number is odd."""
+    filled = ~value.isin("", "\r")
+    return F.max(F.when(filled, F.struct(F.col(SEQ), literal_quote(value, separators).alias("literal"))))["literal"]
+
+
+def ends_in_quotes(quotes: Column, literal: Column) -> Column:
+    """Aggregate over a file's splits: whether it ends within a quoted cell.
+
+    An odd number of quotes leaves a cell open, unless the last line holds the odd one amid a
+    cell's text.
+    """
+    at_end = F.max(F.when(literal.isNotNull(), F.struct(F.col(START), literal.alias("literal"))))["literal"]
+    return (F.sum(quotes) % 2 == 1) & ~F.coalesce(at_end, F.lit(False))
+
+
+def split_quotes(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
+    """(file, start, odd, spans, literal) per split, from one pass over the raw lines.
+
+    ``odd``: the split holds an odd number of quotes. ``spans``: some line of it is no record,
+    because it holds an odd number of quotes or only white space.
+    """
+    value = F.col("value")
+    only_space = ~value.isin("", "\r") & value.rlike(r"\A[\x00-\x20]+\z")
+    return scratch_table(
+        raw_lines(spark, files).groupBy(FILE, START).agg(
+            (F.sum(quote_count(value)) % 2).alias("odd"), F.bool_or((quote_count(value) % 2 == 1) | only_space).alias("spans"),
+            last_literal(value, re.escape(delimiter)).alias("literal"),
+        ),
+        "quotes",
+    )
+
+
+def records_span_lines(quotes: DataFrame, path: str) -> bool:
+    """Whether some line is no record of its own. A file that ends within quotes is refused."""
+    files = quotes.groupBy(FILE).agg(ends_in_quotes(F.col("odd"), F.col("literal")).alias("open"), F.bool_or("spans").alias("spans"))
+    found = files.agg(F.bool_or("spans").alias("spans"), F.min(F.when(F.col("open"), F.col(FILE))).alias("open")).first()
+    if found.open is not None:
+        raise fail("source.read_failed", "A file ends within a quoted cell.", path=path, file=found.open)
+    return bool(found.spans)
+
+
+def spanning_records(
+    spark: SparkSession, files: list[str], quotes: DataFrame | None = None, parity_splits: int = PARITY_SPLITS
+) -> DataFrame:
+    """(file, start, seq, record): raw records; seq counts the records that start in a split.
+
+    Every file must end outside quotes, see :func:`records_span_lines`.
+    """
+    quotes = split_quotes(spark, files, ",") if quotes is None else quotes
     earlier = Window.partitionBy(FILE).orderBy(START).rowsBetween(Window.unboundedPreceding, -1)
     parities = scratch_table(
         quotes.select(FILE, START, (F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).alias("inside")), "parities"
@@ -83,12 +141,13 @@ def _assembled(spark: SparkSession, files: list[str], parities: DataFrame, *, al
     pieces = started.mapInArrow(_pieces, RECORDS)
     whole = pieces.where("piece = 'whole'").select(FILE, START, SEQ, "record")
 
-    # A tail opens a record; heads and middles of the splits that follow belong to it.
-    edges = pieces.where("piece <> 'whole'")
+    # A tail opens a record; heads and middles of the splits that follow belong to it. Which
+    # record a piece belongs to is found from keys alone; bytes are shuffled by record.
+    edges = scratch_table(pieces.where("piece <> 'whole'"), "edges")
     so_far = Window.partitionBy(FILE).orderBy(START, F.col("piece") == "tail").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = edges.withColumn("opened", F.count_if(F.col("piece") == "tail").over(so_far))
+    opened = edges.select(FILE, START, "piece", F.count_if(F.col("piece") == "tail").over(so_far).alias("opened"))
     order = F.struct(START, (F.col("piece") == "tail").alias("last"), SEQ, "record")
-    joined = grouped.groupBy(FILE, "opened").agg(F.array_sort(F.collect_list(order)).alias("parts"))
+    joined = edges.join(opened, [FILE, START, "piece"]).groupBy(FILE, "opened").agg(F.array_sort(F.collect_list(order)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda part: part["record"].cast("string")), "\n")
     spanning = joined.select(
         FILE, F.col("parts")[0][START].alias(START), F.col("parts")[0][SEQ].alias(SEQ), text.cast("binary").alias("record")

@@ -8,6 +8,7 @@ from siltgate import validate
 from siltgate.catalog.workbooks import workbook_bytes
 from siltgate.operators.profile import (
     check_scope,
+    delimiter_histogram,
     detect_delimiters,
     detect_encodings,
     discover_files,
@@ -17,12 +18,14 @@ from siltgate.operators.profile import (
     header_findings,
     infer_schema,
     inspect_source,
+    line_histogram,
     profile_folder,
-    sample_lines,
+    spanning_values,
     split_record,
     starter_recipe,
     text_lines,
 )
+from siltgate.sources.delimited import read_delimited
 from pyspark.sql import functions as F
 
 
@@ -52,22 +55,29 @@ def test_delimiters_are_sure_or_guessed(spark, tmp_path):
     long = "".join(f"{i}|{'x' * 300}|{i}\n" for i in range(200)) + "a;b;c;d\n" * 100
     for name, content in {
         "comma.csv": "a,b\n1,2\n", "tab.csv": 'a\tb\n"1,5"\t"2;3,4"\n', "pipe.csv": long, "one.csv": "seller_id\n00123\n04567\n",
+        "late.csv": "a note, of words\n" * 900 + "1;2;3\n" * 5000, "late_sure.csv": "a, note " * 2000 + "\n" + "1;2\n" * 20,
+        "lines.csv": 'a;b\n1;"x,\ny,\n,,z"\n2;c\n',
         "ragged.csv": "a;b\n1\n2;3;4;5\nx,y\n", "crlf.csv": "a;b\r\n1;2\r\n", "head.csv": "a,b;c\n", "cut.csv": "a;" + "b" * 9000,
     }.items():
         write(tmp_path / name, content)
-    lines = text_lines(spark, str(tmp_path))
-    found = detect_delimiters(sample_lines(lines, file_facts(lines))).collect()
+    histogram = line_histogram(text_lines(spark, str(tmp_path)))
+    facts = file_facts(histogram)
+    found = detect_delimiters(delimiter_histogram(histogram, facts, spanning_values(spark, facts))).collect()
     assert by_name(found, "delimiter", "confident") == {
-        "comma.csv": (",", True), "tab.csv": ("\t", True), "pipe.csv": ("|", True), "one.csv": (",", False),
+        "comma.csv": (",", True), "tab.csv": ("\t", True), "pipe.csv": ("|", False),
+        "late.csv": (";", False), "late_sure.csv": (";", True), "lines.csv": (";", True), "one.csv": (",", False),
         "ragged.csv": (";", False), "crlf.csv": (";", True), "head.csv": (",", True), "cut.csv": (";", True),
     }
 
 
-def test_sample_ends_at_its_limit(spark, tmp_path):
-    write(tmp_path / "a.csv", "x" * 5000 + "\n" + "y" * 5000 + "\nz\n")
-    lines = text_lines(spark, str(tmp_path))
-    got = [(r.place, len(r.line), r.whole) for r in sample_lines(lines, file_facts(lines)).orderBy("place").collect()]
-    assert got == [(0, 5000, True), (1, 3191, False)]
+@pytest.mark.parametrize("content", ["a,b\n1,2,3\n", 'a,b\n1,"2\n3,4\n'])
+def test_malformed_records_fail_every_read(spark, tmp_path, code, content):
+    path = write(tmp_path / "bad.csv", content)
+    assert code(inspect_source, spark, path, encoding="utf-8", delimiter=",") == "source.read_failed"
+    assert code(starter_recipe, spark, path, encoding="utf-8", delimiter=",") == "source.read_failed"
+    assert [(r.status, r.code) for r in profile_folder(spark, str(tmp_path), delimiter=",").collect()] == [("failed", "source.read_failed")]
+    with pytest.raises(Exception, match="source.read_failed"):
+        read_delimited(spark, path, encoding="utf-8", delimiter=",").rows().collect()
 
 
 def test_records_split_natively(spark):

@@ -8,6 +8,7 @@ import random
 
 import pytest
 
+from siltgate.errors import EngineError
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.sources.delimited import read_delimited
 from siltgate.sources.position import SEQ, START
@@ -61,7 +62,7 @@ def test_groups_of_files_give_the_same_records(spark, tmp_path, tiny):
         written(tmp_path / "d" / f"{part}.csv", part, 30, "\n")
     files = sorted(f"file:{path}" for path in (tmp_path / "d").iterdir())
     tiny(200)
-    read = lambda limit: spanning_records(spark, files, limit).orderBy(FILE, START, SEQ).collect()
+    read = lambda limit: spanning_records(spark, files, parity_splits=limit).orderBy(FILE, START, SEQ).collect()
     assert read(1) == read(1_000_000)
 
 
@@ -74,6 +75,29 @@ def test_a_record_may_fill_many_splits(spark, tmp_path, tiny):
     assert sorted(map(tuple, source.rows().collect())) == [("1", value), ("2", "x")]
 
 
+def test_a_file_that_ends_within_quotes_is_refused(spark, tmp_path, tiny):
+    path = tmp_path / "a.csv"
+    path.write_text("id,text\n" + "1,x\n" * 50 + '2,"stray\n' + "3,y\n" * 500)
+    tiny(64)
+    with pytest.raises(EngineError) as caught:
+        read_delimited(spark, str(path), encoding="utf-8", delimiter=",")
+    assert caught.value.code == "source.read_failed"
+    wide = tmp_path / "wide.csv"
+    wide.write_text(path.read_text(), encoding="utf-16")
+    with pytest.raises(EngineError) as caught:
+        read_delimited(spark, str(wide), encoding="utf-16", delimiter=",")
+    assert caught.value.code == "source.read_failed"
+
+
+def test_record_bytes_are_not_gathered_by_file(spark, tmp_path, tiny):
+    path = tmp_path / "a.csv"
+    path.write_text('id,text\n' + '1,"a\nb"\n' * 50)
+    tiny(64)
+    plan = spanning_records(spark, [str(path)])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and not any("record" in line for line in windows)
+
+
 def test_headers_of_several_files_must_agree(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text\n1,"a\nb"\n')
     (tmp_path / "b.csv").write_text('id,other\n1,"a\nb"\n')
