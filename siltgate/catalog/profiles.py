@@ -145,11 +145,11 @@ WORD_SQL = "regexp_replace(regexp_replace(lower({0}), '[^A-Za-z0-9_]+', '_', 'g'
     f"""SELECT page_id, url, regexp_replace(substring(CASE WHEN regexp_full_match(url, '[A-Za-z_][A-Za-z0-9_]*') AND length(url) <= 64 THEN url
           WHEN regexp_matches({WORD_SQL.format('url')}, '^[a-z_]') THEN {WORD_SQL.format('url')}
           WHEN {WORD_SQL.format('url')} = '' THEN 'column' ELSE 'col_' || {WORD_SQL.format('url')} END, 1, 64), '_+$', '') AS safe_name
-        FROM (SELECT page_id, substring(url, 1 + CAST(page_id % 12 AS INTEGER)) AS url FROM pages)""",
+        FROM (SELECT page_id, ['', '_', '9 ', ' - ', 'Q'][1 + CAST(page_id % 5 AS INTEGER)] || url AS url FROM pages)""",
 )
 def names(spark, sf_dir):
-    """Safe names of header texts of every kind: here, page addresses cut at various places."""
-    url = F.expr("substring(url, 1 + cast(page_id % 12 as int))")
+    """Safe names of header texts of every kind: here, page addresses after various first characters."""
+    url = F.expr("concat(element_at(array('', '_', '9 ', ' - ', 'Q'), 1 + cast(page_id % 5 as int)), url)")
     return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), safe_name_column(url).alias("safe_name"))
 
 
