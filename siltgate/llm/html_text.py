@@ -49,12 +49,15 @@ _CLOSES = {
 _CLOSES_P = _PARAGRAPH | frozenset("div section article nav aside header footer main address form details center figcaption li dt dd".split())
 _P_BARRIER = frozenset("td th caption button object table".split())
 
+# a quote opens a value only straight after '='; anywhere else it is part of a name or of a value
+_VALUE = r"[ \t\n\f\r]*=[ \t\n\f\r]*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^ \t\n\f\r>]+))?"
+_ATTRIBUTE = re.compile(rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:{_VALUE})?")
+_ATTRIBUTES = re.sub(r"\((?!\?)", "(?:", rf"(?:[ \t\n\f\r/]++|{_ATTRIBUTE.pattern})*+")
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?",
+    rf"|<(?P<end>/?)(?P<name>[A-Za-z][^ \t\n\f\r/>]*)(?P<attrs>{_ATTRIBUTES})>?",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0(?:\.0+)?\s*(?:;|!|$)", re.IGNORECASE)
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
@@ -121,7 +124,7 @@ def parse(html: str) -> Node:
         node = Node(name, _attributes(m["attrs"]) if m["attrs"].strip() else {}, here)
         here.children.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at) if name != "plaintext" else None
+            end = re.compile(rf"</{name}(?=[ \t\n\f\r/>]){_ATTRIBUTES}>?", re.IGNORECASE).search(html, at) if name != "plaintext" else None
             content = html[at : end.start() if end else size]
             if content:
                 node.children.append(unescape(content) if name in ("textarea", "title") else content)

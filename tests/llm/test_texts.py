@@ -306,6 +306,23 @@ def test_rendering(page, text):
     assert html_text.html_to_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="a"">Hello <b class="x">World</b> more', "Hello World more"),
+        ("<a title=it's>Hello world</a> tail", "Hello world tail"),
+        ("<p 'x>one</p><p a\"b=c>two</p>", "one\n\ntwo"),
+        ("<a href=x'y\"z title='p>q'>l</a> m</b \">n", "l mn"),
+        ("<a title = \"x>y\" data-q=>l</a> <a =\"x>m</a>", "l m"),
+        ("<p title='a'hidden>no</p><p title=\"a\"\" hidden>no</p><p title=a'hidden'>yes</p>", "yes"),
+        ("<p title=\xa0'x>yes</p><p title='open>no", "yes"),
+        ("<script>a</script x='>'>b", "b"),
+    ],
+)
+def test_stray_quotes_in_tags(page, text):
+    assert html_text.html_to_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.html_to_text("<div>" * 20000 + "x") == "x"
     assert html_text.html_to_text("<b>" * 20000 + "x" + "</b>" * 20000) == "x"
