@@ -4,7 +4,9 @@ A small tree builder reads the markup: implied end tags close paragraphs, list i
 parts, raw-text elements run to their own end tag, and stray end tags are skipped. Visibility
 rules then hide what a browser would not show, and a renderer walks the tree: blocks stand on
 lines of their own with blank lines around paragraphs and headings, lists are indented and
-marked, table cells are aligned in columns, and preformatted text keeps its lines.
+marked, table cells are aligned in columns, and preformatted text keeps its lines. Row groups and
+rows that a table implies are built, forms between cells hold nothing, and what stands in a table
+outside its cells follows it.
 
 Defined cases: null or empty markup gives an empty text. Text outside any element is rendered.
 Elements left open end with the page; nesting of any depth is handled without recursion. Rows
@@ -30,6 +32,10 @@ _HIDDEN = frozenset("head script style template noscript iframe noembed noframes
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure fieldset hr".split())
 _BLOCK = _PARAGRAPH | frozenset("html body div section article nav aside header footer main address li dt dd form figcaption details summary legend center dir tr caption thead tbody tfoot td th option optgroup dialog hgroup search".split())
 _TABLE = frozenset("table thead tbody tfoot tr".split())
+_APART = frozenset({"template", "noscript"})  # tags in these close nothing around them
+_GROUPS = frozenset("thead tbody tfoot".split())
+#: A part of a table goes into the nearest of these, and closes what is open below it.
+_HOLDERS = {"td": _TABLE, "th": _TABLE, "tr": _GROUPS | {"table"}} | dict.fromkeys((*_GROUPS, "caption", "colgroup", "col"), frozenset({"table"}))
 
 #: A start tag closes these open elements, unless one of the others stands between.
 _CLOSES = {
@@ -83,16 +89,29 @@ def parse(html: str) -> Node:
 
     def close(node: Node, names: set, barrier: set) -> Node:
         up = node
-        while up is not root and up.name not in barrier:
+        while up is not root and up.name not in barrier and up.name not in _APART:
             if up.name in names:
                 return up.parent
             up = up.parent
         return node
 
+    def above(node: Node, names: frozenset) -> Node | None:
+        while node is not root and node.name not in names:
+            if node.name in _APART:
+                return None
+            node = node.parent
+        return None if node is root else node
+
+    def inside(node: Node, name: str) -> Node:
+        node.children.append(Node(name, {}, node))
+        return node.children[-1]
+
     while at < size:
         m = _MARKUP.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
+            if here.name == "colgroup" and text.strip():
+                here = here.parent
             here.children.append(unescape(text))
         if not m:
             break
@@ -104,7 +123,7 @@ def parse(html: str) -> Node:
         name = m["name"].lower()
         if m["end"]:
             up = here
-            while up is not root and up.name != name and not (up.name in ("td", "th", "table") and name not in _TABLE and name not in ("body", "html")):
+            while up is not root and up.name != name and not (up.name in ("td", "th", "table") and name not in _TABLE | _APART | {"body", "html"}) and not (up.name in _APART and name not in ("body", "html")):
                 up = up.parent
             if up is not root and up.name == name:
                 here = up.parent
@@ -113,7 +132,21 @@ def parse(html: str) -> Node:
             continue
         if here.name == "head" and name not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
             here = here.parent
-        if name in _CLOSES:
+        if here.name == "colgroup" and name not in ("col", "template"):
+            here = here.parent
+        holder = above(here, _HOLDERS[name]) if name in _HOLDERS else None
+        if holder is not None:
+            if not (name == "col" and here.name == "colgroup"):
+                here = holder
+            if name in ("td", "th", "tr") and here.name == "table":
+                here = inside(here, "tbody")
+            if name in ("td", "th") and here.name != "tr":
+                here = inside(here, "tr")
+        elif name == "table":
+            outer = above(here, _TABLE | {"td", "th", "caption"})
+            if outer is not None and outer.name in _TABLE:  # a table between cells ends the one around it
+                here = above(outer, frozenset({"table"})).parent
+        elif name in _CLOSES:
             before = None
             while before is not here:
                 before, here = here, close(here, *_CLOSES[name])
@@ -129,6 +162,8 @@ def parse(html: str) -> Node:
             if content:
                 node.children.append(unescape(content) if name in ("textarea", "title") else content)
             at = end.end() if end else size
+        elif name == "form" and here.name in _TABLE:  # holds nothing there
+            pass
         elif name not in _VOID and not (m["attrs"].rstrip().endswith("/") and name in ("path", "circle", "rect", "use")):
             here = node
     return root
@@ -198,21 +233,29 @@ class _Canvas:
         return "\n".join(self.lines)
 
 
-def _cell_rows(table: Node) -> list[list[Node]]:
-    """The table's own rows of visible cells, head first and foot last."""
+def _table_parts(table: Node) -> tuple[list[list[Node]], list[Node]]:
+    """The table's own rows of visible cells, head first and foot last, and runs of what stands outside its cells."""
     rows, parts = [], {"thead": [], "tbody": [], "tfoot": []}
-    stack = [(child, "tbody") for child in reversed(table.children)]
+    runs, joined = [], False
+    stack = [(child, table, "tbody") for child in reversed(table.children)]
     while stack:
-        node, part = stack.pop()
-        if isinstance(node, str) or not visible(node):
-            continue
-        if node.name == "tr":
-            parts[part].append([c for c in node.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
-        elif node.name in parts:
-            stack.extend((child, node.name) for child in reversed(node.children))
+        node, parent, part = stack.pop()
+        if isinstance(node, Node) and (node.name in ("caption", "colgroup", "col") and parent is table or node.name in ("td", "th") and parent.name == "tr"):
+            joined = False
+        elif isinstance(node, Node) and (node.name == "tr" or node.name in parts and parent is table):
+            joined = False
+            if visible(node):
+                if node.name == "tr":
+                    parts[part].append([c for c in node.children if isinstance(c, Node) and c.name in ("td", "th") and visible(c)])
+                stack.extend((child, node, node.name if node.name in parts else part) for child in reversed(node.children))
+        elif joined or not isinstance(node, str) or node.strip():
+            if not joined:
+                runs.append(Node("div", {}, table))
+            runs[-1].children.append(node)
+            joined = True
     for part in parts.values():
         rows += part
-    return rows
+    return rows, runs
 
 
 def _span(cell: Node) -> int:
@@ -263,7 +306,7 @@ def render(root: Node) -> str:
             order.append(node)
         stack.extend(c for c in node.children if isinstance(c, Node))
     for table in reversed(order):
-        rows = [[(_span(cell), _walk(cell, tables).split("\n")) for cell in row] for row in _cell_rows(table)]
+        rows = [[(_span(cell), _walk(cell, tables).split("\n")) for cell in row] for row in _table_parts(table)[0]]
         tables[id(table)] = _table_lines(rows)
     return _walk(root, tables)
 
@@ -319,11 +362,10 @@ def _walk(root: Node, tables: dict[int, list[str]]) -> str:
                 if isinstance(caption, Node) and caption.name == "caption" and visible(caption):
                     for line in _walk(caption, tables).split("\n"):
                         canvas.put(line)
-            loose = [c for c in node.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.name not in ("caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr")]
             for line in tables.get(id(node), []):
                 canvas.put(line)
             canvas.block(1)
-            todo.extend(("open", child) for child in reversed(loose))  # what stands in a table outside its cells
+            todo.extend(("open", run) for run in reversed(_table_parts(node)[1]))
             continue
         if name in _BLOCK:
             nested = name in ("ul", "ol", "menu") and numbers

@@ -323,6 +323,34 @@ def test_stray_quotes_in_tags(page, text):
     assert html_text.html_to_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+        ("<table><tbody><form><tr><td>x<td>y</form></tr></table>z", "x  y\n\nz"),
+        ("<table><form><tr><td>x</form><tr><td>y</table>", "x\ny"),
+        ("<table><tbody><td>x</td><td>y</td><tr><td>z</table>", "x  y\nz"),
+        ("<table><td>x<td>y</table>", "x  y"),
+        ("<table><tr>loose<td>x</td>more</tr><tbody>text<tr><td>y</table>end", "x\ny\n\nloose\nmore\ntext\nend"),
+        ("<table><tr><div>in <b>a</b> <i>row</i></div><td>x</table>", "x\n\nin a row"),
+        ("<table><tr><div><td>x</td></div><td>y</table>", "x  y"),
+        ("<table><thead><p>p<tr><th>h<tbody><tr><td>x</table>", "h\nx\n\np"),
+        ("<table><caption>c<td>x</table>", "c\nx"),
+        ("<table><colgroup>loose<col><tr><td>x</table>", "x\n\nloose"),
+        ("<table><tr><td>x<caption>c</caption><td>y</table>", "c\nx\ny"),
+        ("<table><tr><td>a</td><table><tr><td>b</table>c", "a\n\nb\n\nc"),
+        ("<table><tr hidden>no<td>no<tr><td>x<template><td>no</template></table>", "x"),
+        ("<table><tr><td>a<form>b</form>c</table>", "a\nb\nc"),
+        ("<table><tr><td>a<tr><td><table><td>b<td>c</table>d</table>", "a\nb  c\n\nd"),
+    ],
+)
+def test_tables_keep_all_words(page, text):
+    found = html_text.html_to_text(page)
+    plain = re.sub(r"<[^>]+>", " ", re.sub(r"</?[bi]>|<(\w+) hidden>no<td>no|<template>.*</template>", "", page))
+    assert Counter(found.split()) == Counter(plain.split())
+    assert found == text
+
+
 def test_deep_and_long_pages():
     assert html_text.html_to_text("<div>" * 20000 + "x") == "x"
     assert html_text.html_to_text("<b>" * 20000 + "x" + "</b>" * 20000) == "x"
