@@ -8,6 +8,11 @@ marked, table cells are aligned in columns, and preformatted text keeps its line
 rows that a table implies are built, forms between cells hold nothing, and what stands in a table
 outside its cells follows it.
 
+Not shown are scripts, styles, templates, page titles, hidden elements, closed dialogs, suggestions of
+a datalist, what stands in for frames, objects, media and missing scripts, annotations of formulas, and
+descriptions and definitions of graphics. A select shows its chosen or first option, a list of options
+all of them.
+
 Defined cases: null or empty markup gives an empty text. Text outside any element is rendered.
 Elements left open end with the page; nesting of any depth is handled without recursion. Rows
 are rendered one by one, so repeated rows and ids are fine. The output column replaces a column
@@ -28,7 +33,14 @@ from siltgate.llm.text import column
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-_HIDDEN = frozenset("head script style template noscript iframe noembed noframes object video audio canvas svg math datalist title select".split())
+_HIDDEN = frozenset("head script style template noscript iframe noembed noframes object video audio canvas datalist title".split())
+#: Not shown within graphics and formulas.
+_HIDDEN_FOREIGN = {"svg": frozenset("title desc defs metadata symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml".split())}
+#: Elements of graphics and formulas that hold HTML, and tags that end graphics and formulas.
+_INTEGRATION = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split()), "": frozenset()}
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Parts that stand apart from what is beside them.
+_SPACED = {"svg": frozenset({"text"}), "math": frozenset("math mfrac mtr mtd".split()), "": frozenset({"select"})}
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure fieldset hr".split())
 _BLOCK = _PARAGRAPH | frozenset("html body div section article nav aside header footer main address li dt dd form figcaption details summary legend center dir tr caption thead tbody tfoot td th option optgroup dialog hgroup search".split())
 _TABLE = frozenset("table thead tbody tfoot tr".split())
@@ -58,10 +70,10 @@ _P_BARRIER = frozenset("td th caption button object table".split())
 # a quote opens a value only straight after '='; anywhere else it is part of a name or of a value
 _VALUE = r"[ \t\n\f\r]*=[ \t\n\f\r]*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^ \t\n\f\r>]+))?"
 _ATTRIBUTE = re.compile(rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:{_VALUE})?")
-_ATTRIBUTES = re.sub(r"\((?!\?)", "(?:", rf"(?:[ \t\n\f\r/]++|{_ATTRIBUTE.pattern})*+")
+_ATTRIBUTES = re.sub(r"\((?!\?)", "(?:", rf"(?:[ \t\n\f\r]++|/|{_ATTRIBUTE.pattern})*+")
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*>?"
-    rf"|<(?P<end>/?)(?P<name>[A-Za-z][^ \t\n\f\r/>]*)(?P<attrs>{_ATTRIBUTES})>?",
+    rf"|<(?P<end>/?)(?P<name>[A-Za-z][^ \t\n\f\r/>]*)(?P<attrs>{_ATTRIBUTES.replace('|/|', '|(?P<slash>/)|', 1)})>?",
     re.DOTALL,
 )
 _UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0(?:\.0+)?\s*(?:;|!|$)", re.IGNORECASE)
@@ -69,10 +81,12 @@ _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children", "parent")
+    __slots__ = ("name", "attrs", "children", "parent", "foreign")
 
     def __init__(self, name: str, attrs: dict, parent: Node | None):
         self.name, self.attrs, self.children, self.parent = name, attrs, [], parent
+        within = parent.foreign if parent and parent.name not in _INTEGRATION[parent.foreign] else ""
+        self.foreign = within or (name if name in ("svg", "math") else "")
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -110,13 +124,15 @@ def parse(html: str) -> Node:
         m = _MARKUP.search(html, at)
         text = html[at : m.start()] if m else html[at:]
         if text:
-            if here.name == "colgroup" and text.strip():
+            if here.name in ("head", "colgroup") and text.strip():
                 here = here.parent
             here.children.append(unescape(text))
         if not m:
             break
         at = m.end()
         if m["cdata"]:
+            if here.name in ("head", "colgroup") and m["cdata"].strip():
+                here = here.parent
             here.children.append(m["cdata"])
         if not m["name"]:
             continue
@@ -132,6 +148,15 @@ def parse(html: str) -> Node:
             continue
         if here.name == "head" and name not in ("title", "meta", "link", "script", "style", "base", "noscript", "template"):
             here = here.parent
+        if name in _BREAKOUT:
+            while here.foreign and here.name not in _INTEGRATION[here.foreign]:
+                here = here.parent
+        if name in ("select", "input", "textarea", "keygen"):
+            choice = above(here, frozenset({"select"}))
+            if choice is not None:
+                here = choice.parent
+                if name == "select":  # ends the one that is open
+                    continue
         if here.name == "colgroup" and name not in ("col", "template"):
             here = here.parent
         holder = above(here, _HOLDERS[name]) if name in _HOLDERS else None
@@ -156,7 +181,9 @@ def parse(html: str) -> Node:
             here = here.parent
         node = Node(name, _attributes(m["attrs"]) if m["attrs"].strip() else {}, here)
         here.children.append(node)
-        if name in _RAW:
+        if node.foreign and m["attrs"] and m.end("slash") == m.end("attrs"):
+            pass
+        elif name in _RAW:
             end = re.compile(rf"</{name}(?=[ \t\n\f\r/>]){_ATTRIBUTES}>?", re.IGNORECASE).search(html, at) if name != "plaintext" else None
             content = html[at : end.start() if end else size]
             if content:
@@ -164,14 +191,14 @@ def parse(html: str) -> Node:
             at = end.end() if end else size
         elif name == "form" and here.name in _TABLE:  # holds nothing there
             pass
-        elif name not in _VOID and not (m["attrs"].rstrip().endswith("/") and name in ("path", "circle", "rect", "use")):
+        elif name not in _VOID:
             here = node
     return root
 
 
 def visible(node: Node) -> bool:
     attrs = node.attrs
-    if node.name in _HIDDEN:
+    if node.name in _HIDDEN or node.foreign and node.name in _HIDDEN_FOREIGN[node.foreign]:
         return False
     if not attrs:
         return True
@@ -187,6 +214,34 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def _choices(select: Node) -> list[Node | str]:
+    """What a select shows: all of a list's options and group labels, else the chosen or first option."""
+    every, stack = [], [(select, False)]
+    while stack:
+        node, off = stack.pop()
+        if node.name == "option":
+            every.append((node, off or "disabled" in node.attrs))
+        elif node.name == "optgroup":
+            every.append((node, True))
+        if node.name != "option":
+            stack.extend((c, off or node.name == "optgroup" and "disabled" in node.attrs) for c in reversed(node.children) if isinstance(c, Node))
+    size = select.attrs.get("size", "").strip()
+    if "multiple" in select.attrs or size.isdecimal() and int(size) > 1:
+        shown = [node for node, _ in every if visible(node) and (node.parent is select or visible(node.parent))]
+    else:
+        options = [(node, off) for node, off in every if node.name == "option"]
+        chosen = [node for node, _ in options if "selected" in node.attrs]
+        shown = chosen[-1:] or [node for node, off in options if not off][:1] or [node for node, _ in options[:1]]
+    out: list[Node | str] = []
+    for node in shown:
+        label = node.attrs.get("label", "")
+        parts = [label] if label.strip() else node.children if node.name == "option" else []
+        line = Node("div" if len(shown) > 1 else "span", {}, select)
+        line.children.extend(parts)
+        out.append(line)
+    return out
+
+
 class _Canvas:
     """Lines of text: inline text flows, blocks break lines, gaps of blank lines collapse."""
 
@@ -328,6 +383,9 @@ def _walk(root: Node, tables: dict[int, list[str]]) -> str:
                 canvas.inline(node)
             continue
         name = node.name
+        if step == "space":
+            canvas.space = True
+            continue
         if step == "close":
             canvas.block(0 if canvas.indents and name in ("ul", "ol", "menu") and len(numbers) > 1 else int(name in _PARAGRAPH))
             if name in ("ul", "ol", "menu"):
@@ -367,7 +425,13 @@ def _walk(root: Node, tables: dict[int, list[str]]) -> str:
             canvas.block(1)
             todo.extend(("open", run) for run in reversed(_table_parts(node)[1]))
             continue
-        if name in _BLOCK:
+        if name in _SPACED[node.foreign] or node.foreign and node.parent.name == "mfrac":
+            canvas.space = True
+            todo.append(("space", node))
+        if name == "select" and not node.foreign:
+            todo.extend(("open", choice) for choice in reversed(_choices(node)))
+            continue
+        if name in _BLOCK and not node.foreign:
             nested = name in ("ul", "ol", "menu") and numbers
             canvas.block(0 if nested else int(name in _PARAGRAPH))
             if name in ("ul", "ol", "menu"):

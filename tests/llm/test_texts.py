@@ -351,6 +351,31 @@ def test_tables_keep_all_words(page, text):
     assert found == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("a <math><mi>E</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b", "a E= 1 2 b"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>A</text><text>B</text></svg>c", "A B c"),
+        ("<svg><title/><g/><path d=x/><text>A</text></svg> b", "A b"),
+        ("<svg><a href=x/><text>A</text></a><foreignObject><p>in<table><tr><td>t</table></foreignObject></svg>", "A\n\nin\n\nt"),
+        ("<svg><defs><p>out", "out"),
+        ("<desc>seen</desc> <annotation>too</annotation>", "seen too"),
+        ("Colour:<select><option>red<option selected>blue</select>!", "Colour: blue !"),
+        ("<select><option disabled>pick<option>red</select>", "red"),
+        ("<select><option hidden selected>pick<option>red</select>", "pick"),
+        ("<select><optgroup label=g disabled><option>a</optgroup><option label=b>c</select>", "b"),
+        ("<select multiple><optgroup label=g><option>a<option>b</select>c", "g\na\nb\nc"),
+        ("<select><option>a<option>b<input value=v>c", "a vc"),
+        ("<select hidden><option>no</select>yes", "yes"),
+        ("<head><title>t</title>Hello <p>x", "Hello\n\nx"),
+        ("<html><head>\n<meta charset=x>\nHello</head> you", "Hello you"),
+        ("<head><![CDATA[c]]></head>d", "cd"),
+    ],
+)
+def test_formulas_graphics_selects_and_open_heads(page, text):
+    assert html_text.html_to_text(page) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.html_to_text("<div>" * 20000 + "x") == "x"
     assert html_text.html_to_text("<b>" * 20000 + "x" + "</b>" * 20000) == "x"
