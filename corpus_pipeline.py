@@ -23,11 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; text without letters, or without a leading language, goes."""
+    """Documents in a learned language; text without letters, or with words that are not surely labelled, goes."""
     model = language_crf.fit(docs, quality_classifier.held_out())
     found = language_crf.predict(docs, model)
-    # below 0.4 no language of the document stands out
-    return found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= 0.4)).select(*COLUMNS)
+    # below 0.4 most words fit no language; a text in several languages has sure words
+    return found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("certainty") >= 0.4)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

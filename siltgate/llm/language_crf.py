@@ -3,7 +3,8 @@
 Words of code-switched text get one label each: hashed affixes, character n-grams and lexicon
 words add up to emission scores, a learned matrix scores neighbouring labels, and
 forward-backward gives each word's label probabilities. A document's language is the label
-with the largest mean probability, which is also its score.
+with the largest mean probability, which is also its score; its certainty is the mean over words of
+each word's largest probability, which a text in several languages does not lower.
 
 Training labels come from documents: segments of differently labelled documents are joined to
 sequences, so that the transitions see switches. The sample is bounded by
@@ -13,9 +14,9 @@ Long documents are cut into chunks only for computing: the transfer matrix of ea
 formed for all chunks at once, the chunks of a document are linked through them, and the
 probabilities are those of the whole sequence.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text
+Defined cases: a null text or one without a letter is ``und`` with score and certainty 0, as is every text
 when nothing could be learned. Rows are labelled one by one, so repeated rows and ids are fine.
-Columns named ``lang_pred`` or ``score`` are replaced; others may be carried along.
+Columns named ``lang_pred``, ``score`` or ``certainty`` are replaced; others may be carried along.
 """
 
 from __future__ import annotations
@@ -246,10 +247,10 @@ def _no_letter(raw: bytes) -> bool:
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score``; columns named in ``keep``, or all, are carried."""
-    fields = [f for f in df.schema.fields if f.name not in ("lang_pred", "score") and (keep is None or f.name in keep)]
+    """Add ``lang_pred``, ``score`` and ``certainty``; columns named in ``keep``, or all, are carried."""
+    fields = [f for f in df.schema.fields if f.name not in ("lang_pred", "score", "certainty") and (keep is None or f.name in keep)]
     names = [f.name for f in fields]
-    schema = StructType(fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType(fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("certainty", DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
     carried = names if text in names else [*names, text]
 
@@ -260,19 +261,20 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             lowered = pc.utf8_lower(column(batch, text).cast(pa.large_string()).fill_null(""))
             for start, count, data, offsets in text_slices(lowered):
                 starts, ends, first = _words(data, offsets)
-                best, sure = np.full(count, len(model.languages)), np.zeros(count)
+                best, sure, certain = np.full(count, len(model.languages)), np.zeros(count), np.zeros(count)
                 full = np.flatnonzero(np.diff(first) > 0)
                 if len(full) and len(model.languages):
                     scores = _emissions(data, starts, ends, model, hasher)
                     found = label_probabilities(scores, first, model.transitions, model.settings.chunk)
                     mean = np.add.reduceat(found, first[full], axis=0) / np.diff(first)[full][:, None]
                     best[full], sure[full] = mean.argmax(axis=1), mean.max(axis=1)
+                    certain[full] = np.add.reduceat(found.max(axis=1), first[full]) / np.diff(first)[full]
                     plain = np.zeros(len(data) + 1, dtype=np.int64)
                     np.cumsum(_LETTERS[data] & (data < 128), out=plain[1:])
                     for r in full[plain[offsets[full + 1]] == plain[offsets[full]]]:
                         if _no_letter(data[offsets[r] : offsets[r + 1]].tobytes()):
-                            best[r], sure[r] = len(model.languages), 0.0
+                            best[r], sure[r], certain[r] = len(model.languages), 0.0, 0.0
                 own = [column(batch, name).slice(start, count) for name in names]
-                yield pa.RecordBatch.from_arrays(own + [pa.array(labels[best], pa.string()), pa.array(np.minimum(sure, 1.0))], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(own + [pa.array(labels[best], pa.string()), pa.array(np.minimum(sure, 1.0)), pa.array(np.minimum(certain, 1.0))], [*names, "lang_pred", "score", "certainty"])
 
     return df.select(*[F.col(f"`{x}`") for x in carried]).mapInArrow(run, schema)

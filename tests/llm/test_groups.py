@@ -14,7 +14,7 @@ from compare import connect, differences
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltgate.llm import minmax, quality_classifier, queries, source_mix, vector_dedup
+from siltgate.llm import language_crf, minmax, quality_classifier, queries, source_mix, vector_dedup
 from siltgate.llm.components import components
 from test_texts import WORD
 
@@ -278,6 +278,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[0] < 1000 and kept[2] < kept[1] and kept[4] == kept[3]
 
 
+def test_language_stage_keeps_clean_text_in_three_languages(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+    say = lambda x, n: " ".join("".join(rng.choice(letters[x]) for _ in range(6)) for _ in range(n))
+    rows = [(k, say(x, 40), x, "s", 0) for k, x in enumerate([*letters] * 20)]
+    rows.append((1000, " ".join(say(x, 12) for x in letters), None, "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = language_crf.predict(docs, language_crf.fit(docs, quality_classifier.held_out())).where("doc_id = 1000").first()
+    assert found["score"] < 0.4 < 0.9 < found["certainty"]
+    assert corpus_pipeline.language(spark, docs, SMALL).count() == len(rows)
+
+
 def test_pipeline_of_odd_documents(spark, tmp_path):
     """Null, blank and repeated rows pass through every stage without a crash."""
     schema = "doc_id long, text string, lang string, source string, n_chars long"
