@@ -7,12 +7,14 @@ with the largest mean probability, which is also its score; its certainty is the
 each word's largest probability, which a text in several languages does not lower.
 
 Training labels come from documents: segments of differently labelled documents are joined to
-sequences, so that the transitions see switches. The sample is bounded by
-``Settings.sample_rows`` per language.
+sequences, so that the transitions see switches. Every language is learned, from a sample bounded by
+``Settings.sample_rows`` per language, and by fewer, yet ``least_rows`` or more, if the languages
+together exceed ``sample_total``. Few words are repeated to fill sequences.
 
 Long documents are cut into chunks only for computing: the transfer matrix of each chunk is
 formed for all chunks at once, the chunks of a document are linked through them, and the
-probabilities are those of the whole sequence.
+probabilities are those of the whole sequence. With very many languages, whose transfer matrices
+are large, sequences are not cut.
 
 Defined cases: a null text or one without a letter is ``und`` with score and certainty 0, as is every text
 when nothing could be learned. Rows are labelled one by one, so repeated rows and ids are fine.
@@ -29,9 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from siltgate.llm.text import Hasher, column, runs, text_slices
+from siltgate.llm.text import SLICE_BYTES, Hasher, column, runs, text_slices
 
 UNKNOWN = "und"
+MANY = 32  # languages from which slices of text shrink and sequences are not cut, to bound memory
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 _KINDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC6A4A7935BD1E995, 0x87C37B91114253D5)]
@@ -39,10 +42,11 @@ _KINDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC6A4A
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the documents per language, ``languages`` the languages, that are learned from."""
+    """``sample_rows`` bounds the documents per language that are learned from; see above."""
 
     sample_rows: int = 200
-    languages: int = 200
+    sample_total: int = 40_000
+    least_rows: int = 20
     buckets_log2: int = 16
     affixes: tuple[int, ...] = (2, 4)
     ngrams: tuple[int, ...] = (2, 3)
@@ -169,13 +173,13 @@ def _gradient(scores, transitions, labels, n_sequences, length):
     for t in range(length - 2, -1, -1):
         backward[:, t] = _scaled((e[:, t + 1] * backward[:, t + 1]) @ a.T)
     single = _scaled(forward * backward)
-    pair = forward[:, :-1, :, None] * a * (e[:, 1:] * backward[:, 1:])[:, :, None, :]
-    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    before, after = forward[:, :-1].reshape(-1, n_labels), (e[:, 1:] * backward[:, 1:]).reshape(-1, n_labels)
+    pairs = a * (before.T @ (after / ((before @ a) * after).sum(axis=1, keepdims=True)))
     seen = np.zeros_like(transitions)
     np.add.at(seen, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     d_scores = -single.reshape(-1, n_labels)
     d_scores[np.arange(len(labels)), labels] += 1
-    return d_scores, seen - pair.sum(axis=(0, 1))
+    return d_scores, seen - pairs
 
 
 def train(texts: list[str], langs: list[str], settings: Settings) -> Model:
@@ -192,7 +196,7 @@ def train(texts: list[str], langs: list[str], settings: Settings) -> Model:
     if len(texts):
         offsets[-1] -= 1
     starts, ends, first = _words(joined, offsets)
-    if len(languages) < 2 or len(starts) < settings.sequence:
+    if len(languages) < 2 or not len(starts):
         return model
     prefix = hasher.prefix(joined)
     own, times = np.unique(hasher.between(prefix, starts, ends), return_counts=True)
@@ -229,16 +233,17 @@ def fit(documents: DataFrame, held_out, settings: Settings = Settings()) -> Mode
     """Learn from texts and non-null ``lang`` of rows that are not held out.
 
     One pass counts languages, a second fetches about ``sample_rows`` documents of each, chosen
-    by a hash of the text and id; the ``languages`` most frequent ones are learned.
+    by a hash of the text and id.
     """
     usable = documents.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out)
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return train([], [], settings)
-    shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, settings.sample_rows / n)))]
+    wanted = max(settings.least_rows, min(settings.sample_rows, settings.sample_total // len(counts)))
+    shares = [x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, wanted / n)))]
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = usable.where(draw < F.create_map(*shares)[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    rows = rows.orderBy("h", "lang", "text").limit(2 * settings.sample_rows * len(counts)).collect()
+    rows = rows.orderBy("h", "lang", "text").limit(2 * wanted * len(counts)).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows], settings)
 
 
@@ -257,15 +262,17 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     def run(batches):
         model, hasher = shared.value, Hasher()
         labels = np.array([*model.languages, UNKNOWN], dtype=object)
+        many = len(model.languages) > MANY
+        limit = max(1, SLICE_BYTES * MANY // len(model.languages)) if many else SLICE_BYTES
         for batch in batches:
             lowered = pc.utf8_lower(column(batch, text).cast(pa.large_string()).fill_null(""))
-            for start, count, data, offsets in text_slices(lowered):
+            for start, count, data, offsets in text_slices(lowered, limit):
                 starts, ends, first = _words(data, offsets)
                 best, sure, certain = np.full(count, len(model.languages)), np.zeros(count), np.zeros(count)
                 full = np.flatnonzero(np.diff(first) > 0)
                 if len(full) and len(model.languages):
                     scores = _emissions(data, starts, ends, model, hasher)
-                    found = label_probabilities(scores, first, model.transitions, model.settings.chunk)
+                    found = label_probabilities(scores, first, model.transitions, len(starts) if many else model.settings.chunk)
                     mean = np.add.reduceat(found, first[full], axis=0) / np.diff(first)[full][:, None]
                     best[full], sure[full] = mean.argmax(axis=1), mean.max(axis=1)
                     certain[full] = np.add.reduceat(found.max(axis=1), first[full]) / np.diff(first)[full]

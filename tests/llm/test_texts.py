@@ -106,6 +106,40 @@ def test_language_of_odd_texts(odd):
     assert {r["lang_pred"] for r in language_crf.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_language_from_few_words():
+    texts = ["alpha beta gamma", "uno dos tres", "rouge vert bleu"]
+    model = language_crf.train(texts, ["en", "es", "fr"], language_crf.Settings())
+    assert model.weights.any()
+    data = np.frombuffer(" ".join(texts).encode(), dtype=np.uint8)
+    starts, ends, first = language_crf._words(data, np.array([0, len(data)]))
+    scores = language_crf._emissions(data, starts, ends, model, language_crf.Hasher())
+    assert scores.argmax(axis=1).tolist() == [0] * 3 + [1] * 3 + [2] * 3
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(6)] for k in range(205)}
+    rows = [(k * 10 + n, " ".join(own * 2), lang) for k, (lang, own) in enumerate(words.items()) for n in range(3 if k else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_crf.fit(df, F.lit(False), language_crf.Settings(steps=40, buckets_log2=13))
+    assert model.languages == tuple(sorted(words))
+    found = language_crf.predict(df, model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in found) >= 0.95 * len(rows)
+
+
+def test_gradient_sums_pairs_of_labels():
+    rng = np.random.default_rng(5)
+    scores, moves, labels = rng.normal(size=(12, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, 12)
+
+    want = np.zeros((3, 3))
+    for k in range(0, 12, 4):
+        paths = [np.array(y) for y in np.ndindex(3, 3, 3, 3)]  # the label before a sequence is uniform
+        chance = np.array([np.exp(scores[range(k, k + 4), y].sum() + moves[y[:-1], y[1:]].sum()) * np.exp(moves[:, y[0]]).sum() for y in paths])
+        for y, p in zip([labels[k : k + 4], *paths], [1, *-chance / chance.sum()]):
+            np.add.at(want, (y[:-1], y[1:]), p)
+    assert np.allclose(language_crf._gradient(scores, moves, labels, 3, 4)[1], want)
+
+
 def test_forward_backward_in_chunks_is_that_of_the_sequence():
     rng = np.random.default_rng(3)
     scores, first, moves = rng.normal(size=(500, 3)).astype(np.float32) * 3, np.array([0, 200, 201, 490, 500]), rng.normal(size=(3, 3))
