@@ -15,8 +15,8 @@ the link distance of a pivot all link with each other by the triangle inequality
 counted as a whole, and its members meet only vectors outside it.
 
 Defined cases: vectors that are null, empty, all zero, or have null or non-finite components link
-with nothing, nor do vectors of different lengths with each other. Rows that share an id are one
-node of the components, and a row's links count all other rows. A null id takes no part. Extra
+with nothing, nor do vectors of different lengths with each other. Usable rows that share an id are
+one node of the components, and a row's links count all other rows. A null id takes no part. Extra
 columns are not read; an empty table gives no rows.
 """
 
@@ -185,8 +185,9 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), vec_id: str
     zero = F.lit(0).cast(rows.schema["v"].dataType.elementType)
     rows = rows.withColumn("v", F.when(F.col("usable"), F.transform("v", lambda x: F.when(x == 0, zero).otherwise(x))))
     rows = scratch_table(rows, "vectors-rows")
-    reps = scratch_table(rows.where("usable").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "vectors-distinct")
-    # one id on two different vectors: both vectors stay nodes of the graph under their smallest id
+    reps = rows.where("usable").groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"))
+    # a number of its own for each distinct vector, fixed by writing it; its smallest id may be another vector's too
+    reps = scratch_table(reps.withColumn("node", F.monotonically_increasing_id()), "vectors-distinct")
     hashed = scratch_table(_hashed(reps, settings), "vectors-keys")
     spread = hashed.select("node", F.posexplode("keys").alias("table", "key"))
     sizes = spread.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
@@ -205,7 +206,7 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), vec_id: str
     block = F.pmod(F.xxhash64("node"), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
     placed = own.withColumn("parts", parts).withColumn("block", block).withColumn("pair", F.explode(pairs))
-    placed = placed.join(hashed.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("marks")), "node").join(reps, "node")
+    placed = placed.join(hashed.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("marks")), "node").join(reps.drop("first_id"), "node")
     placed = placed.select("key", "table", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "block", "node", "v", "weight", "ball", "marks")
     placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     found = placed.mapInArrow(_compare(settings), "node long, links long, a long, b long")
@@ -213,11 +214,15 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), vec_id: str
 
     links = found.where("links > 0").select("node", "links").union(in_ball).groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("a <> b").select("a", "b").union(balls.select(F.col("node").alias("a"), F.col("ball").alias("b")))
-    named = rows.where("usable").join(reps.select("v", "node", "weight"), "v").select("vec_id", "node", "weight")
+    for end in ("a", "b"):
+        edges = edges.join(reps.select(F.col("node").alias(end), F.col("first_id").alias(f"{end}_id")), end)
+    edges = edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    named = rows.where("usable").join(reps, "v").select("vec_id", "node", "first_id", "weight")
     named = scratch_table(named, "vectors-named")
-    same_id = named.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    groups = components(edges.union(same_id), "vectors-stars")
-    known = named.join(links, "node", "left").join(groups, "node", "left")
-    known = known.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    repeated = named.groupBy("vec_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("b")).where("a <> b").select("vec_id", "a")
+    same_id = named.join(repeated, "vec_id").where("first_id <> a").select("a", F.col("first_id").alias("b"))
+    groups = components(edges.union(same_id), "vectors-stars").withColumnRenamed("node", "first_id")
+    known = named.join(links, "node", "left").join(groups, "first_id", "left")
+    known = known.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first_id").alias("component_id"))
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return known.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -170,6 +170,17 @@ def test_vectors_with_repeated_and_null_ids(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_links_of_ids_on_three_vectors(spark):
+    """Vectors of one id are one component, and each counts its own links."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(9, a), (9, b), (9, c), (1, a), (3, b), (5, c), (6, [0.0, 1.0, 0.01]), (-4, [1.0, -1.0, 1.0]), (-4, [1.0, 1.0, -1.0]), (-4, [1.0, 1.0, 1.0])]
+    rows += [(20 + k, [1.0, -1.0, 1.0 + k / 1000]) for k in range(12)]
+    groups, links = brute_vectors(rows)
+    found = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = sorted((i, links[k], groups.root(i), groups.root(i) == i) for k, (i, _) in enumerate(rows))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found) == want
+
+
 # mixing
 
 
