@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltgate.llm import bpe, binary_records, html_text, language_crf, minmax, quality_classifier, quality_rules, source_mix, token_attribution, vector_dedup
+from siltgate.llm import bloom_search, bpe, binary_records, fill_middle, html_text, language_crf, minmax, pii_crf, quality_classifier, quality_rules, source_mix, token_attribution, vector_dedup
 from siltgate.session import scratch_path
 
 #: Where tokenizer files are; executors must reach the same path.
@@ -83,6 +83,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.attribute(joined, BYTE_BPE, "joined", "sections", rule="majority", keep=["doc_id"])
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [pii_crf.spans_of("base", kind).alias(f"n_{kind}") for kind in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii_crf.listed("base"), 256).alias("base_sha256"), pii_crf.listed("spans").alias("spans"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_middle.transform(documents, "doc_id", keep=["doc_id"])
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 OP7_SQL = rf"""
@@ -136,6 +153,40 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM c LEFT JOIN n USING (vec_id)"""
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12_SQL = rf"""
+WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_SMALL.format("text")}, '{_TERM}')) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_SMALL.format("text")}, '{_TERM}') AS w FROM documents),
+g AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM d WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM f, g),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * big_n) // big_l AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 50"""
+
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS u,
+                  sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+             ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:n], '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -149,6 +200,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mix,
         op9_binary_records,
         op10_token_counts,
+        op11_pii,
+        op12_lexical_search,
+        op13_fill_middle,
     )
 }
-ORACLES = {"op2_vector_dedup": OP2_SQL, "op6_minmax_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL}
+ORACLES = {"op2_vector_dedup": OP2_SQL, "op6_minmax_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op12_lexical_search": OP12_SQL, "op13_fill_middle": OP13_SQL}
