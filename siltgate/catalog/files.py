@@ -110,6 +110,16 @@ def csv_header_skip(spark, sf_dir):
     return numbered(source)
 
 
+@query("csv_utf16_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents")
+def csv_utf16_scan(spark, sf_dir):
+    """Whole document texts, line breaks within them, through files of 2-byte characters in either byte order."""
+    documents, parts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), []
+    for order, charset in enumerate(("UTF-16LE", "UTF-16")):  # the second is written big-endian, with a mark
+        folder = written_csv(documents.where(F.col("doc_id") % 2 == order), encoding=charset)
+        parts.append(read_delimited(spark, folder, encoding="utf-16-le" if order == 0 else "utf-16", delimiter=",").rows())
+    return parts[0].union(parts[1])
+
+
 LATIN_TEXT = r"regexp_replace(text, '[^\x{1}-\x{ff}]', '?', 'g')"
 
 

@@ -25,7 +25,7 @@ from siltgate.sources.base import Source, slots
 from siltgate.sources.delimited import fault_counts, refuse_faults, require_path
 from siltgate.sources.open import open_source, source_format
 from siltgate.sources.position import FILE, SEQ, START, position_columns
-from siltgate.sources.records import QUOTED_CELL, literal_quote, quote_count, spanning_records
+from siltgate.sources.records import QUOTED_CELL, literal_quote, quote_count, raw_lines, spanning_records, split_quotes
 from siltgate.sources.workbook import column_type, sheet_extents, workbook_files, workbook_rows, workbook_sheets
 
 # Delimiters looked for, in order of preference, and rows of a preview.
@@ -137,7 +137,7 @@ def spanning_values(spark: SparkSession, facts: DataFrame) -> DataFrame | None:
     paths = [row[0] for row in facts.where("spans_lines AND NOT open_quote").select("path").orderBy("path").toLocalIterator()]
     if not paths:
         return None
-    return spanning_records(spark, paths).withColumn("value", F.col("record").cast("string")).drop("record")
+    return spanning_records(raw_lines(spark, paths), split_quotes(raw_lines(spark, paths), ",")).withColumn("value", F.col("record").cast("string")).drop("record")
 
 
 def delimiter_histogram(histogram: DataFrame, facts: DataFrame, records: DataFrame | None) -> DataFrame:

@@ -12,15 +12,14 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pyspark.errors import PySparkException
-
 from siltgate.errors import fail
 from siltgate.operators.tracked import ColumnNumbering, ROW_INDEX
 from siltgate.session import pin_file_splits
 from siltgate.sources.base import Source, slots
 from siltgate.sources.encodings import REPLACEMENT, Encoding, resolve
 from siltgate.sources.position import FILE, POSITION, SEQ, START, FileOrderNumbering, position_columns
-from siltgate.sources.records import QUOTED_CELL, literal_quote, quote_count, records_span_lines, spanning_records, split_quotes
+from siltgate.sources.records import QUOTED_CELL, raw_lines, records_span_lines, spanning_records, split_quotes
+from siltgate.sources.wide import wide_lines
 
 CORRUPT = "__corrupt"
 BAD_BYTES = "__bad"
@@ -51,12 +50,11 @@ def read_delimited(
     files = files or list_files(spark, path)
     resolved = resolve(encoding, path)
 
+    lines = raw_lines(spark, files) if resolved.by_line else wide_lines(spark, files, resolved)
     quotes = None
-    if not resolved.by_line:
-        require_closed_quotes(spark, files, resolved, delimiter, path)
-    elif multi_line is not False:
-        quotes = split_quotes(spark, files, delimiter)
-    spans_lines = not resolved.by_line if quotes is None else records_span_lines(quotes, path)
+    if multi_line is not False or not resolved.by_line:
+        quotes = split_quotes(lines, delimiter)
+    spans_lines = quotes is not None and records_span_lines(quotes, path)
 
     above = skip_rows + header_row
     head = read_head(spark, files[0], resolved, delimiter, above, one_line=multi_line is False)
@@ -70,7 +68,7 @@ def read_delimited(
     # With one plain header per file, Spark itself can compare each file's header with the
     # names; where it cannot, the record reader does.
     comparable = not resolved.mapped_from and len({name.lower() for name in header}) == len(header)
-    by_records = resolved.by_line and (multi_line or (plain_header and len(files) > 1 and not comparable))
+    by_records = not resolved.by_line or multi_line or (plain_header and len(files) > 1 and not comparable)
     options = {
         "sep": delimiter,
         "quote": '"',
@@ -82,9 +80,9 @@ def read_delimited(
     }
     if by_records:
         if quotes is None:
-            quotes = split_quotes(spark, files, delimiter)
+            quotes = split_quotes(lines, delimiter)
             records_span_lines(quotes, path)
-        rows, numbering = _record_rows(spark, files, quotes, resolved, header, skipped, options)
+        rows, numbering = _record_rows(lines, quotes, resolved, header, skipped, options)
         bare = None
     else:
         rows, bare, numbering = _line_rows(spark, files, resolved, header, skipped, plain_header, options)
@@ -97,7 +95,8 @@ def read_delimited(
     faults = {"source.read_failed": F.col("__too_long")}
     checked = [too_long.alias("__too_long"), too_short.alias("__too_short")]
     if resolved.checks_bytes:
-        suspicious = [F.contains(decode(F.col(name)), F.lit(REPLACEMENT)) for name in names]
+        # Lines of wide characters come as UTF-8 that is invalid where the bytes were.
+        suspicious = [F.contains(decode(F.col(name)), F.lit(REPLACEMENT)) for name in names if resolved.by_line]
         bad = F.col(BAD_BYTES) if by_records else F.lit(False)
         checked.append(F.coalesce(F.greatest(bad, *suspicious, F.lit(False)), F.lit(False)).alias("__bad_bytes"))
         faults["source.bad_bytes"] = F.col("__bad_bytes")
@@ -147,8 +146,7 @@ def _line_rows(
 
 
 def _record_rows(
-    spark: SparkSession,
-    files: list[str],
+    lines: DataFrame,
     quotes: DataFrame,
     encoding: Encoding,
     header: list[str],
@@ -156,10 +154,10 @@ def _record_rows(
     options: dict,
 ) -> tuple[DataFrame, FileOrderNumbering]:
     """Rows of records that may span lines, assembled in parallel, then split by Spark."""
-    records = spanning_records(spark, files, quotes)
+    records = spanning_records(lines, quotes)
     raw = F.col("record")
     text = F.decode(raw, encoding.charset) if encoding.charset == "ISO-8859-1" else raw.cast("string")
-    bad = ~F.is_valid_utf8(raw.cast("string")) if encoding.charset == "UTF-8" else F.lit(False)
+    bad = ~F.is_valid_utf8(raw.cast("string")) if encoding.charset == "UTF-8" or not encoding.by_line else F.lit(False)
     if encoding.charset == "US-ASCII":
         bad = raw.cast("string").rlike(r"[^\x00-\x7f]")
     names = [*slots(len(header)), CORRUPT]
@@ -226,16 +224,14 @@ def read_head(
 
 
 def _wide_head(spark: SparkSession, file: str, encoding: Encoding, delimiter: str, records: int) -> list[list[str]]:
-    """The first records of a file of 2- or 4-byte characters, from its first bytes."""
-    content = spark.read.format("binaryFile").load(file).select("content")
-    wanted = 1 << 16
+    """The first records of a file of 2- or 4-byte characters, from its first pieces between LF bytes."""
+    wanted = 2 * records + 2
     while True:
-        row = content.select(F.substring("content", 1, wanted), F.octet_length("content") <= wanted).first()
-        if row is None:
-            return []
-        raw, whole = bytes(row[0]), row[1]
+        pieces = spark.read.option("lineSep", "\n").text(file).select(F.col("value").cast("binary")).limit(wanted).collect()
+        whole = len(pieces) < wanted
         try:
-            text = codecs.getincrementaldecoder(encoding.codec)().decode(raw, whole)
+            # a file's last LF byte may be missing from its pieces; no character needs it
+            text = codecs.getincrementaldecoder(encoding.codec)().decode(b"\n".join(bytes(piece[0]) for piece in pieces))
         except UnicodeError:
             raise _undecodable(encoding, file) from None
         head = list(itertools.islice(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), records + 1))
@@ -245,20 +241,6 @@ def _wide_head(spark: SparkSession, file: str, encoding: Encoding, delimiter: st
         wanted *= 2
 
 
-def require_closed_quotes(spark: SparkSession, files: list[str], encoding: Encoding, delimiter: str, path: str) -> None:
-    """Refuse files of 2- or 4-byte characters that end within a quoted cell."""
-    text = F.decode("content", encoding.charset)
-    last = F.substring_index(F.regexp_replace(text, r"[\r\n]+\z", ""), "\n", -1)
-    left_open = (quote_count(text) % 2 == 1) & ~literal_quote(last, re.escape(delimiter))
-    scan = spark.read.format("binaryFile").load(files).where(left_open).select("path")
-    try:
-        found = scan.first()
-    except PySparkException:
-        raise _undecodable(encoding, path) from None
-    if found is not None:
-        raise fail("source.read_failed", "A file ends within a quoted cell.", path=path, file=found.path)
-
-
 def check_header(head: list[list[str]], position: int, path: str) -> list[str]:
     """The header record, refused when it is absent, blank somewhere or repeats a name."""
     if len(head) < position:

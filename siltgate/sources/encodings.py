@@ -19,6 +19,8 @@ SPARK_CHARSETS = {
     "utf-16-le": "UTF-16LE",
     "utf-16-be": "UTF-16BE",
     "utf-32": "UTF-32",
+    "utf-32-le": "UTF-32LE",
+    "utf-32-be": "UTF-32BE",
 }
 REPLACEMENT = "\ufffd"
 

@@ -1,8 +1,8 @@
 """Records that span lines, put together in parallel.
 
 Whether a line break ends a record depends on the quotes before it in the file: an even number
-means it does. Counting quotes per split gives every split the parity it starts with, so each
-task can tell records apart on its own. Only the pieces at split edges, at most two per split,
+means it does. Counting quotes per split and summing them up over ranges of splits gives every
+split the parity it starts with, so each task can tell records apart on its own. Only the pieces at split edges, at most two per split,
 are joined in a shuffle.
 """
 
@@ -18,10 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siltgate.errors import fail
 from siltgate.session import pin_file_splits, scratch_table
-from siltgate.sources.position import FILE, SEQ, START, position_columns
-
-# Splits whose parities go into one broadcast; more files are read in several groups.
-PARITY_SPLITS = 200_000
+from siltgate.sources.position import FILE, SEQ, START, position_columns, ranged, running_before
 
 # A quoted cell; possessive, so that long cells need neither stack nor backtracking.
 QUOTED_CELL = '"[^"]*+(?:""[^"]*+)*+"'
@@ -64,21 +61,19 @@ def ends_in_quotes(quotes: Column, literal: Column) -> Column:
     return (F.sum(quotes) % 2 == 1) & ~F.coalesce(at_end, F.lit(False))
 
 
-def split_quotes(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
-    """(file, start, odd, spans, literal) per split, from one pass over the raw lines.
+def split_quotes(lines: DataFrame, delimiter: str) -> DataFrame:
+    """(file, start, odd, spans, literal) per split, sorted into ranges, from one pass over the lines.
 
     ``odd``: the split holds an odd number of quotes. ``spans``: some line of it is no record,
     because it holds an odd number of quotes or only white space.
     """
     value = F.col("value")
     only_space = ~value.isin("", "\r") & value.rlike(r"\A[\x00-\x20]+\z")
-    return scratch_table(
-        raw_lines(spark, files).groupBy(FILE, START).agg(
-            (F.sum(quote_count(value)) % 2).alias("odd"), F.bool_or((quote_count(value) % 2 == 1) | only_space).alias("spans"),
-            last_literal(value, re.escape(delimiter)).alias("literal"),
-        ),
-        "quotes",
+    per_split = lines.groupBy(FILE, START).agg(
+        (F.sum(quote_count(value)) % 2).alias("odd"), F.bool_or((quote_count(value) % 2 == 1) | only_space).alias("spans"),
+        last_literal(value, re.escape(delimiter)).alias("literal"),
     )
+    return ranged(per_split, FILE, START)
 
 
 def records_span_lines(quotes: DataFrame, path: str) -> bool:
@@ -90,69 +85,39 @@ def records_span_lines(quotes: DataFrame, path: str) -> bool:
     return bool(found.spans)
 
 
-def spanning_records(
-    spark: SparkSession, files: list[str], quotes: DataFrame | None = None, parity_splits: int = PARITY_SPLITS
-) -> DataFrame:
+def spanning_records(lines: DataFrame, quotes: DataFrame) -> DataFrame:
     """(file, start, seq, record): raw records; seq counts the records that start in a split.
 
-    Every file must end outside quotes, see :func:`records_span_lines`.
+    ``lines`` are raw lines with their positions. ``quotes``, a :func:`ranged` table, has whether
+    a split's quotes are ``odd`` in number, for every split of the files to read; lines of others
+    are left out. Every file must end outside quotes, see :func:`records_span_lines`.
     """
-    quotes = split_quotes(spark, files, ",") if quotes is None else quotes
-    earlier = Window.partitionBy(FILE).orderBy(START).rowsBetween(Window.unboundedPreceding, -1)
-    parities = scratch_table(
-        quotes.select(FILE, START, (F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).alias("inside")), "parities"
-    )
-    groups = [files]
-    if parities.count() > parity_splits:
-        groups = _file_groups(spark, files, parities, parity_splits)
-    parts = [_assembled(spark, group, parities, alone=len(groups) == 1) for group in groups]
-    records = parts[0]
-    for part in parts[1:]:
-        records = records.union(part)
-    return records
-
-
-def _file_groups(spark: SparkSession, files: list[str], parities: DataFrame, limit: int) -> list[list[str]]:
-    """Files in groups whose splits fit one broadcast (a file that exceeds it stays alone)."""
-    groups: list[list[str]] = []
-    room = 0
-    sizes = {_bare(row[0]): row[1] for row in parities.groupBy(FILE).count().toLocalIterator()}
-    for file in files:
-        splits = sizes.get(_bare(file), 0)
-        if not groups or splits > room:
-            groups.append([])
-            room = limit
-        groups[-1].append(file)
-        room -= splits
-    return groups
-
-
-def _bare(path: str) -> str:
-    return path.removeprefix("file:").lstrip("/")
-
-
-def _assembled(spark: SparkSession, files: list[str], parities: DataFrame, *, alone: bool) -> DataFrame:
-    lines = raw_lines(spark, files)
-    if not alone:
-        parities = parities.join(F.broadcast(spark.createDataFrame([(_bare(f),) for f in files], "bare string")),
-                                 F.regexp_replace(FILE, "^(file:)?/+", "") == F.col("bare"), "left_semi")
-    # A broadcast join keeps the order of the scan, which the tasks rely on.
-    started = lines.join(F.broadcast(parities), [FILE, START]).select(FILE, START, "inside", F.col("value").cast("binary"))
+    before = running_before(quotes, [FILE], [START], F.col("odd"), "before")
+    parities = scratch_table(before.select(FILE, START, (F.col("before") % 2).alias("inside")), "parities")
+    # Spark knows the written table's size and joins accordingly; tasks then get lines in order.
+    started = lines.join(parities, [FILE, START]).sortWithinPartitions(FILE, START, SEQ)
+    started = started.select(FILE, START, "inside", F.col("value").cast("binary"))
     pieces = started.mapInArrow(_pieces, RECORDS)
     whole = pieces.where("piece = 'whole'").select(FILE, START, SEQ, "record")
 
-    # A tail opens a record; heads and middles of the splits that follow belong to it. Which
-    # record a piece belongs to is found from keys alone; bytes are shuffled by record.
     edges = scratch_table(pieces.where("piece <> 'whole'"), "edges")
+    return whole.union(joined_edges(edges, "\n").drop("parts"))
+
+
+def joined_edges(edges: DataFrame, separator: str) -> DataFrame:
+    """(file, start, seq, record, parts): what begins in one split and goes on in others.
+
+    A tail opens a record; heads and middles of the splits that follow belong to it. Which
+    record a piece belongs to is found from keys alone; bytes are shuffled by record.
+    """
     so_far = Window.partitionBy(FILE).orderBy(START, F.col("piece") == "tail").rowsBetween(Window.unboundedPreceding, 0)
     opened = edges.select(FILE, START, "piece", F.count_if(F.col("piece") == "tail").over(so_far).alias("opened"))
     order = F.struct(START, (F.col("piece") == "tail").alias("last"), SEQ, "record")
     joined = edges.join(opened, [FILE, START, "piece"]).groupBy(FILE, "opened").agg(F.array_sort(F.collect_list(order)).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda part: part["record"].cast("string")), "\n")
-    spanning = joined.select(
-        FILE, F.col("parts")[0][START].alias(START), F.col("parts")[0][SEQ].alias(SEQ), text.cast("binary").alias("record")
+    text = F.array_join(F.transform("parts", lambda part: part["record"].cast("string")), separator)
+    return joined.select(
+        FILE, F.col("parts")[0][START].alias(START), F.col("parts")[0][SEQ].alias(SEQ), text.cast("binary").alias("record"), F.size("parts").alias("parts")
     )
-    return whole.union(spanning)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +131,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(split, pa.array([seq if begun else -1]), pa.array([record], pa.binary()), kind)
 
     for batch in batches:
-        for at, segment in _segments(batch):
+        for at, segment in segments(batch):
             if at != split:
                 yield from finish()
                 split, held, seq, begun, inside = at, [], 0, False, int(segment.column(2)[0].as_py())
@@ -199,7 +164,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from finish()
 
 
-def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+def segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
     """Runs of rows of one split."""
     if not batch.num_rows:
         return

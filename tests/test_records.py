@@ -7,12 +7,14 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from siltgate import inspect_source
 from siltgate.errors import EngineError
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.sources.delimited import read_delimited
-from siltgate.sources.position import SEQ, START
-from siltgate.sources.records import FILE, spanning_records
+from siltgate.sources.position import FILE, SEQ, START, ranged, running_before
+from siltgate.sources.records import raw_lines, spanning_records, split_quotes
 
 CELLS = ["", "a", "b c", "two\nlines", "\n", "\n\n\n", 'say "hi"', '"', '""\n"', ",", " x ", "long " * 20, "é\n€", "\n\n\n" + "y\n" * 40]
 
@@ -57,13 +59,94 @@ def test_rows_agree_with_a_sequential_reader(spark, tmp_path, tiny, split, endin
     assert [tuple(row) for row in got.collect()] == [(i, *row) for i, row in enumerate(expected, start=1)]
 
 
-def test_groups_of_files_give_the_same_records(spark, tmp_path, tiny):
+def test_joins_by_shuffle_and_by_broadcast_give_the_same_records(spark, tmp_path, tiny):
     for part in range(4):
         written(tmp_path / "d" / f"{part}.csv", part, 30, "\n")
     files = sorted(f"file:{path}" for path in (tmp_path / "d").iterdir())
     tiny(200)
-    read = lambda limit: spanning_records(spark, files, parity_splits=limit).orderBy(FILE, START, SEQ).collect()
-    assert read(1) == read(1_000_000)
+
+    def read(threshold):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            records = spanning_records(raw_lines(spark, files), split_quotes(raw_lines(spark, files), ","))
+            assert ("BroadcastHashJoin" in plan_of(records)) == (threshold != "-1")
+            return records.orderBy(FILE, START, SEQ).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    assert read("-1") == read("10m")
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 50])
+def test_running_sums_do_not_depend_on_ranges(spark, partitions):
+    rng = random.Random(1)
+    rows = [(group, place, rng.randrange(-2, 3)) for group, size in (("a", 1), ("b", 300), ("c", 2), ("d", 40)) for place in range(size)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = ranged(spark.createDataFrame(rows, "g string, p int, v int"), "g", "p")
+        assert partitions == 1 or table.select("__range").distinct().count() > 1
+        found = running_before(running_before(table, ["g"], ["p"], F.col("v"), "own"), [], ["g", "p"], F.col("v"), "all")
+        got = [tuple(r) for r in found.orderBy("g", "p").select("g", "p", "own", "all").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected, total, own = [], 0, {}
+    for group, place, value in sorted(rows):
+        expected.append((group, place, own.get(group, 0), total))
+        own[group], total = own.get(group, 0) + value, total + value
+    assert got == expected
+
+
+WIDE_CELLS = [*CELLS, "\u0a05\u0a0a\u050a", "\u0a0a\n\u0a00x", "\U0001f60a", "\u0d0a \r", "\ufffd", "\u0a0a" * 70]
+
+
+@pytest.mark.parametrize("split, encoding", [(119, "utf-16"), (122, "utf-16-be"), (255, "utf-32"), (190, "utf-32-be"), (600, "marked-be"), (5000, "utf-16-le")])
+def test_wide_characters_agree_with_a_sequential_reader(spark, tmp_path, tiny, split, encoding):
+    """Line feed bytes that are halves of other characters, at any place of a split, in several files."""
+    codec, mark = ("utf-16-be", "\ufeff") if encoding == "marked-be" else (encoding, "")
+    rng, expected = random.Random(split), []
+    for part in range(3):
+        rows = [[str(i), rng.choice(WIDE_CELLS), rng.choice(WIDE_CELLS)] for i in range(6 * part + 1)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([["id", "\u0a0a", "more"], *rows])
+        path = tmp_path / "d" / f"{part}.csv"
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes((mark + (out.getvalue() if part else out.getvalue().rstrip("\n"))).encode(codec))
+        expected += rows
+    tiny(split)
+    source = read_delimited(spark, str(tmp_path / "d"), encoding="utf-16" if mark else codec, delimiter=",")
+    frame = source.tracked()
+    got = frame.numbering.number(frame.df).select(ROW_INDEX, *[frame.value(name) for name in source.columns]).orderBy(ROW_INDEX)
+    assert [tuple(row) for row in got.collect()] == [(i, *row) for i, row in enumerate(expected, start=1)]
+    assert source.columns == ["id", "\u0a0a", "more"]
+
+
+def test_a_wide_file_is_read_by_several_tasks(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("id,v\n" + "".join(f"{i},x\n" for i in range(20_000)), encoding="utf-16")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        source = read_delimited(spark, str(path), encoding="utf-16", delimiter=",")
+        assert "binaryFile" not in plan_of(source.df) and "Scan text" in plan_of(source.df)
+        pieces = source.df.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert len(pieces) > 5 and sum(r["count"] for r in pieces) == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("encoding, bad", [("utf-16-le", b"\x00\xd8"), ("utf-16-be", b"\xdc\x00"), ("utf-32-le", b"\xff\xff\xff\x7f"), ("utf-16-le", b"x")])
+def test_bytes_that_are_no_wide_characters_are_refused(spark, tmp_path, encoding, bad):
+    path = tmp_path / "a.csv"
+    path.write_bytes(("id,text\n" + "1,a\n" * 50 + "2,b").encode(encoding) + bad)
+    with pytest.raises(EngineError) as caught:
+        inspect_source(spark, str(path), encoding=encoding, delimiter=",")
+    assert caught.value.code == "source.read_failed"
 
 
 def test_a_record_may_fill_many_splits(spark, tmp_path, tiny):
@@ -93,7 +176,7 @@ def test_record_bytes_are_not_gathered_by_file(spark, tmp_path, tiny):
     path = tmp_path / "a.csv"
     path.write_text('id,text\n' + '1,"a\nb"\n' * 50)
     tiny(64)
-    plan = spanning_records(spark, [str(path)])._jdf.queryExecution().optimizedPlan().toString()
+    plan = spanning_records(raw_lines(spark, [str(path)]), split_quotes(raw_lines(spark, [str(path)]), ","))._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window" in line]
     assert windows and not any("record" in line for line in windows)
 

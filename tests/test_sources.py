@@ -107,18 +107,20 @@ def test_lines_above_the_header_in_several_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize("broadcast_splits", [100_000, 0])
-def test_row_numbers_over_files_and_splits(spark, tmp_path, broadcast_splits):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_row_numbers_over_files_and_splits(spark, tmp_path, threshold):
     for part, size in enumerate((700, 1, 2500, 40)):
         write(tmp_path / "d" / f"{part}.csv", "v\n" + "".join(f"{part}-{i}\n" for i in range(size)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         source = csv(spark, str(tmp_path / "d"))
-        numbering = FileOrderNumbering(source.numbering.scan, 0, broadcast_splits)
+        numbering = FileOrderNumbering(source.numbering.scan)
         got = [tuple(r) for r in numbering.number(source.df).select(ROW_INDEX, "c0").orderBy(ROW_INDEX).collect()]
         assert source.df.rdd.getNumPartitions() > 4
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     values = [f"{part}-{i}" for part, size in enumerate((700, 1, 2500, 40)) for i in range(size)]
     assert got == list(enumerate(values, start=1))
 
