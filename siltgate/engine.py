@@ -16,6 +16,7 @@ from siltgate.operators.accounting import count_columns, gate, rows_summary
 from siltgate.operators.checks import accepted_rows, check_rows, shape_diagnostics
 from siltgate.operators.edits import apply_edits
 from siltgate.operators.rejects import found_rejects, reject_rows, write_rejects
+from siltgate.operators import staging
 from siltgate.operators.tracked import TrackedFrame
 from siltgate.plans.recipe import Recipe, Settings, resolve_settings
 from siltgate.session import require_utc, scratch_table
@@ -183,13 +184,32 @@ def load(
 
 
 def _append(spark: SparkSession, plan: Plan, workspace: Workspace, run_id: str, started: dt.datetime) -> RunResult:
-    judged = _counted(spark, plan, workspace, "load", run_id, started)
+    """The counting scan fills a private staging table; past the gate, that table is inserted."""
+    if plan.diagnostics:
+        return _counted(spark, plan, workspace, "load", run_id, started)
+    observation = Observation()
+    try:
+        staged = staging.stage_rows(plan.counted_by(observation, located=bool(plan.frame.findings)).frame, plan.recipe.schema)
+    except JOB_ERRORS as error:
+        raise _unreadable(plan, error) from error
+    judged = _judged(spark, plan, observation.get, workspace, "load", run_id, started, staged.found_rejects())
     if judged.result_code != ResultCode.SUCCESS:
         return judged
-    counted = plan.counted_by(Observation(), F.count(F.lit(1)).alias("read"))
-    return _sunk(
-        judged, lambda: append_rows(spark, judged.table, plan.recipe.schema, counted.accepted(), plan.settings)
-    )
+
+    def insert() -> int:
+        _same_rows(judged, staged.count_accepted())
+        loaded = append_rows(spark, judged.table, plan.recipe.schema, staged.accepted(), plan.settings)
+        return _same_rows(judged, loaded)
+
+    return _sunk(judged, insert)
+
+
+def _same_rows(judged: RunResult, rows: int) -> int:
+    """The rows about to be loaded, or loaded, are as many as were validated."""
+    if rows != judged.rows["validated"]:
+        error = RuntimeError(f"{rows} rows are staged, {judged.rows['validated']} were validated")
+        raise _load_failed(judged, error)
+    return rows
 
 
 def _replace(spark: SparkSession, plan: Plan, workspace: Workspace, run_id: str, started: dt.datetime) -> RunResult:
@@ -214,6 +234,11 @@ def _replace(spark: SparkSession, plan: Plan, workspace: Workspace, run_id: str,
         return judged
 
     def swap() -> int:
+        try:
+            _same_rows(judged, loaded)
+        except EngineError:
+            staged.discard()
+            raise
         staged.swap()
         return loaded
 
@@ -248,6 +273,10 @@ def _load_failed(judged: RunResult, error: Exception) -> EngineError:
     )
 
 
+def _unreadable(plan: Plan, error: Exception) -> EngineError:
+    return fail("source.read_failed", "The source cannot be read.", path=plan.source.path, reason=_reason(error))
+
+
 def _reason(error: Exception) -> str:
     text = str(getattr(error, "java_exception", error))
     return runlog.mask_secrets((text.splitlines() or [""])[0])
@@ -266,7 +295,7 @@ def _counted(
             found = scratch_table(found_rejects(plan.counted_by(observation, located=True).frame), "rejects")
             counts = observation.get
     except JOB_ERRORS as error:
-        raise fail("source.read_failed", "The source cannot be read.", path=plan.source.path, reason=_reason(error)) from error
+        raise _unreadable(plan, error) from error
     return _judged(spark, plan, counts, workspace, command, run_id, started, found)
 
 

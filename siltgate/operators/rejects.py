@@ -33,15 +33,21 @@ def found_rejects(frame: TrackedFrame) -> DataFrame:
     The filter comes first, so findings are listed for failing rows only. Texts that depend on
     the finding alone are left out until the rows are shown.
     """
-    listed = F.array(
+    found = frame.rows_where(frame.failed()).withColumn("__r", F.explode(listed_findings(frame))).where(F.col("__r").isNotNull())
+    computed = {slot for slot in frame.df.columns if slot.startswith("e") and slot[1:].isdigit()}
+    return found.drop(*computed)
+
+
+def listed_findings(frame: TrackedFrame) -> Column:
+    """An array with number and value of each finding of a row, null for those it does not have."""
+    if not frame.findings:
+        return F.array(F.struct(F.lit(0).alias("finding"), F.lit("").alias("value")))
+    return F.array(
         *[
             F.when(_found(frame, finding), F.struct(F.lit(number).alias("finding"), _value(frame, finding).alias("value")))
             for number, finding in enumerate(frame.findings)
         ]
-    ) if frame.findings else F.array(F.struct(F.lit(0).alias("finding"), F.lit("").alias("value")))
-    found = frame.rows_where(frame.failed()).withColumn("__r", F.explode(listed)).where(F.col("__r").isNotNull())
-    computed = {slot for slot in frame.df.columns if slot.startswith("e") and slot[1:].isdigit()}
-    return found.drop(*computed)
+    )
 
 
 def numbered_rejects(frame: TrackedFrame, found: DataFrame, *, with_order: bool = False) -> DataFrame:
