@@ -23,6 +23,7 @@ from siltgate.operators.profile import (
     text_lines,
 )
 from siltgate.sources.delimited import read_delimited
+from siltgate.sources.files import decoded_path
 from siltgate.session import scratch_table
 
 # Documents per written file.
@@ -178,6 +179,38 @@ def folder_files(spark, sf_dir):
     return per_folder.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("table").alias("tables"))
 
 
+PATH = "'/data/' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '/g' || (o_custkey % 40)"
+
+
+@query(
+    "folder_table_names",
+    f"""WITH f AS (SELECT o_orderkey AS k, 'g' || (o_custkey % 40) AS g, o_custkey % 40 AS n, {PATH} AS stem, o_orderkey % 10 AS kind FROM orders),
+        stems AS (SELECT g, count(*) AS files FROM f GROUP BY g),
+        named AS (
+          SELECT k, n, stem || CASE WHEN kind IN (3, 7) THEN '.xlsx' ELSE '.csv' END AS path, CASE WHEN kind = 3 THEN 'S' WHEN kind = 7 THEN 'Data ' || s END AS sheet,
+                 CASE WHEN kind = 7 THEN g || '_data_' || s WHEN files = 1 THEN g WHEN kind = 3 THEN g || '_xlsx' ELSE g || '_csv' END AS base
+          FROM f JOIN stems USING (g), range(1, 3) r(s) WHERE kind = 7 OR s = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY k) AS i FROM named),
+        lone AS (SELECT n, max(CASE WHEN base = 'g' || n || '_csv' THEN i ELSE 0 END) AS csvs FROM ranked GROUP BY n)
+        SELECT path, sheet, base || CASE WHEN i = 1 THEN '' WHEN base = 'g' || n || '_csv' AND n % 2 = 0 THEN '_' || (i + 1) ELSE '_' || i END AS tbl FROM ranked
+        UNION ALL SELECT '/' || CASE WHEN n % 2 = 0 THEN 'a' ELSE 'z' END || '/g' || n || '_csv_2.csv', NULL,
+               'g' || n || '_csv_2' || CASE WHEN n % 2 = 1 AND csvs > 1 THEN '_2' ELSE '' END FROM lone""",
+)
+def folder_table_names(spark, sf_dir):
+    """Table names of files with equal stems, workbooks beside text, several sheets, and names that numbers also lead to."""
+    kind = F.col("o_orderkey") % 10
+    stem = F.concat(F.lit("g"), (F.col("o_custkey") % 40).cast("string"))
+    path = F.concat(F.lit("/data/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit("/"), stem, F.when(kind.isin(3, 7), ".xlsx").otherwise(".csv"))
+    sheets = F.when(kind == 7, F.array(F.lit("Data 1"), F.lit("Data 2"))).when(kind == 3, F.array(F.lit("S")))
+    orders = table(spark, sf_dir, "orders")
+    files = orders.select(path.alias("source_path"), F.when(kind.isin(3, 7), F.size(sheets)).alias("sheets"), F.posexplode_outer(sheets).alias("pos", "sheet"))
+    entries = files.select("source_path", "sheet", "sheets", (F.col("pos") + 1).alias("sheet_position"))
+    # a lone file of each stem that is called as the second file of the stem is numbered, before or after all others
+    place = F.when(F.col("o_custkey") % 2 == 0, "/a/").otherwise("/z/")
+    lone = orders.select(F.concat(place, stem, F.lit("_csv_2.csv")).alias("source_path")).distinct()
+    return folder_tables(entries.unionByName(lone, allowMissingColumns=True)).select("path", F.col("sheet_name").alias("sheet"), F.col("table").alias("tbl"))
+
+
 @query(
     "profile_folder",
     f"""WITH f AS (SELECT {FOLDER_SQL} AS folder, * FROM orders)
@@ -205,7 +238,7 @@ def faulty_files(spark: SparkSession, sf_dir: str) -> str:
     heads = F.array(*map(F.lit, ("id,status", "id,status", "id,status", "id,id", "id, ")))
     group = F.substring("o_orderpriority", 1, 1).cast("int")
     status = F.when((group == 2) & (F.col("o_orderkey") % 23 == 0), F.concat("o_orderstatus", F.lit(",more"))).otherwise(F.col("o_orderstatus"))
-    file = F.concat_ws("_", F.lit("p"), group.cast("string"), F.floor(F.col("o_orderkey") / FILE_ROWS).cast("string"))
+    file = F.concat_ws("_", F.lit("p +[{"), group.cast("string"), F.floor(F.col("o_orderkey") / FILE_ROWS).cast("string"))
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), status)
     rows = table(spark, sf_dir, "orders").select(file.alias("f"), F.col("o_orderkey").cast("bigint").alias("p"), line.alias("l"), group.alias("g"))
     files = rows.groupBy("f", "g").agg(F.max("p").alias("last"))
@@ -216,7 +249,7 @@ def faulty_files(spark: SparkSession, sf_dir: str) -> str:
 
 @query(
     "profile_failures",
-    f"""SELECT 'p_' || g || '_' || chunk AS file, CASE WHEN g = '1' OR (g = '2' AND NOT long_ones) THEN 'created' ELSE 'failed' END AS status,
+    f"""SELECT 'p +[{{_' || g || '_' || chunk AS file, CASE WHEN g = '1' OR (g = '2' AND NOT long_ones) THEN 'created' ELSE 'failed' END AS status,
           CASE WHEN g = '2' AND long_ones THEN 'source.read_failed' WHEN g = '3' THEN 'source.read_failed'
             WHEN g = '4' THEN 'source.duplicate_header' WHEN g = '5' THEN 'source.empty_header' END AS code
         FROM (SELECT substring(o_orderpriority, 1, 1) AS g, o_orderkey // {FILE_ROWS} AS chunk, bool_or(o_orderkey % 23 = 0) AS long_ones
@@ -225,5 +258,6 @@ def faulty_files(spark: SparkSession, sf_dir: str) -> str:
 def profile_failures(spark, sf_dir):
     """Files that cannot be profiled are entries with their code; the others go on."""
     profile = profile_folder(spark, faulty_files(spark, sf_dir), recursive=True)
-    file = F.regexp_extract("source_path", "file=([^/]+)/", 1).alias("file")
+    # Spark's writer has put codes for some characters into the folders' names
+    file = decoded_path(F.regexp_extract("source_path", "file=([^/]+)/", 1)).alias("file")
     return profile.select(file, "status", "code").distinct()

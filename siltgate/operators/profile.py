@@ -10,22 +10,28 @@ import re
 from collections.abc import Container, Iterable, Mapping
 from dataclasses import dataclass
 from typing import Any
-from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from siltgate.errors import ResultCode, fail
 from siltgate.functions.text import iso_timestamp
-from siltgate.functions.naming import distinct_names, recipe_name, safe_name, safe_names
+from siltgate.functions.naming import (
+    distinct_names_column,
+    numbered_column,
+    recipe_name,
+    recipe_name_column,
+    safe_name_column,
+    safe_names,
+)
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.plans.recipe import Recipe, resolve_settings
 from siltgate.session import pin_file_splits, scratch_table
 from siltgate.sources.base import Source, slots
-from siltgate.sources.delimited import fault_counts, refuse_faults, require_path
+from siltgate.sources.delimited import fault_counts, refuse_faults
+from siltgate.sources.files import decoded_path, folder_scan, listed_files, readable, root_path
 from siltgate.sources.open import open_source, source_format
-from siltgate.sources.position import FILE, SEQ, START, position_columns
-from siltgate.sources.records import QUOTED_CELL, literal_quote, quote_count, raw_lines, spanning_records, split_quotes
+from siltgate.sources.position import FILE, RANGE, SEQ, START, position_columns, ranged, running_before
+from siltgate.sources.records import QUOTED_CELL, literal_quote, quote_count, spanning_records
 from siltgate.sources.workbook import column_type, sheet_extents, workbook_files, workbook_rows, workbook_sheets
 
 # Delimiters looked for, in order of preference, and rows of a preview.
@@ -37,23 +43,29 @@ CONSISTENT_SHARE = 0.9
 # The longest text proposed as VARCHAR, and the length proposed without data.
 VARCHAR_LIMIT = 255
 
-SCAN_SUFFIX = r"(?i)\.(csv|xlsx)$"
+# Patterns of the names that a folder profile takes, in any case.
+TEXT_NAMES = "*.[cC][sS][vV]"
+WORKBOOK_NAMES = "*.[xX][lL][sS][xX]"
 
 
 def discover_files(spark: SparkSession, directory: str, *, recursive: bool = False, own_folder: str | None = None) -> DataFrame:
-    """Supported files below a directory: path, size, kind and normalised stem. Reads no content."""
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory)
-    # A scan has no rows for empty files, so the paths come from the listing itself.
-    paths = [(re.sub("^file:/+", "file:/", unquote(path)),) for path in scan.inputFiles()]
-    listed = spark.createDataFrame(paths, "path string").where(F.col("path").rlike(SCAN_SUFFIX))
-    files = listed.join(scan.select("path", "length"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    """Supported files below a directory: path, URI, size, kind and stem. Reads no content."""
+    both = f"{{{TEXT_NAMES},{WORKBOOK_NAMES}}}"
+    scan = folder_scan(spark, directory, "binaryFile", both, recursive=recursive, own_folder=own_folder)
+    # A scan has no rows for empty files, so the files come from the listing itself.
+    sizes = scan.select(F.col("_metadata.file_path").alias("file"), "length")
+    files = listed_files(scan).join(sizes, "file", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    files = files.withColumn("path", decoded_path(F.col("file")))
+    if not recursive:
+        files = files.where(F.regexp_replace("path", "/[^/]*$", "") == root_path(spark, directory))
     if own_folder:
         files = files.where(~F.contains("path", F.lit(f"/{own_folder.strip('/')}/")))
-    name = F.element_at(F.split("path", "/"), -1)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    return files.select(
-        "path", "length", F.lower(F.element_at(F.split(name, r"\."), -1)).alias("kind"), stem.alias("file_stem")
-    )
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    return files.select("path", "file", "length", kind.alias("kind"), file_stem(F.col("path")).alias("file_stem"))
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"\.[^.]*$", "")
 
 
 def check_scope(directory: str, project: str) -> None:
@@ -63,10 +75,13 @@ def check_scope(directory: str, project: str) -> None:
         raise fail("scan.directory_out_of_scope", "The directory lies outside the project.", path=directory, project=project)
 
 
-def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files as raw bytes, with their positions. Lines end at LF alone."""
     pin_file_splits(spark)
-    lines = spark.read.option("lineSep", "\n").text(path)
+    return located_lines(spark.read.option("lineSep", "\n").text(readable(spark, path)))
+
+
+def located_lines(lines: DataFrame) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_size").alias("size"), *position_columns())
 
 
@@ -103,14 +118,17 @@ def _filled(value: Column) -> Column:
 
 
 def file_facts(histogram: DataFrame) -> DataFrame:
-    """Per file: encoding, whether some record spans lines, and whether the file ends in quotes.
+    """Per file: encoding, whether some record spans lines, whether it ends in quotes, and whether it was cut short.
 
-    The reader drops a byte order mark, so it shows as bytes that no line accounts for.
+    The reader drops a byte order mark, so it shows as 3 bytes that no line accounts for, or 2 if
+    the last line has no end. More bytes are missing where reading failed midway.
     """
     # The last filled line of a file; see ends_in_quotes, which does the same by split.
     at_end = F.max(F.when(F.col("filled"), F.struct(F.col(START), "last")))["last"]["literal"]
+    unread = F.first("size") - F.sum("octets") - F.sum("lines")
     facts = histogram.groupBy("path").agg(
-        (F.first("size") - F.sum("octets") - F.sum("lines") >= 2).alias("marked"),
+        (unread >= 2).alias("marked"),
+        (unread > 3).alias("cut_short"),
         F.bool_and("utf8").alias("utf8"),
         F.bool_or("odd_line").alias("spans_lines"),
         ((F.sum("quotes") % 2 == 1) & ~F.coalesce(at_end, F.lit(False))).alias("open_quote"),
@@ -118,10 +136,10 @@ def file_facts(histogram: DataFrame) -> DataFrame:
     )
     # The three encodings told apart.
     encoding = F.when(F.col("marked"), "utf-8-sig").when(F.col("utf8"), "utf-8").otherwise("latin-1")
-    return facts.select("path", encoding.alias("encoding"), "spans_lines", "open_quote", "first")
+    return facts.select("path", encoding.alias("encoding"), "spans_lines", "open_quote", "cut_short", "first")
 
 
-def detect_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     """(path, encoding) of every text file, from all of its bytes."""
     return file_facts(line_histogram(text_lines(spark, path))).select("path", "encoding")
 
@@ -132,12 +150,15 @@ def decoded(value: Column, encoding: Column) -> Column:
     return F.regexp_replace(F.when(encoding == "latin-1", latin).otherwise(value), "\r$", "")
 
 
-def spanning_values(spark: SparkSession, facts: DataFrame) -> DataFrame | None:
+def spanning_values(lines: DataFrame, histogram: DataFrame, facts: DataFrame) -> DataFrame | None:
     """Records (file, start, seq, value) of the files whose records span lines; None without any."""
-    paths = [row[0] for row in facts.where("spans_lines AND NOT open_quote").select("path").orderBy("path").toLocalIterator()]
-    if not paths:
+    spanning = facts.where("spans_lines AND NOT open_quote")
+    if spanning.isEmpty():
         return None
-    return spanning_records(raw_lines(spark, paths), split_quotes(raw_lines(spark, paths), ",")).withColumn("value", F.col("record").cast("string")).drop("record")
+    kinds = histogram.join(spanning.select("path"), "path").groupBy(F.col("path").alias(FILE), START)
+    quotes = ranged(kinds.agg((F.sum("quotes") % 2).alias("odd")), FILE, START)
+    records = spanning_records(lines.select("value", FILE, START, SEQ), quotes)
+    return records.withColumn("value", F.col("record").cast("string")).drop("record")
 
 
 def delimiter_histogram(histogram: DataFrame, facts: DataFrame, records: DataFrame | None) -> DataFrame:
@@ -331,14 +352,15 @@ def source_summary(source: Source) -> DataFrame:
 
 def sniffed(spark: SparkSession, path: str, encoding: str | None) -> tuple[str, str, bool]:
     """(encoding, delimiter, confident) of one text source."""
-    histogram = scratch_table(line_histogram(text_lines(spark, path)), "histogram")
+    lines = text_lines(spark, path)
+    histogram = scratch_table(line_histogram(lines), "histogram")
     facts = scratch_table(file_facts(histogram), "facts")
     row = facts.orderBy("path").first()
     if row is None:
         raise fail("source.empty", "The source file is empty.", path=path)
     if row.open_quote:
         raise fail("source.read_failed", "A file ends within a quoted cell.", path=path, file=row.path)
-    counts = delimiter_histogram(histogram, facts, spanning_values(spark, facts))
+    counts = delimiter_histogram(histogram, facts, spanning_values(lines, histogram, facts))
     found = detect_delimiters(counts).orderBy("path").first()
     return encoding or row.encoding, found.delimiter, found.confident
 
@@ -419,6 +441,9 @@ def profile_folder(
 ) -> DataFrame:
     """Every supported file and sheet of a folder with its proposed table and columns.
 
+    The folder is read by recursive scans keyed on the files' URIs; no list of paths is made, and
+    a file that cannot be read is one failed entry.
+
     One row per column: (source_path, sheet, sheet_position, status, table, position,
     source_column, column, type, code, encoding, delimiter). An entry that cannot be profiled is one row with its code; the rest go on.
     Encodings, structure and delimiters of all text files come from one pass over them, headers
@@ -426,10 +451,12 @@ def profile_folder(
     """
     if project is not None:
         check_scope(directory, project)
-    require_path(spark, directory, "scan.directory_not_found")
-    files = discover_files(spark, directory, recursive=recursive, own_folder=own_folder)
-    texts = text_entries(spark, files, encoding, delimiter)
-    books = workbook_entries(spark, files)
+    files = scratch_table(discover_files(spark, directory, recursive=recursive, own_folder=own_folder), "files")
+    within = lambda form, names, **options: folder_scan(
+        spark, directory, form, names, recursive=recursive, own_folder=own_folder, **options
+    )
+    texts = text_entries(files.where("kind = 'csv'"), within("text", TEXT_NAMES, lineSep="\n"), encoding, delimiter)
+    books = workbook_entries(files.where("kind = 'xlsx'"), within("binaryFile", WORKBOOK_NAMES))
     columns = scratch_table(texts.unionByName(books), "profile")
     named = folder_tables(columns.select("source_path", "sheet", "sheets", "sheet_position").distinct())
     placed = columns.join(named, (columns.source_path == named.path) & columns.sheet.eqNullSafe(named.sheet_name), "left")
@@ -479,33 +506,45 @@ def folder_recipes(profile: DataFrame, defaults: Mapping[str, Any] | None = None
 def folder_tables(entries: DataFrame) -> DataFrame:
     """(path, sheet_name, table): one table name per file or sheet, none used twice.
 
-    Names depend on all names before them, so they are dealt out on the driver, which holds
-    the file listing anyway.
+    In order of path and sheet, an entry gets its own name, or the first free number behind it.
     """
-    listed = entries.orderBy("source_path", "sheet_position").collect()
-    stem_of = {row.source_path: recipe_name(_file_stem(row.source_path)) for row in listed}
-    twice = _repeated(list(stem_of.values()))
-    bases = []
-    for row in listed:
-        stem = stem_of[row.source_path]
-        if row.sheets is not None and row.sheets > 1:
-            base = f"{stem}_{recipe_name(row.sheet)}"
-        elif stem in twice:
-            base = f"{stem}_{'csv' if row.sheets is None else 'xlsx'}"
-        else:
-            base = stem
-        bases.append(safe_name(base))
-    named = [(row.source_path, row.sheet, name) for row, name in zip(listed, distinct_names(bases))]
-    return entries.sparkSession.createDataFrame(named, "path string, sheet_name string, `table` string")
-
+    stems = entries.withColumn("stem", recipe_name_column(file_stem(F.col("source_path"))))
+    files = stems.select("source_path", "stem").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("files"))
+    kind = F.when(F.col("sheets").isNull(), "csv").otherwise("xlsx")
+    base = (
+        F.when(F.col("sheets") > 1, F.concat_ws("_", "stem", recipe_name_column(F.col("sheet"))))
+        .when(F.col("files") > 1, F.concat_ws("_", "stem", kind))
+        .otherwise(F.col("stem"))
+    )
+    based = stems.join(files, "stem").select("source_path", "sheet", "sheet_position", safe_name_column(base).alias("base"))
+    return dealt_names(based, "base", ["source_path", "sheet_position"]).select(
+        F.col("source_path").alias("path"), F.col("sheet").alias("sheet_name"), F.col("name").alias("table")
+    )
 
-def _repeated(names: list[str]) -> set[str]:
-    seen: set[str] = set()
-    return {name for name in names if name in seen or seen.add(name)}
 
+def dealt_names(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
+    """Add ``name``: in order, each row's base, or the first free number behind it; letter case does not part names.
 
-def _file_stem(path: str) -> str:
-    return path.rpartition("/")[2].rpartition(".")[0]
+    Equal bases take their numbers by rank, from sums over ranges. A number may also be what
+    another base is called or numbered to: of all rows that claim a name, the first keeps it. Its
+    rivals, and the rows after them with their base, move on by one, until no name is claimed
+    twice. A row never moves past a name that would have been free for it.
+    """
+    key = F.lower(base)
+    table = ranged(rows.withColumn("__key", key), "__key", *order)
+    ranks = running_before(table, ["__key"], order, F.lit(1), "__rank").drop(RANGE).withColumn("__number", F.col("__rank") + 1)
+    place = F.struct(*order, "__key")
+    while True:
+        named = scratch_table(ranks.withColumn("name", numbered_column(F.col(base), F.col("__number"))), "names")
+        claims = named.groupBy(F.lower("name").alias("claimed")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        rivals = named.join(claims.where("n > 1"), F.lower("name") == F.col("claimed")).where(F.col("first") != place)
+        moved = rivals.groupBy("__key").agg(F.min(F.struct("__rank", "__number")).alias("lost"))
+        moved = scratch_table(moved.select("__key", F.col("lost")["__rank"].alias("from"), F.col("lost")["__number"].alias("taken")), "moved")
+        if moved.isEmpty():
+            return named.drop("__key", "__rank", "__number")
+        least = F.col("taken") + 1 + F.col("__rank") - F.col("from")
+        number = F.when(F.col("__rank") >= F.col("from"), F.greatest("__number", least)).otherwise(F.col("__number"))
+        ranks = named.drop("name").join(moved, "__key", "left").withColumn("__number", number).drop("from", "taken")
 
 
 ENTRY = (
@@ -514,14 +553,10 @@ ENTRY = (
 )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _safe_name_lists(headers: pd.Series) -> pd.Series:
-    return headers.map(lambda header: None if header is None else safe_names(list(header)))
-
-
 def _entries(described: DataFrame) -> DataFrame:
     """One row per column of (source_path, sheet..., code, header, types), or one with the code."""
-    named = described.withColumn("names", _safe_name_lists(F.when(F.col("code").isNull(), F.col("header"))))
+    fine = F.when(F.col("code").isNull(), F.col("header"))
+    named = described.withColumn("names", distinct_names_column(F.transform(fine, safe_name_column)))
     columns = F.when(
         F.col("code").isNull(), F.arrays_zip(F.col("header").alias("header"), F.col("names").alias("names"), F.col("types").alias("types"))
     )
@@ -533,15 +568,13 @@ def _entries(described: DataFrame) -> DataFrame:
     )
 
 
-def text_entries(spark: SparkSession, files: DataFrame, encoding: str | None, delimiter: str | None) -> DataFrame:
-    """Entries of the delimited files."""
-    paths = [row.path for row in files.where(F.col("kind") == "csv").select("path").orderBy("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], ENTRY)
-    lines = text_lines(spark, paths)
+def text_entries(files: DataFrame, scan: DataFrame, encoding: str | None, delimiter: str | None) -> DataFrame:
+    """Entries of the delimited files, from a scan of their lines."""
+    pin_file_splits(files.sparkSession)
+    lines = located_lines(scan)
     histogram = scratch_table(line_histogram(lines), "histogram")
     facts = scratch_table(file_facts(histogram), "facts")
-    records = spanning_values(spark, facts)
+    records = spanning_values(lines, histogram, facts)
     found = detect_delimiters(delimiter_histogram(histogram, facts, records))
     if encoding:
         facts = facts.withColumn("encoding", F.lit("latin-1" if encoding == "latin-1" else "utf-8"))
@@ -568,21 +601,20 @@ def text_entries(spark: SparkSession, files: DataFrame, encoding: str | None, de
     places = F.sequence(F.lit(0), F.size("header") - 1)
     length_at = lambda i: F.when(F.col("longest").isNotNull(), F.coalesce(F.element_at("longest", i), F.lit(0)))
     described = (
-        files.where(F.col("kind") == "csv")
-        .select("path")
+        files.select(F.col("path").alias("source_path"), F.col("file").alias("path"), "length")
         .join(formats, "path", "left")
         .join(headers, "path", "left")
         .join(lengths, "path", "left")
         .withColumn(
             "code",
-            F.when(F.col("encoding").isNull(), "source.empty")
-            .when(F.col("open_quote"), "source.read_failed")
+            F.when(F.col("length") == 0, "source.empty")
+            .when(F.col("encoding").isNull() | F.col("cut_short") | F.col("open_quote"), "source.read_failed")
             .when(~F.coalesce("confident", F.lit(False)), "source.csv_detection_failed")
             .when(header_code(F.col("header")).isNotNull(), header_code(F.col("header")))
             .when(F.col("last") >= F.size("header"), "source.read_failed"),
         )
         .select(
-            F.col("path").alias("source_path"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("sheets"),
+            "source_path", F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("sheets"),
             F.lit(None).cast("int").alias("sheet_position"), "code", "header", "encoding", "delimiter",
             F.transform(places, lambda i: text_type(length_at(i))).alias("types"),
         )
@@ -599,15 +631,16 @@ def _split_cells(read: DataFrame, first: Column) -> DataFrame:
     )
 
 
-def workbook_entries(spark: SparkSession, files: DataFrame) -> DataFrame:
+def workbook_entries(files: DataFrame, scan: DataFrame) -> DataFrame:
     """Entries of the workbooks: one per sheet, from one parse of each workbook."""
-    paths = [row.path for row in files.where(F.col("kind") == "xlsx").select("path").toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], ENTRY)
-    content = workbook_files(spark, paths)
+    content = scan.select(F.col("_metadata.file_path").alias("path"), "content")
     sheets = scratch_table(workbook_sheets(content), "sheets")
     rows = scratch_table(workbook_rows(content).where(F.col("fault").isNull()), "sheet_rows")
-    return _entries(described_sheets(sheets, rows))
+    described = described_sheets(sheets, rows).withColumnRenamed("source_path", "file")
+    # a workbook that could not be read at all has no sheet, not even a faulty one
+    named = files.select("file", F.col("path").alias("source_path"), "length").join(described.withColumn("seen", F.lit(True)), "file", "left")
+    code = F.when(F.col("length") == 0, "source.empty").when(F.col("seen").isNull(), "source.read_failed").otherwise(F.col("code"))
+    return _entries(named.withColumn("code", code).withColumn("sheets", F.coalesce("sheets", F.lit(0))))
 
 
 def described_sheets(sheets: DataFrame, rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from siltgate.errors import fail
 from siltgate.operators.tracked import ColumnNumbering, ROW_INDEX
 from siltgate.session import pin_file_splits
 from siltgate.sources.base import Source, slots
+from siltgate.sources.files import literal, readable
 from siltgate.sources.encodings import REPLACEMENT, Encoding, resolve
 from siltgate.sources.position import FILE, POSITION, SEQ, START, FileOrderNumbering, position_columns
 from siltgate.sources.records import QUOTED_CELL, raw_lines, records_span_lines, spanning_records, split_quotes
@@ -47,7 +48,7 @@ def read_delimited(
         raise fail("source.invalid_delimiter", "A delimiter is exactly one character.", path=path)
     check_row_options(header_row, skip_rows)
     pin_file_splits(spark)
-    files = files or list_files(spark, path)
+    files = [literal(file) for file in files or list_files(spark, path)]
     resolved = resolve(encoding, path)
 
     lines = raw_lines(spark, files) if resolved.by_line else wide_lines(spark, files, resolved)
@@ -188,18 +189,9 @@ def check_row_options(header_row: int, skip_rows: int) -> None:
         raise fail("source.invalid_skip_rows", "skip_rows cannot be negative.", skip_rows=skip_rows)
 
 
-def require_path(spark: SparkSession, path: str, code: str = "source.not_found") -> None:
-    """The path, or a match of its pattern, exists."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
-    if not found:
-        raise fail(code, "The path does not exist.", path=path)
-
-
 def list_files(spark: SparkSession, path: str) -> list[str]:
-    """The data files below a path, in path order, or an error if there is none."""
-    require_path(spark, path)
-    listed = spark.read.format("binaryFile").load(path).select("path")
+    """The data files of one source, in path order, or an error if there is none."""
+    listed = spark.read.format("binaryFile").load(readable(spark, path)).select("path")
     files = sorted(unquote(file) for file in listed.inputFiles())
     if not files:
         raise fail("source.empty", "The source has no files.", path=path)
@@ -298,7 +290,7 @@ def has_bad_bytes(spark: SparkSession, path: str, encoding_name: str) -> bool:
     encoding = resolve(encoding_name, path)
     if encoding.charset != "UTF-8":
         return True
-    return not spark.read.text(list_files(spark, path)).where(~F.is_valid_utf8("value")).isEmpty()
+    return not spark.read.text([literal(file) for file in list_files(spark, path)]).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def fault_counts(source: Source) -> list[Column]:

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltgate.operators.tracked import ColumnNumbering
 from siltgate.sources.base import Source, slots
-from siltgate.sources.delimited import require_path
+from siltgate.sources.files import readable
 from siltgate.sources.position import POSITION, FileOrderNumbering, position_columns
 
 
 def read_parquet(spark: SparkSession, path: str) -> Source:
     """Row numbers come from the reader's own row positions plus the rows of earlier files."""
-    require_path(spark, path)
-    df = spark.read.parquet(path)
+    pattern = readable(spark, path)
+    df = spark.read.parquet(pattern)
     position = position_columns(row_in_file=F.col("_metadata.row_index"))
     renamed = [df[f"`{name}`"].alias(slot) for name, slot in zip(df.columns, slots(len(df.columns)))]
     return Source(
         df=df.select(*renamed, *position),
-        bare=spark.read.schema(df.schema).parquet(path).toDF(*slots(len(df.columns))),
+        bare=spark.read.schema(df.schema).parquet(pattern).toDF(*slots(len(df.columns))),
         columns=df.columns,
         numbering=FileOrderNumbering(df.select(*position).select(*POSITION)),
         file_type="parquet",

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from siltgate.errors import fail
 from siltgate.session import scratch_table
 from siltgate.sources.base import Source, slots
-from siltgate.sources.delimited import check_header, check_row_options, require_path
+from siltgate.sources.delimited import check_header, check_row_options
+from siltgate.sources.files import readable
 from siltgate.sources.position import FILE, SEQ, START, FileOrderNumbering
 from siltgate.sources.xlsx_cells import Workbook
 
@@ -22,14 +23,13 @@ _BATCH = 2000
 
 def workbook_files(spark: SparkSession, path: str) -> DataFrame:
     """Workbooks below a path as (path, content)."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return spark.read.format("binaryFile").load(readable(spark, path)).select("path", "content")
 
 
 def list_sheets(spark: SparkSession, path: str) -> list[str]:
     """Sheet names of one workbook, in order."""
     if not path.lower().endswith(".xlsx"):
         raise fail("source.unsupported_type", "Only workbooks have sheets.", path=path)
-    require_path(spark, path)
     listed = workbook_sheets(workbook_files(spark, path)).orderBy("position").collect()
     _raise_fault(listed[0].fault if listed else "source.empty", path)
     return [row.sheet for row in listed]
@@ -158,7 +158,6 @@ def read_workbook(
     """
     check_row_options(header_row, skip_rows)
     if files is None:
-        require_path(spark, path)
         files = workbook_files(spark, path)
     names = _check_sheets(files, sheet, path)
     chosen = sheet or names[0]

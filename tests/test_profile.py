@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from siltgate import validate
 from siltgate.catalog.workbooks import workbook_bytes
 from siltgate.operators.profile import (
     check_scope,
+    dealt_names,
     delimiter_histogram,
     detect_delimiters,
     detect_encodings,
@@ -25,6 +28,7 @@ from siltgate.operators.profile import (
     starter_recipe,
     text_lines,
 )
+from siltgate.functions.naming import distinct_names, distinct_names_column, safe_name, safe_name_column, safe_names
 from siltgate.sources.delimited import read_delimited
 from pyspark.sql import functions as F
 
@@ -60,9 +64,10 @@ def test_delimiters_are_sure_or_guessed(spark, tmp_path):
         "ragged.csv": "a;b\n1\n2;3;4;5\nx,y\n", "crlf.csv": "a;b\r\n1;2\r\n", "head.csv": "a,b;c\n", "cut.csv": "a;" + "b" * 9000,
     }.items():
         write(tmp_path / name, content)
-    histogram = line_histogram(text_lines(spark, str(tmp_path)))
+    lines = text_lines(spark, str(tmp_path))
+    histogram = line_histogram(lines)
     facts = file_facts(histogram)
-    found = detect_delimiters(delimiter_histogram(histogram, facts, spanning_values(spark, facts))).collect()
+    found = detect_delimiters(delimiter_histogram(histogram, facts, spanning_values(lines, histogram, facts))).collect()
     assert by_name(found, "delimiter", "confident") == {
         "comma.csv": (",", True), "tab.csv": ("\t", True), "pipe.csv": ("|", False),
         "late.csv": (";", False), "late_sure.csv": (";", True), "lines.csv": (";", True), "one.csv": (",", False),
@@ -189,7 +194,68 @@ def test_listing_reads_no_content(spark, folder):
     found = discover_files(spark, str(folder), recursive=True)
     assert sorted(r.kind for r in found.collect()) == ["csv", "csv", "xlsx", "xlsx"]
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string,length:bigint>" in plan
+    assert "ReadSchema: struct<length:bigint>" in plan
+
+
+ODD_NAMES = ["rep[1].csv", "a b.csv", "p%20q+r.csv", "é?*.csv", "{x,y}.csv", "back\\slash.csv", "[0-9] x.xlsx"]
+
+
+@pytest.mark.parametrize("recursive", [True, False])
+def test_names_with_pattern_characters_and_blanks(spark, tmp_path, recursive):
+    folder = tmp_path / "in[a] {b}"
+    book = workbook_bytes({"S": [["Id"], ["x"]]})
+    for n, name in enumerate(ODD_NAMES):
+        write(folder / name, book if name.endswith("xlsx") else f"id,v\n{n},\"two\nlines\"\n")
+    write(folder / "empty [0].csv", "")
+    write(folder / "empty.xlsx", "")
+    write(folder / "col:on.csv", "id,v\n1,2\n")  # no file system of this kind opens such a name
+    write(folder / "part=1" / "deep.csv", "id,v\n1,2\n")
+    profile = profile_folder(spark, str(folder), recursive=recursive).cache()
+    deep = {"deep.csv"} if recursive else set()
+    made = {r.source_path.rpartition("/")[2] for r in profile.where("status = 'created'").collect()}
+    assert made == set(ODD_NAMES) | deep
+    failed = {r.source_path.rpartition("/")[2]: r.code for r in profile.where("status = 'failed'").collect()}
+    assert failed == {"empty [0].csv": "source.empty", "empty.xlsx": "source.empty", "col:on.csv": "source.read_failed"}
+    for name in ("{x,y}.csv", "[0-9] x.xlsx") if recursive else ("back\\slash.csv",):
+        path = str(folder / name)
+        assert inspect_source(spark, path).row_count == 1 and starter_recipe(spark, path, table="t").name == "t"
+    assert sorted(r.id for r in read_delimited(spark, str(folder / "rep[1].csv"), encoding="utf-8", delimiter=",").rows().collect()) == ["0"]
+
+
+def test_a_file_that_is_cut_short_while_read_is_one_failed_entry(spark, tmp_path):
+    """A checksum beside a file that does not fit its later bytes makes reading fail midway."""
+    spark.createDataFrame([("id,v",)] + [(f"{i},x",) for i in range(40_000)], "value string").coalesce(1).write.text(str(tmp_path / "out"))
+    part = next((tmp_path / "out").glob("part-*"))
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / ".broken.csv.crc").write_bytes((tmp_path / "out" / f".{part.name}.crc").read_bytes())
+    raw = bytearray(part.read_bytes())
+    raw[300_000] ^= 1
+    (data / "broken.csv").write_bytes(raw)
+    write(data / "fine.csv", "id,v\n1,2\n")
+    profile = profile_folder(spark, str(data))
+    found = {(r.source_path.rpartition("/")[2], r.status, r.code) for r in profile.collect()}
+    assert found == {("broken.csv", "failed", "source.read_failed"), ("fine.csv", "created", None)}
+
+
+def test_folder_profiles_run_no_python_on_text(spark, folder, monkeypatch):
+    profile = profile_folder(spark, str(folder))
+    assert "Python" not in profile._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_of_headers_and_tables_are_dealt_in_order(spark):
+    """The fold over a header and the rounds over a folder give what dealing one by one gives."""
+    rng = random.Random(2)
+    pool = ["a", "A", "a_2", "a_2_2", "a_3", "b", "b_2", "x" * 64, "x" * 62, "x" * 62 + "_2", "c c", "1", "__"]
+    headers = [[rng.choice(pool) for _ in range(rng.randrange(1, 25))] for _ in range(60)]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "i int, h array<string>")
+    dealt = df.select("i", distinct_names_column(F.transform("h", safe_name_column)).alias("n")).orderBy("i").collect()
+    assert [r.n for r in dealt] == [safe_names(h) for h in headers]
+    names = [safe_name(rng.choice(pool)) for _ in range(45)]
+    rows = list(enumerate(names))
+    rng.shuffle(rows)
+    found = dealt_names(spark.createDataFrame(rows, "i int, n string"), "n", ["i"]).orderBy("i").collect()
+    assert [r.name for r in found] == distinct_names(names)
 
 
 def test_scans_stay_in_the_project(spark, tmp_path, code):
