@@ -31,10 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from siltgate.llm.text import SLICE_BYTES, Hasher, column, runs, text_slices
+from siltgate.llm.text import Hasher, column, runs, text_slices
 
 UNKNOWN = "und"
-MANY = 32  # languages from which slices of text shrink and sequences are not cut, to bound memory
+MANY = 32  # languages from which sequences are not cut, to bound memory
+CELLS = 1 << 22  # bytes of text times languages, and a few more for features, that are labelled at once
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 _KINDS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC6A4A7935BD1E995, 0x87C37B91114253D5)]
@@ -256,14 +257,16 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     fields = [f for f in df.schema.fields if f.name not in ("lang_pred", "score", "certainty") and (keep is None or f.name in keep)]
     names = [f.name for f in fields]
     schema = StructType(fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("certainty", DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # plain arrays, which need no module to be read back
+    settings, languages = model.settings, model.languages
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.transitions, model.lexicon))
     carried = names if text in names else [*names, text]
 
     def run(batches):
-        model, hasher = shared.value, Hasher()
+        model, hasher = Model(settings, languages, *shared.value), Hasher()
         labels = np.array([*model.languages, UNKNOWN], dtype=object)
         many = len(model.languages) > MANY
-        limit = max(1, SLICE_BYTES * MANY // len(model.languages)) if many else SLICE_BYTES
+        limit = max(1, CELLS // (len(model.languages) + 4))
         for batch in batches:
             lowered = pc.utf8_lower(column(batch, text).cast(pa.large_string()).fill_null(""))
             for start, count, data, offsets in text_slices(lowered, limit):

@@ -245,3 +245,16 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), doc_id: str
     linked = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))
     found = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(linked, "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def survivors(df: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of one document of each group, and all rows without an id.
+
+    An id is one document: its rows with different texts all stay, of rows equal in id and text
+    the one that is smallest in the other columns.
+    """
+    groups = near_duplicates(df.select(doc_id, text), settings, doc_id, text)
+    kept = groups.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
+    whole = F.struct(text, *[name for name in df.columns if name not in (doc_id, text)])
+    named = df.join(kept, doc_id).groupBy(doc_id, F.xxhash64(text).alias("text_hash")).agg(F.min(whole).alias("whole"))
+    return named.select(doc_id, "whole.*").select(*df.columns).unionByName(df.where(F.col(doc_id).isNull()))

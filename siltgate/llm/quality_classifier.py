@@ -116,11 +116,11 @@ def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "quality") -> Model:
     """Learn from labelled documents outside the held-out third: a bounded sample by a hash of the id."""
     known = labels.where(F.col(label).isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z AND doc_id IS NOT NULL")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_rows).select(F.col("doc_id").alias("__id"), F.col("y").cast("int").alias("__y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_rows).select("doc_id", F.col("y").cast("int").alias("y"))
     # at most sample_rows rows of two numbers
-    rows = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__y", "text")
-    rows = rows.orderBy(F.xxhash64("__id"), "__id", "text").limit(settings.sample_rows).collect()
-    return train([r["text"] or "" for r in rows], [r["__y"] for r in rows], settings)
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(settings.sample_rows).collect()
+    return train([r["text"] or "" for r in rows], [r["y"] for r in rows], settings)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

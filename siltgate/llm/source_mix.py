@@ -152,3 +152,29 @@ def mix(df: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id",
     taken = found.groupBy(keys).agg(F.sum("words").alias("taken"), F.collect_list("span").alias("spans"))
     none = placed.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"), F.array().cast(taken.schema["spans"].dataType).alias("spans"))
     return taken.unionByName(none).select("doc_id", "copy", "source", "size", "source_size", "target", "taken", "spans")
+
+
+def taken_texts(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The words that the mix takes, a row for each document and pass over its source.
+
+    Rows are those of :func:`mix`, with ``doc_id``, ``text`` and ``source``; other columns are
+    carried along. Words come with the blanks before them, so that neighbouring spans join to the
+    original text; a document taken whole keeps its text as it is.
+    """
+    names = df.columns
+    mixed = mix(df.select("doc_id", "text", "source"), settings).where("taken > 0")
+    whole = df.select(F.struct(*names).alias("row"))
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0))
+    order = ("row.source", "size", F.xxhash64("row.text"))
+    numbered = whole.withColumn("size", size).withColumn("copy", F.row_number().over(Window.partitionBy("row.doc_id").orderBy(*order)))
+    passes = F.explode(F.sequence(F.lit(0), F.lit(settings.repeats - 1))).alias("turn")
+    spans = mixed.select(F.col("doc_id").alias("own_id"), F.col("copy").alias("own_copy"), F.col("size").alias("own_size"), "spans", passes)
+    own = F.array_sort(F.filter("spans", lambda s: s["pass"] == F.col("turn")), lambda a, b: (a["from_word"] - b["from_word"]).cast("int"))
+    spans = spans.withColumn("spans", own).where(F.size("spans") > 0)
+    joined = numbered.join(spans, F.col("row.doc_id").eqNullSafe(F.col("own_id")) & (F.col("copy") == F.col("own_copy")))
+    words = F.regexp_extract_all("row.text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    pieces = joined.withColumn("words", words)
+    cut = F.transform("spans", lambda s: F.array_join(F.slice("words", (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")), ""))
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to_word"] - s["from_word"])
+    text = F.when(taken == F.col("own_size"), F.col("row.text")).otherwise(F.array_join(cut, ""))
+    return pieces.select(*[text.alias("text") if name == "text" else F.col(f"row.`{name}`").alias(name) for name in names])

@@ -6,14 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once. A longer text makes a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
+
+#: Bytes of rows that Spark hands to a task's Python at once.
+BATCH_BYTES = 2 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut the batches for Python by bytes, so that they are small whatever the rows' sizes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values, so that every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(32))

@@ -313,6 +313,24 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
             docs = spark.read.parquet(path)
 
 
+def test_pipeline_keeps_rows_of_one_id_with_different_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "one two three four five six", "en", "b", 1), (1, "uno dos tres cuatro cinco seis", "es", "b", 2), (1, "one two three four five six", "en", "a", 1), (2, "one two three four five six", "en", "b", 1)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), SMALL).collect()
+    assert sorted(map(tuple, kept)) == [(1, "one two three four five six", "en", "a", 1), (1, "uno dos tres cuatro cinco seis", "es", "b", 2)]
+
+
+CLASHING = ["__id", "__y", "id", "y", "__size", "__copy", "__pass", "__words", "size", "copy", "spans", "taken", "row", "words", "turn", "kept", "component_id", "component", "node", "text_hash", "whole", "score", "predicted", "lang_pred", "certainty", "n_tokens", "own_id"]
+
+
+def test_pipeline_stages_take_extra_columns(spark):
+    """Every name that a stage uses inside may also be a column of its input."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).withColumns({name: F.lit("x") for name in CLASHING})
+    for name, stage in corpus_pipeline.STAGES:
+        result = stage(spark, docs, "/root/testdata/sf0.001")
+        assert result.count() > 0 and (name == "tokens" or result.columns == corpus_pipeline.COLUMNS)
+
+
 def test_nothing_else_imports_the_subpackage():
     import subprocess
 

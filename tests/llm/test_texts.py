@@ -106,6 +106,21 @@ def test_language_of_odd_texts(odd):
     assert {r["lang_pred"] for r in language_crf.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_slices_bound_the_memory_of_many_texts():
+    """What is held for 4 MB of texts, besides them, is what one slice of them takes."""
+    import tracemalloc
+
+    from siltgate.llm.text import text_slices
+
+    column = pa.array(["word and another one of these, "*40] * 3200, pa.large_string())
+    for work in (lambda d, o: list(quality_classifier.features(d, o, quality_classifier.Settings(), language_crf.Hasher())), lambda d, o: quality_rules._measure(d, o, language_crf.Hasher())):
+        tracemalloc.start()
+        for _, _, data, offsets in text_slices(column):
+            work(data, offsets)
+        assert tracemalloc.get_traced_memory()[1] < 64e6
+        tracemalloc.stop()
+
+
 def test_language_from_few_words():
     texts = ["alpha beta gamma", "uno dos tres", "rouge vert bleu"]
     model = language_crf.train(texts, ["en", "es", "fr"], language_crf.Settings())
