@@ -7,10 +7,11 @@ its own input only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltgate.llm import bpe, language_crf, minmax, quality_classifier, source_mix
 from siltgate.llm.queries import BYTE_BPE
+from siltgate.llm.text import bounded_batches
 from siltgate.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,12 +19,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be labelled 1."""
+    bounded_batches(spark)
+    docs = docs.select(*COLUMNS)
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; text without letters, or with words that are not surely labelled, goes."""
+    bounded_batches(spark)
+    docs = docs.select(*COLUMNS)
     model = language_crf.fit(docs, quality_classifier.held_out())
     found = language_crf.predict(docs, model)
     # below 0.4 most words fit no language; a text in several languages has sure words
@@ -31,34 +36,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    groups = minmax.near_duplicates(docs, minmax.Settings(words=5, percent=80))
-    kept = groups.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    An id is one document: if its rows hold different texts, all of them stay or go together; of
+    rows equal in id and text one stays. Rows without an id stay.
+    """
+    bounded_batches(spark)
+    return minmax.survivors(docs.select(*COLUMNS), minmax.Settings(words=5, percent=80))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, a row for each document and pass over its source."""
-    mixed = source_mix.mix(docs).where("taken > 0")
-    numbered = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(source_mix.WORD)), F.lit(0)))
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "__size", F.xxhash64("text")))
-    numbered = numbered.withColumn("__copy", copy)
-    spans = mixed.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy2"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("__pass"), "spans", "size")
-    own = F.array_sort(F.filter("spans", lambda s: s["pass"] == F.col("__pass")), lambda a, b: (a["from_word"] - b["from_word"]).cast("int"))
-    spans = spans.withColumn("spans", own).where(F.size("spans") > 0)
-    joined = numbered.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__copy2")))
-    # words with the blanks before them, so that neighbouring spans join to the original text
-    words = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    pieces = joined.withColumn("__words", words)
-    cut = F.transform("spans", lambda s: F.array_join(F.slice("__words", (s["from_word"] + 1).cast("int"), (s["to_word"] - s["from_word"]).cast("int")), ""))
-    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to_word"] - s["from_word"])
-    text = F.when(taken == F.col("size"), F.col("text")).otherwise(F.array_join(cut, ""))
-    return pieces.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    bounded_batches(spark)
+    taken = source_mix.taken_texts(docs.select(*COLUMNS))
+    return taken.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, as digests and counts."""
+    bounded_batches(spark)
     return bpe.encode_documents(docs, BYTE_BPE, keep=["doc_id", "source"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
