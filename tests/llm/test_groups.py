@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import string
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from compare import connect, differences
 from pyspark.sql import functions as F
 
@@ -247,6 +249,51 @@ def test_shards_are_full_and_mixed(spark):
         assert abs(sum(r["rank"] == largest["rank"] for r in own) - 64 * share) <= 5 * math.sqrt(64 * share * (1 - share))
 
 
+def test_shards_hold_drawn_counts(spark):
+    """Tickets, counts and settled slots, worked out again without Spark."""
+    settings = source_mix.Settings(block=4, shard_slots=64)
+    sources = source_mix.targets(source_mix.sizes(spark.read.parquet(f"{SMALL}/documents.parquet")), settings)
+    wanted = sorted((r["first"], r["slots"], r["rank"]) for r in sources.collect() if r["slots"])
+    total = sum(n for _, n, _ in wanted)
+    ends = [first + n for first, n, _ in wanted]
+    counts = Counter()
+    for at in range(total):
+        mark = 42
+        for value in (settings.seed, at // 64, at % 64):
+            mark = xxhash.xxh64_intdigest(value.to_bytes(8, "little"), mark)
+        ticket = (mark - (1 << 64) if mark >> 63 else mark) % total
+        counts[wanted[bisect.bisect_right(ends, ticket)][2], at // 64] += 1
+    assert {(r["rank"], r["shard"]): r["drawn"] for r in source_mix.draws(sources, settings).collect()} == counts
+    slots = source_mix.slots(sources, settings).collect()
+    shown, drawn = Counter(r["rank"] for r in slots), Counter()
+    for (rank, _), n in counts.items():
+        drawn[rank] += n
+    assert shown == {rank: n for _, n, rank in wanted}  # every source has its slots, however the draws fell
+    moved = sum((counts - Counter((r["rank"], r["shard"]) for r in slots)).values())
+    assert moved == sum((drawn - shown).values())  # and only draws too many changed hands
+
+
+def test_mix_query_deals_shards(spark, capsys):
+    queries.QUERIES["op8_source_mix"](spark, SMALL).explain("extended")
+    assert "mix-draws" in capsys.readouterr().out
+
+
+def test_mix_of_many_small_sources_and_equal_rows(spark):
+    rows = [(k, f"w{k} x y", f"s{k}") for k in range(300)] + [(None, "no id here", "hot")] * 200 + [(None, f"none {k}", "hot") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    settings = source_mix.Settings(block=2, shard_slots=8)
+    found = source_mix.mix(df, settings).collect()
+    assert len(found) == len(rows) and sum(r["size"] for r in found) == sum(len(r[1].split()) for r in rows)
+    taken, target = defaultdict(int), {}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target)
+    words = sum(len(r["text"].split()) for r in source_mix.taken_texts(df, settings).collect())
+    assert words == sum(taken.values())
+
+
 def test_mix_is_native(spark, capsys):
     source_mix.mix(spark.read.parquet(f"{SMALL}/documents.parquet")).explain("extended")
     plan = capsys.readouterr().out
