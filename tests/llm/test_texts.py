@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -431,6 +432,64 @@ def test_deep_and_long_pages():
     assert len(html_text.html_to_text("<p>word word</p>" * 20000).split()) == 40000
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><thead><tr><th rowspan=9>h<tbody><tr><td>a<td>b</table>", "h\na  b"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("a<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "a\nyes"),
+        ("<details><summary>s</summary>body</details><details open>more</details>", "s\nmore"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<ol reversed><li>a<li>b</ol><ol reversed start=9><li>c</ol>", "2. a\n1. b\n\n9. c"),
+        ("Go<input value=typed>x<meter>m</meter><progress>p</progress>", "Go typed x m p"),
+        ("<tr><table>x", "x"),
+    ],
+)
+def test_spans_visibility_numbers_and_controls(page, text):
+    assert html_text.html_to_text(page) == text
+
+
+def test_tables_with_spans_against_plain_placing():
+    rng = random.Random(8)
+    for _ in range(200):
+        n_rows, n_columns = rng.randint(1, 6), rng.randint(1, 6)
+        owner, cells = {}, []
+        for r in range(n_rows):
+            for c in range(n_columns):
+                if (r, c) in owner:
+                    continue
+                across, down = rng.choice([(1, 1), (1, 1), (1, 2), (2, 1), (2, 2)])
+                across = next((k for k in range(1, across) if (r, c + k) in owner or c + k >= n_columns), across)
+                down = min(down, n_rows - r)
+                cells.append((r, c, across, down, "x" * rng.randint(1, 5) if across == 1 else "y"))
+                owner |= dict.fromkeys([(r + i, c + k) for i in range(down) for k in range(across)], len(cells) - 1)
+        wide = [max([len(t) for _, at, across, _, t in cells if at == c and across == 1], default=0) for c in range(n_columns)]
+        for _, c, across, _, t in cells:
+            wide[c + across - 1] += max(0, len(t) - sum(wide[c : c + across]) - 2 * (across - 1))
+        page, lines = "<table>", []
+        for r in range(n_rows):
+            page += "<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for at, _, a, d, t in cells if at == r)
+            line = [" "] * 100
+            for at, c, _, _, t in cells:
+                if at == r:
+                    start = sum(wide[:c]) + 2 * c
+                    line[start : start + len(t)] = t
+            if any(at == r for at, *_ in cells):
+                lines.append("".join(line).rstrip())
+        assert html_text.html_to_text(page) == "\n".join(lines), page
+
+
+def test_pages_of_any_shape_take_time_and_room_in_proportion():
+    for piece, n in [("<div>", 200000), ("</i>", 200000), ("<ul><li>x", 30000), ("<p><button><div>", 30000), ("<table><tr><td>x", 10000), ("<table><tr><td colspan=1000 rowspan=65534>a<td>b", 5000), ("<dl><dd>x", 10000)]:
+        start = time.monotonic()
+        page = "<p>x" + piece * n
+        assert len(html_text.html_to_text(page)) <= 20 * len(page)
+        assert time.monotonic() - start < 30
+    wide = "<table><tr><td>" + "w" * 48000 + "<td>x" + "<tr><td>a<td>b" * 3500
+    assert len(html_text.html_to_text(wide)) < 2 * len(wide) and html_text.html_to_text(wide).split() == ["w" * 48000, "x", *["a", "b"] * 3500]
+
+
 def test_pages_keep_all_visible_words(spark):
     """Against a scan that drops comments, scripts, styles, titles and tags."""
     rows = html_text.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()
