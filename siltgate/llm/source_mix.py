@@ -157,10 +157,12 @@ def slots(sources: DataFrame, settings: Settings) -> DataFrame:
     within = Window.partitionBy("shard")
     ahead = F.sum("drawn").over(within.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("drawn")
     placed = placed.withColumn("ahead", ahead).withColumn("all", F.sum("drawn").over(within))
-    placed = placed.repartition(_parts(sources), "rank", "shard").join(settled, "rank")
+    placed = placed.repartition(_parts(sources), "rank", "shard").join(settled.select("rank", "draws"), "rank")
     each = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
-    each = each.withColumn("index", permuted(F.col("before") + F.col("i"), F.col("draws"), F.col("rank") + 1000003, settings))
-    each = each.withColumn("slot", permuted(F.col("ahead") + F.col("i"), F.col("all"), F.col("shard") * 7 + 3, settings))
+    index = permuted(F.col("before") + F.col("i"), F.col("draws"), F.col("rank") + 1000003, settings)
+    slot = permuted(F.col("ahead") + F.col("i"), F.col("all"), F.col("shard") * 7 + 3, settings)
+    # written, because Spark would work a permutation out again wherever its result is used
+    each = scratch_table(each.select("rank", "shard", index.alias("index"), slot.alias("slot")), "mix-places").join(settled, "rank")
     own = ["rank", "source_size", "quota"]
     kept = each.where("index < slots").select(*own, "index", "shard", "slot")
     spare = F.col("over_first") + F.col("index") - F.col("slots")
