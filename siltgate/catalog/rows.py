@@ -8,7 +8,7 @@ from siltgate.catalog.raw import EDITED_SQL, RECIPE, raw_source, recipe_plan
 from siltgate.catalog.registry import query
 from siltgate.engine import Plan, compile_recipe
 from siltgate.operators.accounting import row_accounting
-from siltgate.operators.rejects import CSV_OUTPUT, reject_report, write_rejects
+from siltgate.operators.rejects import read_manifest, read_rejects, reject_report, write_rejects
 from siltgate.operators.tracked import ROW_INDEX
 from siltgate.session import scratch_path
 
@@ -107,8 +107,24 @@ def report(spark, sf_dir):
 def reject_file(spark, sf_dir):
     """Rejects written as CSV and read back as text."""
     folder = write_rejects(recipe_plan(spark, sf_dir).frame, scratch_path(spark, "rejects"))
-    back = spark.read.options(**{**CSV_OUTPUT, "nullValue": "\u0000"}).csv(folder)
-    return plain_names(back.withColumn("__value", F.coalesce("__value", F.lit(""))))
+    return plain_names(read_rejects(spark, folder))
+
+
+@query(
+    "reject_manifest",
+    f"""WITH {EDITED_SQL} SELECT count(*) AS rejects, min(row_index) AS first_row, max(row_index) AS last_row, 0 AS misplaced
+        FROM all_rejects""",
+)
+def reject_manifest(spark, sf_dir):
+    """What the manifest of a reject folder tells, and how many rejects its files hold outside the rows it names."""
+    folder = write_rejects(recipe_plan(spark, sf_dir).frame, scratch_path(spark, "rejects"))
+    manifest, number = read_manifest(spark, folder), F.col(ROW_INDEX).cast("bigint")
+    held = spark.read.options(header=True, quote='"', escape='"').csv(folder).select(F.col("_metadata.file_name").alias("part"), number.alias("n"))
+    named = held.join(manifest, "part", "left")
+    astray = named.agg(F.count_if(~F.coalesce(F.col("n").between(F.col("first_row"), F.col("last_row")), F.lit(False))).alias("n")).first().n
+    return manifest.agg(
+        F.sum("rows").alias("rejects"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.lit(astray).alias("misplaced")
+    )
 
 
 DRIFTED_SCHEMA = [

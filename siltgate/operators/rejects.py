@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltgate.functions.text import plain_text
 from siltgate.operators.tracked import ROW_INDEX, Finding, TrackedFrame
-from siltgate.session import scratch_table
 
 # Metadata columns of a reject row, in order.
 METADATA_COLUMNS = ("__stage", ROW_INDEX, "__column", "__check", "__value", "__reason")
@@ -25,6 +24,11 @@ CSV_OUTPUT = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
+# A text that no cell is, so that none is read as null.
+_NO_CELL = "\u0000"
+# A folder beside the files, which readers of the folder skip.
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = "part string, rows bigint, first_row bigint, last_row bigint"
 
 
 def found_rejects(frame: TrackedFrame) -> DataFrame:
@@ -84,16 +88,40 @@ def ordered_rejects(frame: TrackedFrame, found: DataFrame | None = None) -> Data
 
 
 def write_rejects(frame: TrackedFrame, folder: str, found: DataFrame | None = None) -> str:
-    """Write the reject rows as a folder of CSV files with headers; parts are in row order.
+    """Write the reject rows as a folder of CSV files with headers, and a manifest of the files.
 
-    A range sort reads its input twice, so the rejects are found once, into a scratch table.
+    Rejects are written by the tasks that find them, without a shuffle. Each file is in row
+    order; the manifest tells which rows it spans.
     """
-    stored = scratch_table(found_rejects(frame), "rejects") if found is None else found
-    with _names_by_case(stored.sparkSession, frame):
-        ordered_rejects(frame, stored).write.mode("errorifexists").options(**CSV_OUTPUT).csv(folder)
+    found = found_rejects(frame) if found is None else found
+    rows = numbered_rejects(frame, found, with_order=True).sortWithinPartitions(ROW_INDEX, FINDING_ORDER).drop(FINDING_ORDER)
+    with _names_by_case(found.sparkSession, frame):
+        rows.write.mode("errorifexists").options(**CSV_OUTPUT).csv(folder)
+        _list_parts(_parts(found.sparkSession, folder)).write.json(f"{folder}/{MANIFEST}")
     return folder
 
 
+def read_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The reject rows of a written folder, as text, in no order; empty cells are empty text."""
+    return _parts(spark, folder).na.fill("")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per file with rejects: its name, how many it holds, its first and last row number."""
+    return spark.read.schema(MANIFEST_SCHEMA).json(f"{folder}/{MANIFEST}")
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.options(**CSV_OUTPUT, multiLine=True, nullValue=_NO_CELL).csv(folder)
+
+
+def _list_parts(rejects: DataFrame) -> DataFrame:
+    number = F.col(ROW_INDEX).cast("bigint")
+    return rejects.groupBy(F.col("_metadata.file_name").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(number).alias("first_row"), F.max(number).alias("last_row")
+    )
+
+
 @contextmanager
 def _names_by_case(spark: SparkSession, frame: TrackedFrame) -> Iterator[None]:
     """Let an output have columns whose names differ by case alone, where it has such."""
