@@ -8,7 +8,7 @@ from siltgate.engine import Plan, RunResult, Workspace, compile_recipe, load, va
 from siltgate.errors import Diagnostic, EngineError, ResultCode
 from siltgate.operators.profile import inspect_source, profile_folder, starter_recipe
 from siltgate.plans.recipe import Recipe, Settings, resolve_settings
-from siltgate.sinks.runlog import find_run, list_runs
+from siltgate.sinks.runlog import compact_runs, find_run, list_runs, newest_runs
 from siltgate.sources.open import open_source
 from siltgate.sources.tables import from_dataframe
 
@@ -24,12 +24,14 @@ __all__ = [
     "RunResult",
     "Settings",
     "Workspace",
+    "compact_runs",
     "compile_recipe",
     "find_run",
     "from_dataframe",
     "inspect_source",
     "list_runs",
     "load",
+    "newest_runs",
     "open_source",
     "profile_folder",
     "resolve_settings",

@@ -11,7 +11,7 @@ from siltgate.catalog.registry import query, table
 from siltgate.engine import Workspace, load
 from siltgate.plans.recipe import resolve_settings
 from siltgate.plans.types import parse_schema
-from siltgate.session import scratch_path
+from siltgate.session import scratch_path, scratch_table
 from siltgate.sinks import runlog
 from siltgate.sinks.tables import append_rows, create_table
 
@@ -171,3 +171,31 @@ def run_log_corrupt(spark, sf_dir):
     broken = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.concat(F.lit("{bad "), "props").alias("value"))
     broken.write.mode("append").text(folder)
     return runlog.corrupt_lines(spark, folder)
+
+
+@query(
+    "run_log_newest",
+    f"WITH {LOG_SQL} SELECT {LOG_COLUMNS_SQL} FROM log QUALIFY row_number() OVER (PARTITION BY \"table\" ORDER BY ts DESC, run_id DESC) = 1",
+)
+def run_log_newest(spark, sf_dir):
+    return runlog.newest_runs(spark, event_log(spark, sf_dir)).select(*LOG_COLUMNS)
+
+
+@query(
+    "run_log_compacted",
+    f"""WITH {LOG_SQL} SELECT {LOG_COLUMNS_SQL} FROM log
+        UNION ALL SELECT run_id || '_again', recipe, "table", duration_ms, exit_code FROM log WHERE recipe = 'error'
+        UNION ALL SELECT run_id || '_late', recipe, "table", duration_ms, exit_code FROM log WHERE recipe = 'error'""",
+)
+def run_log_compacted(spark, sf_dir):
+    """A log compacted twice, with records added before each compaction and after the last."""
+    folder = event_log(spark, sf_dir)
+    errors = runlog.run_records(spark, folder).where("recipe = 'error'")
+    added = [
+        scratch_table(errors.withColumn("run_id", F.concat("run_id", F.lit(suffix))).select(*runlog.run_schema().names), "runs")
+        for suffix in ("_again", "_late")
+    ]
+    for records in added:
+        runlog.compact_runs(spark, folder)
+        runlog.append_runs(records, folder)
+    return runlog.list_runs(spark, folder).select(*LOG_COLUMNS)

@@ -9,7 +9,7 @@ import pytest
 
 from siltgate.functions.casting import translate_format
 from siltgate.operators.edits import apply_edits
-from siltgate.operators.rejects import ordered_rejects, reject_rows, write_rejects
+from siltgate.operators.rejects import ordered_rejects, read_manifest, read_rejects, reject_rows, write_rejects
 from siltgate.plans.types import parse_schema
 
 
@@ -196,3 +196,20 @@ def test_reject_files_hold_text_as_it_was(frame, spark, tmp_path):
     back = spark.read.options(header=True, quote='"', escape='"').csv(folder).first().asDict()
     assert back["a"] == ' "q", x ' and back["b"] is None and back["c"] == "12345678.5"
     assert back["__row_index"] == "1" and back["__reason"] == "Could not cast value to int."
+
+
+def test_a_manifest_names_the_rows_of_each_reject_file(frame, spark, tmp_path):
+    start = frame([("x\ny",), ("1",), ("z",)] * 40, "a string")
+    folder = write_rejects(apply_edits(start, [{"cast": {"a": {"type": "int"}}}]), str(tmp_path / "rejects"))
+    bad = [n for n in range(1, 121) if n % 3 != 2]
+    held = read_rejects(spark, folder).selectExpr("_metadata.file_name AS part", "int(__row_index) AS n", "a", "__value AS v").collect()
+    assert sorted(r.n for r in held) == bad and all(r.a == r.v == ("x\ny" if r.n % 3 == 1 else "z") for r in held)
+    for part in read_manifest(spark, folder).collect():
+        numbers = [r.n for r in held if r.part == part.part]
+        assert (part.rows, part.first_row, part.last_row) == (len(numbers), min(numbers), max(numbers)) and numbers == sorted(numbers)
+
+
+def test_no_rejects_leave_an_empty_manifest(frame, spark, tmp_path):
+    done = apply_edits(frame([("1",)], "a string"), [{"cast": {"a": {"type": "int"}}}])
+    folder = write_rejects(done, str(tmp_path / "rejects"))
+    assert read_manifest(spark, folder).collect() == [] and read_rejects(spark, folder).count() == 0
