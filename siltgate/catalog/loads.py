@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from siltgate.catalog.raw import EDITED_SQL, RECIPE, raw_source, recipe_plan
 from siltgate.catalog.registry import query, table
 from siltgate.engine import Workspace, load
+from siltgate.errors import EngineError
 from siltgate.plans.recipe import resolve_settings
 from siltgate.plans.types import parse_schema
 from siltgate.session import scratch_path, scratch_table
@@ -66,19 +67,60 @@ def table_append_drift(spark, sf_dir):
     append_rows(spark, name, live, rows, resolve_settings())
     result = load(spark, target(name, "append"), workspace=workspace(spark), source=raw_source(spark, sf_dir))
     diffs = result.diagnostics[0].details["diffs"]
-    found = F.array(
+    return spark.table(name).agg(F.count(F.lit(1)).alias("rows_kept")).select(F.inline(_listed(diffs)), "rows_kept")
+
+
+@query(
+    "table_drift_kinds",
+    f"""WITH {EDITED_SQL}, drift(live, position, chk, col, expected, actual) AS (VALUES
+          ('other', 1, 'engine', NULL, 'parquet', 'orc'), ('other', 2, 'charset', NULL, 'utf8', 'latin1'),
+          ('other', 3, 'collation', NULL, 'UTF8_BINARY', 'UTF8_LCASE'), ('other', 4, 'missing_column', 'price', NULL, NULL),
+          ('other', 5, 'extra_column', 'note', NULL, NULL), ('other', 6, 'type', 'cust', 'BIGINT', 'INT'),
+          ('other', 7, 'nullability', 'cust', 'False', 'True'), ('other', 8, 'column_charset', 'status', 'utf8', 'latin1'),
+          ('other', 9, 'column_collation', 'status', 'UTF8_BINARY', 'UTF8_LCASE'),
+          ('moved', 1, 'column_order', NULL, 'order_id,cust,status,price', 'price,status,cust,order_id'))
+        SELECT drift.*, (SELECT count(*) FROM clean) AS rows_kept FROM drift""",
+)
+def table_drift_kinds(spark, sf_dir):
+    """Every kind of difference, as appends to two filled tables report them; both keep their rows."""
+    database, rows = own_database(spark), recipe_plan(spark, sf_dir).accepted()
+    declared = [
+        {"name": "order_id", "type": "BIGINT", "nullable": False},
+        {"name": "cust", "type": "BIGINT", "nullable": False},
+        {"name": "status", "type": "TEXT"},
+        {"name": "price", "type": "DECIMAL(12,2)"},
+    ]
+    other = [declared[0], {"name": "cust", "type": "INT"}, declared[2], {"name": "note", "type": "TEXT"}]
+    foreign = resolve_settings({"engine": "orc", "charset": "latin1", "collation": "UTF8_LCASE"})
+    tables = {"other": (other, foreign), "moved": (declared[::-1], resolve_settings())}
+    found = []
+    for name, (columns, settings) in tables.items():
+        append_rows(spark, f"{database}.{name}", parse_schema(columns), rows.withColumn("note", F.col("priority")), settings)
+        try:
+            append_rows(spark, f"{database}.{name}", parse_schema(declared), rows, resolve_settings())
+        except EngineError as error:
+            diffs = error.diagnostic.details["diffs"]
+        found.append(spark.table(f"{database}.{name}").agg(F.count(F.lit(1)).alias("rows_kept")).select(F.lit(name).alias("live"), F.inline(_listed(diffs)), "rows_kept"))
+    return found[0].unionByName(found[1])
+
+
+def _listed(diffs: list[dict]) -> Column:
+    """The differences as an array of structs with their places."""
+
+    def shown(diff: dict, side: str) -> Column:
+        value = diff.get(side)
+        text = ",".join(value) if isinstance(value, list) else str(value)
+        return F.lit(text if side in diff else None).cast("string").alias(side)
+
+    return F.array(
         *[
             F.struct(
-                F.lit(place).alias("position"),
-                F.lit(diff["check"]).alias("chk"),
-                F.lit(diff.get("column")).alias("col"),
-                F.lit(str(diff["expected"]) if "expected" in diff else None).cast("string").alias("expected"),
-                F.lit(str(diff["actual"]) if "actual" in diff else None).cast("string").alias("actual"),
+                F.lit(place).alias("position"), F.lit(diff["check"]).alias("chk"), F.lit(diff.get("column")).cast("string").alias("col"),
+                shown(diff, "expected"), shown(diff, "actual"),
             )
             for place, diff in enumerate(diffs, start=1)
         ]
     )
-    return spark.table(name).agg(F.count(F.lit(1)).alias("rows_kept")).select(F.inline(found), "rows_kept")
 
 
 @query("table_replace", f"WITH {EDITED_SQL} SELECT * FROM clean")

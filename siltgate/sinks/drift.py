@@ -15,6 +15,8 @@ from siltgate.plans.types import DeclaredColumn, normal_type
 
 # Spark keeps no NOT NULL for file tables, so the names of required columns are a property.
 REQUIRED_PROPERTY = "siltgate.required"
+# Nor has it charsets: the one a table was declared with is a property too.
+CHARSET_PROPERTY = "siltgate.charset"
 
 # Declared spelling of the Spark types whose names differ.
 LIVE_TYPES = {"string": "TEXT", "timestamp_ntz": "DATETIME"}
@@ -44,7 +46,8 @@ def live_table(spark: SparkSession, table: str) -> LiveTable | None:
     described = json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(table)} AS JSON").first()[0])
     # Only the plain description keeps VARCHAR lengths.
     listed = spark.sql(f"DESCRIBE TABLE {quoted(table)}").collect()
-    required = json.loads(described.get("table_properties", {}).get(REQUIRED_PROPERTY, "[]"))
+    properties = described.get("table_properties", {})
+    required, charset = json.loads(properties.get(REQUIRED_PROPERTY, "[]")), properties.get(CHARSET_PROPERTY)
     columns = []
     for row in listed[: len(described["columns"])]:
         name, _, collation = row.data_type.partition(" collate ")
@@ -54,10 +57,11 @@ def live_table(spark: SparkSession, table: str) -> LiveTable | None:
                 name=row.col_name,
                 type=LIVE_TYPES.get(name, name),
                 nullable=row.col_name not in required,
+                charset=charset if text else None,
                 collation=(collation or "UTF8_BINARY") if text and name == "string" else None,
             )
         )
-    return LiveTable(described.get("provider", ""), described.get("collation", "UTF8_BINARY"), tuple(columns))
+    return LiveTable(described.get("provider", ""), described.get("collation", "UTF8_BINARY"), tuple(columns), charset)
 
 
 def schema_drift(declared: Sequence[DeclaredColumn], live: LiveTable, settings: Settings) -> list[dict[str, Any]]:
@@ -76,7 +80,7 @@ def _same(left: str | None, right: str | None) -> bool:
 def _option_drift(live: LiveTable, settings: Settings) -> Iterator[dict[str, Any]]:
     for check in ("engine", "charset", "collation"):
         expected, actual = getattr(settings, check), getattr(live, check)
-        # Spark strings have one charset, so its tables report none.
+        # tables of other makers report no charset
         if not (check == "charset" and actual is None) and not _same(expected, actual):
             yield {"check": check, "expected": expected, "actual": actual}
 

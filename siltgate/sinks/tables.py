@@ -11,7 +11,7 @@ from siltgate.errors import ResultCode, fail
 from siltgate.functions.naming import companion_name, companion_pattern, quoted, split_identifier
 from siltgate.plans.recipe import Settings
 from siltgate.plans.types import DeclaredColumn
-from siltgate.sinks.drift import REQUIRED_PROPERTY, live_table, schema_drift
+from siltgate.sinks.drift import CHARSET_PROPERTY, REQUIRED_PROPERTY, live_table, schema_drift
 
 
 def create_table(
@@ -45,7 +45,8 @@ def create_table_ddl(table: str, schema: Sequence[DeclaredColumn], settings: Set
     required = _literal(json.dumps([c.name for c in schema if not c.nullable]))
     return (
         f"CREATE TABLE {quoted(table)} ({columns}) USING {settings.engine} {f'LOCATION {_literal(folder)} ' if folder else ''}"
-        f"DEFAULT COLLATION {settings.collation} TBLPROPERTIES ('{REQUIRED_PROPERTY}' = {required})"
+        f"DEFAULT COLLATION {settings.collation} "
+        f"TBLPROPERTIES ('{REQUIRED_PROPERTY}' = {required}, '{CHARSET_PROPERTY}' = {_literal(settings.charset)})"
     )
 
 
