@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltgate.catalog.raw import ORDERS_RAW_SQL, orders_raw
@@ -12,14 +14,15 @@ from siltgate.operators.tracked import ROW_INDEX
 from siltgate.session import scratch_path
 from siltgate.sources.base import Source
 from siltgate.sources.delimited import faulty_files, list_files, read_delimited, record_faults
+from siltgate.sources.open import open_source
 from siltgate.sources.tables import read_parquet
 
 # Rows per written file: small enough for several files in a test, and bounded at any scale.
 FILE_ROWS = 5_000
 
 
-def written_csv(df: DataFrame, **options) -> str:
-    folder = scratch_path(df.sparkSession, "csv")
+def written_csv(df: DataFrame, suffix: str = "", **options) -> str:
+    folder = scratch_path(df.sparkSession, "csv") + suffix
     df.write.options(**{**CSV_OUTPUT, **options}).csv(folder)
     return folder
 
@@ -203,3 +206,23 @@ def csv_header_checks(spark, sf_dir):
     return per_group.join(
         counts, per_group.g == F.regexp_replace("o_orderpriority", "[^A-Za-z0-9-]", ".")
     ).select(F.col("o_orderpriority").alias("file_group"), "code", "columns", "records")
+
+
+@query(
+    "source_formats",
+    """SELECT f.kind, f.named, c.o_orderkey, c.o_totalprice FROM (VALUES ('csv', 'suffix'), ('parquet', 'suffix'), ('csv', 'format'), ('parquet', 'format')) f(kind, named),
+         (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS o_totalprice FROM orders) c""",
+)
+def source_formats(spark, sf_dir):
+    """One table as text and as Parquet, opened by the suffix of its path and by a declared format."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"))
+    opened = []
+    for kind in ("csv", "parquet"):
+        for named, suffix, declared in (("suffix", f".{kind.upper()}", None), ("format", ".data", kind)):
+            folder = written_csv(rows, suffix) if kind == "csv" else scratch_path(spark, "parquet") + suffix
+            if kind == "parquet":
+                rows.write.parquet(folder)
+            section = {"path": folder, "format": declared, "encoding": "utf-8", "delimiter": ","}
+            texts = [F.col(name).cast("string").alias(name) for name in rows.columns]
+            opened.append(open_source(spark, section).rows().select(F.lit(kind).alias("kind"), F.lit(named).alias("named"), *texts))
+    return functools.reduce(DataFrame.union, opened)

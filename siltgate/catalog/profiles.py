@@ -7,6 +7,7 @@ from pyspark.sql import Column, SparkSession, functions as F
 from siltgate.catalog.files import FILE_ROWS, with_lines_above, written_csv, written_lines
 from siltgate.catalog.raw import ORDERS_RAW_SQL, orders_raw
 from siltgate.catalog.registry import query, table
+from siltgate.engine import validate
 from siltgate.functions.naming import safe_name_column
 from siltgate.operators.profile import (
     delimiter_histogram,
@@ -20,6 +21,7 @@ from siltgate.operators.profile import (
     line_histogram,
     profile_folder,
     source_summary,
+    starter_recipe,
     text_lines,
 )
 from siltgate.sources.delimited import read_delimited
@@ -128,6 +130,26 @@ def infer_raw(spark, sf_dir):
     return infer_schema(raw).withColumnRenamed("column", "col")
 
 
+@query(
+    "starter_recipe",
+    f"""WITH {ORDERS_RAW_SQL}, proposed AS ({" UNION ALL ".join(f"{proposal_sql(i, n, n)} FROM raw" for i, n in enumerate(RAW_NAMES, start=1))})
+        SELECT proposed.*, CASE position WHEN 1 THEN 'Order ID' ELSE col END AS source_column, 'orders_raw' AS recipe, ';' AS delimiter,
+               (SELECT count(*) FROM raw) AS validated, (SELECT count(*) FROM raw) AS read_rows FROM proposed""",
+)
+def starter(spark, sf_dir):
+    """The recipe proposed for a text source, and the counts of validating it as it is."""
+    path = written_csv(orders_raw(spark, sf_dir).drop("row_index"), ".csv", sep=";")
+    recipe = starter_recipe(spark, path, table="Orders RAW")
+    result = validate(spark, recipe)
+    before = {new: old for edit in recipe.edits for old, new in edit.get("rename", {}).items()}
+    rows = [
+        (i, c.name, c.type.text, before.get(c.name, c.name), recipe.name, recipe.source["delimiter"], result.rows["validated"], result.rows["read"])
+        for i, c in enumerate(recipe.schema, start=1)
+    ]
+    schema = "position int, col string, type string, source_column string, recipe string, delimiter string, validated bigint, read_rows bigint"
+    return spark.createDataFrame(rows, schema)
+
+
 @query(
     "infer_schema_typed",
     f"""SELECT 1 AS position, 'doc_id' AS col, 'BIGINT' AS type UNION ALL {proposal_sql(2, 'text', 'text')} FROM documents

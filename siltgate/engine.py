@@ -19,7 +19,7 @@ from siltgate.operators.rejects import found_rejects, reject_rows, write_rejects
 from siltgate.operators import staging
 from siltgate.operators.tracked import TrackedFrame
 from siltgate.plans.recipe import Recipe, Settings, resolve_settings
-from siltgate.session import require_utc, scratch_table
+from siltgate.session import remove_folder, require_utc, scratch_path, stored_table
 from siltgate.sinks import runlog
 from siltgate.sinks.tables import StagedReplace, append_rows
 from siltgate.sources.base import Source
@@ -192,16 +192,17 @@ def _append(spark: SparkSession, plan: Plan, workspace: Workspace, run_id: str,
         staged = staging.stage_rows(plan.counted_by(observation, located=bool(plan.frame.findings)).frame, plan.recipe.schema)
     except JOB_ERRORS as error:
         raise _unreadable(plan, error) from error
-    judged = _judged(spark, plan, observation.get, workspace, "load", run_id, started, staged.found_rejects())
-    if judged.result_code != ResultCode.SUCCESS:
-        return judged
 
     def insert() -> int:
         _same_rows(judged, staged.count_accepted())
         loaded = append_rows(spark, judged.table, plan.recipe.schema, staged.accepted(), plan.settings)
         return _same_rows(judged, loaded)
 
-    return _sunk(judged, insert)
+    try:
+        judged = _judged(spark, plan, observation.get, workspace, "load", run_id, started, staged.found_rejects())
+        return _sunk(judged, insert) if judged.result_code == ResultCode.SUCCESS else judged
+    finally:
+        staged.discard()
 
 
 def _same_rows(judged: RunResult, rows: int) -> int:
@@ -286,17 +287,21 @@ def _counted(
     spark: SparkSession, plan: Plan, workspace: Workspace | None, command: str, run_id: str, started: dt.datetime
 ) -> RunResult:
     """Take the counts in one scan, which also finds the rejects if they are to be written."""
-    found = None
+    found, path = None, scratch_path(spark, "rejects")
     try:
         if workspace is None or not plan.frame.findings:
             counts = plan.counts()
         else:
             observation = Observation()
-            found = scratch_table(found_rejects(plan.counted_by(observation, located=True).frame), "rejects")
+            found = stored_table(found_rejects(plan.counted_by(observation, located=True).frame), path)
             counts = observation.get
     except JOB_ERRORS as error:
+        remove_folder(spark, path)
         raise _unreadable(plan, error) from error
-    return _judged(spark, plan, counts, workspace, command, run_id, started, found)
+    try:
+        return _judged(spark, plan, counts, workspace, command, run_id, started, found)
+    finally:
+        remove_folder(spark, path)
 
 
 def _judged(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from siltgate.operators.rejects import listed_findings
 from siltgate.operators.tracked import TrackedFrame
 from siltgate.plans.types import DeclaredColumn
-from siltgate.session import scratch_table
+from siltgate.session import remove_folder, scratch_path, stored_table
 
 _FINDINGS, _FAILED = "__findings", "__failed"
 
@@ -26,6 +26,7 @@ class StagedRows:
     table: DataFrame
     schema: tuple[DeclaredColumn, ...]
     original: tuple[str, ...]
+    path: str
 
     def accepted(self) -> DataFrame:
         """Rows without a finding, under their declared names."""
@@ -39,6 +40,9 @@ class StagedRows:
     def count_accepted(self) -> int:
         return self.table.where(F.col(_FINDINGS).isNull()).count()
 
+    def discard(self) -> None:
+        remove_folder(self.table.sparkSession, self.path)
+
 
 def stage_rows(frame: TrackedFrame, schema: Iterable[DeclaredColumn]) -> StagedRows:
     """Write what loads and rejects need of every row, in one job over the source."""
@@ -48,4 +52,5 @@ def stage_rows(frame: TrackedFrame, schema: Iterable[DeclaredColumn]) -> StagedR
     findings = F.when(failed, F.array_compact(listed_findings(frame))).alias(_FINDINGS)
     values = [F.when(~failed, frame.value(column.name)).alias(f"a{i}") for i, column in enumerate(schema)]
     kept = [F.when(failed, F.col(slot)).alias(slot) for slot in original]
-    return StagedRows(scratch_table(judged.select(*values, *kept, findings), "staged"), schema, original)
+    path = scratch_path(frame.df.sparkSession, "staged")
+    return StagedRows(stored_table(judged.select(*values, *kept, findings), path), schema, original, path)

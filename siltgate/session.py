@@ -40,11 +40,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def scratch_table(df: DataFrame, label: str) -> DataFrame:
     """Write a result to the scratch folder and read it back: its inputs never run again."""
-    path = scratch_path(df.sparkSession, label)
+    return stored_table(df, scratch_path(df.sparkSession, label))
+
+
+def stored_table(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path that the caller knows, to remove it after use."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a file, or a folder and all below it; it may be absent."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
+
+
 def require_utc(spark: SparkSession) -> None:
     """Formatted datetimes pass through zoned timestamps, which only UTC keeps unchanged."""
     zone = spark.conf.get("spark.sql.session.timeZone")

@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from siltgate.errors import ResultCode, fail
+from siltgate.session import remove_folder
 from siltgate.sources.files import decoded_path, listed_files, literal, root_path
 
 CORRUPT = "_corrupt_record"
@@ -151,7 +152,7 @@ def compact_runs(spark: SparkSession, folder: str) -> int:
     records = spark.read.schema(run_schema()).json(literal(draft)).count()
     number = int(newest.rpartition(GENERATION)[2]) + 1 if newest else 1
     if not _publish(spark, draft, f"{root}/{GENERATION}{number:010d}"):
-        _remove(spark, draft)
+        remove_folder(spark, draft)
         return 0
     _remove_covered(spark, folder, newest)
     return records
@@ -176,15 +177,10 @@ def _remove_covered(spark: SparkSession, folder: str, before: str | None) -> Non
     if before is None:
         return
     for row in spark.read.parquet(literal(f"{before}/{COVERED}")).toLocalIterator():
-        _remove(spark, row.file)
+        remove_folder(spark, row.file)
     for generation in _generations(spark, folder):
         if generation < before:
-            _remove(spark, generation)
-
-
-def _remove(spark: SparkSession, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(spark, generation)
 
 
 def corrupt_lines(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,7 @@ from siltgate.errors import ResultCode, fail
 from siltgate.functions.naming import companion_name, companion_pattern, quoted, split_identifier
 from siltgate.plans.recipe import Settings
 from siltgate.plans.types import DeclaredColumn
+from siltgate.session import remove_folder
 from siltgate.sinks.drift import CHARSET_PROPERTY, REQUIRED_PROPERTY, live_table, schema_drift
 
 
@@ -196,11 +197,6 @@ def _folder(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    files, folder = _folder(spark, path)
-    files.delete(folder, True)
-
-
 def mark_superseded(spark: SparkSession, path: str) -> None:
     files, mark = _folder(spark, f"{path}/{SUPERSEDED}")
     if files.exists(mark.getParent()):

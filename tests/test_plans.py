@@ -14,10 +14,10 @@ from siltgate.sinks.runlog import mask_secrets
 
 def minimal(**changes):
     recipe = {
-        "name": "sellers",
-        "source": {"path": "sellers.csv", "encoding": "utf-8", "delimiter": ","},
-        "target": {"table": "dim_sellers", "mode": "append"},
-        "schema": [{"name": "seller_id", "type": "BIGINT"}],
+        "name": "gauges",
+        "source": {"path": "gauges.csv", "encoding": "utf-8", "delimiter": ","},
+        "target": {"table": "gauges", "mode": "append"},
+        "schema": [{"name": "gauge", "type": "BIGINT"}],
     }
     return {**recipe, **changes}
 
@@ -86,7 +86,7 @@ def test_recipe_needs_its_sections(code):
 
 
 def test_recipe_survives_a_round_trip():
-    recipe = Recipe.from_dict(minimal(edits=[{"trim": ["seller_id"]}], options={"reject_threshold": 0}))
+    recipe = Recipe.from_dict(minimal(edits=[{"trim": ["gauge"]}], options={"reject_threshold": 0}))
     assert Recipe.from_dict(recipe.to_dict()) == recipe
 
 
