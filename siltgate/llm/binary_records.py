@@ -24,24 +24,30 @@ no records. Extra columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from siltgate.llm.bpe import byte_letters
-from siltgate.llm.text import column
+from siltgate.llm.text import column, text_slices
 
 NO_ID = -(1 << 63)
 HEAD, TAIL = 12, 5  # bytes of a frame around its payload
-CACHE_WORDS = 800_000
-ROWS = 512
+#: Pieces of words that are remembered.
+CACHE_WORDS = 400_000
+#: Bytes of text encoded together. A longer text is encoded alone.
+SLICE = 4 << 20
+BREAK = "\n"
 
 
 def masked(crc: int) -> int:
@@ -79,7 +85,7 @@ class _Pieces(dict):
     """The ids of each piece, packed."""
 
     def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
+        super().__init__({BREAK: b""})
         self.tokenize = tokenizer.model.tokenize
         self.letters = byte_letters()
         kind = packing(tokenizer)
@@ -94,12 +100,27 @@ class _Pieces(dict):
         return ids
 
 
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _ends(array: pa.LargeBinaryArray) -> np.ndarray:
+    """Where each value of a new array starts in its data, and where the last one ends."""
+    return np.frombuffer(array.buffers()[1], dtype=np.int64, count=len(array) + 1) if len(array) else np.zeros(1, dtype=np.int64)
+
+
+def _data(array: pa.LargeBinaryArray) -> pa.Buffer:
+    return array.buffers()[2] or pa.py_buffer(b"")
+
+
 class WordwiseTokenizer:
-    """A library tokenizer whose word pattern drops white space; remembers words.
+    """A library tokenizer whose word pattern drops white space; remembers pieces of words.
 
     Normalizer, word pattern and model are those of the file, and the model encodes each piece.
-    For patterns that do not look across white space. Texts with an added token, or with a
-    control character on whose blankness libraries differ, are encoded in one go.
+    Arrow cuts many texts into words at once and puts their ids together; each different word is
+    normalized and cut into pieces once for these texts. For patterns that do not look across white
+    space. Texts with an added token, or with a control character on whose blankness libraries
+    differ, are encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -110,44 +131,59 @@ class WordwiseTokenizer:
             split, letters = json.load(file)["pre_tokenizer"]["pretokenizers"]
         if (split["type"], split["behavior"], split["invert"], letters["type"]) != ("Split", "Removed", True, "ByteLevel"):
             raise ValueError(f"{path} does not split texts into words without white space")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.control = re.compile("[\x00-\x08\x0e-\x1f]")
+        self.pattern = regex.compile(f"{BREAK}|{split['pattern']['Regex']}")
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([*added, r"[\x00-\x08\x0e-\x1f]"])
         self.kind = packing(self.tokenizer)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, bytes] = {}
         self.pieces = _Pieces(self.tokenizer)
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [word for word in words if word.isascii()]
-        other = [word for word in words if not word.isascii()]
+    def _normal(self, words: pa.Array) -> list[str]:
+        plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
         # NFC and lower case do nothing else to ASCII words
-        normal = [word.lower() for word in plain]
+        normal = np.array(_strings(pc.ascii_lower(words)), dtype=object)
+        other = _strings(words.filter(pa.array(~plain)))
         if other:
             found = self.tokenizer.normalizer.normalize_str(" ".join(other)).split(" ")
-            normal += found if len(found) == len(other) else map(self.tokenizer.normalizer.normalize_str, other)
-        pieces, known, findall = self.pieces, self.known, self.pattern.findall
-        for word, text in zip(plain + other, normal):
-            known[word] = pieces[text] if text.isalpha() else b"".join([pieces[x] for x in findall(text)])
-
-    def _whole(self, text: str) -> bool:
-        return any(token in text for token in self.added) or self.control.search(text) is not None
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        if len(self.known) + len(self.pieces) > CACHE_WORDS:
-            self._forget()
-        split = [None if self._whole(text) else text.split() for text in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words or ())
-        self._learn(list(new.difference(self.known)))
-        return [
-            np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes() if words is None else b"".join(map(self.known.__getitem__, words))
-            for text, words in zip(texts, split)
-        ]
+            normal[~plain] = found if len(found) == len(other) else [self.tokenizer.normalizer.normalize_str(x) for x in other]
+        return normal.tolist()
+
+    def _words(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """The packed ids of each word. No normalized word holds a line break, so one parts them."""
+        parts = pa.array(self.pattern.findall(BREAK.join(self._normal(words))), pa.large_string()).dictionary_encode()
+        different = _strings(parts.dictionary)
+        ids = pa.array(list(map(self.pieces.__getitem__, different)), pa.large_binary()).take(parts.indices)
+        breaks = parts.indices.to_numpy() == (different.index(BREAK) if len(words) > 1 else -1)
+        ends = _ends(ids)
+        ends = np.concatenate((ends[:1], ends[:-1][breaks], ends[-1:]))
+        if len(ends) != len(words) + 1:
+            raise ValueError("The word pattern looks across white space.")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), _data(ids)])
+
+    def encode_many(self, texts: list[str] | pa.Array) -> list[memoryview | bytes]:
+        """The packed ids of each text; a null text is empty."""
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = _Pieces(self.tokenizer)
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, self.whole)
+        split = pc.utf8_split_whitespace(pc.if_else(whole, "", texts))
+        words = split.flatten().dictionary_encode()
+        ids = self._words(words.dictionary).take(words.indices) if len(words) else pa.array([], pa.large_binary())
+        ends, data = _ends(ids)[split.offsets.to_numpy()].tolist(), memoryview(_data(ids))
+        out: list[memoryview | bytes] = [data[a:b] for a, b in zip(ends, ends[1:])]
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return out
+
+
+@lru_cache(1)
+def _loaded(path: str, changed: int, size: int) -> WordwiseTokenizer:
+    return WordwiseTokenizer(path)
+
+
+def tokenizer_of(path: str) -> WordwiseTokenizer:
+    """The tokenizer of a file, once for all tasks of a Python worker, which follow each other."""
+    file = os.stat(path)
+    return _loaded(path, file.st_mtime_ns, file.st_size)
 
 
 def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -160,14 +196,14 @@ def write_records(df: DataFrame, folder: str, tokenizer: str, end_id: int, doc_i
     """Write ``folder``/records and ``folder``/index; ``tokenizer`` must be readable on the executors."""
 
     def run(batches):
-        encoder = WordwiseTokenizer(tokenizer)
+        encoder = tokenizer_of(tokenizer)
         end, width = np.array([end_id], dtype=encoder.kind).tobytes(), np.dtype(encoder.kind).itemsize
         for batch in batches:
             ids, texts = column(batch, "doc_id"), column(batch, "text")
-            for start in range(0, batch.num_rows, ROWS):
-                keys = [NO_ID if x is None else x for x in ids.slice(start, ROWS).to_pylist()]
-                found = encoder.encode_many([x or "" for x in texts.slice(start, ROWS).to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array([frame(struct.pack("<qB", k, width) + x + end) for k, x in zip(keys, found)], pa.binary())], ["frame"])
+            for start, rows, _, _ in text_slices(texts, SLICE):
+                keys = [NO_ID if x is None else x for x in ids.slice(start, rows).to_pylist()]
+                found = encoder.encode_many(texts.slice(start, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([frame(b"".join((struct.pack("<qB", k, width), x, end))) for k, x in zip(keys, found)], pa.binary())], ["frame"])
 
     narrow = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))

@@ -239,6 +239,30 @@ def test_word_tokenizer_is_the_librarys():
         assert np.frombuffer(ours.encode_many([text])[0], dtype=ours.kind).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_encodes_columns_together():
+    ours, theirs = binary_records.WordwiseTokenizer(queries.WORD_BPE), library(queries.WORD_BPE)
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = [None, "", " ", *scraps(4000, 13), *(f"{x}A{x}{x}b'LL{x}" for x in blanks), "no blanks", "no blanks"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut off", *texts], kind).slice(1)
+        found = ours.encode_many(column)
+        for text, ids in zip(texts, found, strict=True):
+            assert np.frombuffer(ids, dtype=ours.kind).tolist() == theirs.encode(text or "", add_special_tokens=False).ids
+    assert [bytes(x) for x in ours.encode_many(pa.array([None, "", "\n"], pa.string()))] == [b""] * 3
+
+
+def test_word_tokenizer_does_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(binary_records, "CACHE_WORDS", 0)
+    forgetful, plain = binary_records.WordwiseTokenizer(queries.WORD_BPE), library(queries.WORD_BPE)
+    for text in scraps(100, 14):
+        assert np.frombuffer(forgetful.encode_many([text])[0], dtype=forgetful.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_word_tokenizer_is_loaded_once_a_worker():
+    one = binary_records.tokenizer_of(queries.WORD_BPE)
+    assert binary_records.tokenizer_of(queries.WORD_BPE) is one
+
+
 def test_records_round_trip(spark, odd, tmp_path):
     folder, tokenizer = str(tmp_path / "records"), library(queries.WORD_BPE)
     binary_records.write_records(odd, folder, queries.WORD_BPE, 1)
