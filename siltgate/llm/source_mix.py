@@ -162,7 +162,7 @@ def slots(sources: DataFrame, settings: Settings) -> DataFrame:
     index = permuted(F.col("before") + F.col("i"), F.col("draws"), F.col("rank") + 1000003, settings)
     slot = permuted(F.col("ahead") + F.col("i"), F.col("all"), F.col("shard") * 7 + 3, settings)
     # written, because Spark would work a permutation out again wherever its result is used
-    each = scratch_table(each.select("rank", "shard", index.alias("index"), slot.alias("slot")), "mix-places").join(settled, "rank")
+    each = scratch_table(each.select("rank", "shard", index.alias("index"), slot.alias("slot")), "mix-draws-placed").join(settled, "rank")
     own = ["rank", "source_size", "quota"]
     kept = each.where("index < slots").select(*own, "index", "shard", "slot")
     spare = F.col("over_first") + F.col("index") - F.col("slots")

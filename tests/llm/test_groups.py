@@ -278,6 +278,15 @@ def test_mix_query_deals_shards(spark, capsys):
     assert "mix-draws" in capsys.readouterr().out
 
 
+def test_mix_takes_the_slots_that_were_dealt(spark):
+    settings, documents = source_mix.Settings(block=4, shard_slots=64), spark.read.parquet(f"{SMALL}/documents.parquet")
+    sources = source_mix.targets(source_mix.sizes(documents), settings)
+    ranks = {r["source"]: r["rank"] for r in sources.collect()}
+    dealt = {(r["rank"], r["pass"], r["shard"], r["slot"]) for r in source_mix.slots(sources, settings).collect()}
+    taken = {(ranks[r["source"]], s["pass"], s["shard"], s["slot"]) for r in source_mix.mix(documents, settings).collect() for s in r["spans"]}
+    assert taken == dealt
+
+
 def test_mix_of_many_small_sources_and_equal_rows(spark):
     rows = [(k, f"w{k} x y", f"s{k}") for k in range(300)] + [(None, "no id here", "hot")] * 200 + [(None, f"none {k}", "hot") for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
